@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import byte_bpe
+from tilewright.llm import byte_bpe, decontaminate, token_files, warc
 from tilewright.runtime import ship, table
 
 
@@ -17,8 +17,27 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _ = token_files.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _ = warc.archive(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.judge(decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(ids.cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_token_files": op2_token_files,
+    "op9_warc": op9_warc,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 SQL: dict[str, str] = {}
