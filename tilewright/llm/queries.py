@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import byte_bpe, decontaminate, token_counts, token_files, topk, toxicity, warc
+from tilewright.llm import byte_bpe, decontaminate, jaccard, token_counts, token_files, topk, toxicity, warc
 from tilewright.runtime import ship, table
 
 
@@ -37,6 +37,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, _ = warc.archive(table(spark, sf_dir, "pages"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_topk": op3_topk,
     "op6_toxicity": op6_toxicity,
     "op7_token_counts": op7_token_counts,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_warc": op9_warc,
     "op10_decontaminate": op10_decontaminate,
 }
