@@ -298,10 +298,10 @@ def _candidates(docs: DataFrame, order, rule: Rule, n: int, buckets: int) -> Dat
     return sent.repartitionById(buckets, F.col("bucket")).mapInArrow(meet, _PAIRS)
 
 
-def _pair_batch(kind: int, n: int, **cols: np.ndarray) -> pa.RecordBatch:
+def _pair_batch(kind: int, rows: int, **cols: np.ndarray) -> pa.RecordBatch:
     out = []
     for f in _PAIR_SCHEMA:
-        out.append(pa.array(np.full(n, kind, np.int8)) if f.name == "kind" else pa.array(np.ascontiguousarray(cols[f.name]), f.type) if f.name in cols else pa.nulls(n, f.type))
+        out.append(pa.array(np.full(rows, kind, np.int8)) if f.name == "kind" else pa.array(np.ascontiguousarray(cols[f.name]), f.type) if f.name in cols else pa.nulls(rows, f.type))
     return pa.RecordBatch.from_arrays(out, schema=_PAIR_SCHEMA)
 
 
