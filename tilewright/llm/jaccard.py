@@ -26,7 +26,7 @@ result; extra columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -414,7 +414,11 @@ def _remaining(members: DataFrame, comps: DataFrame, rule: Rule) -> DataFrame:
     rows = known.join(open_, "key")
     met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     met = met.select("key", F.least("salt", "other").alias("s"), F.greatest("salt", "other").alias("t"), F.when(F.col("salt") == F.col("other"), 3).when(F.col("salt") < F.col("other"), 1).otherwise(2).alias("side"), "a", "comp", "n", "pos")
-    found = met.groupBy("key", "s", "t").applyInArrow(lambda _, batches: _blocks(batches, rule), "a long, b long")
+
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _blocks(batches, rule)
+
+    found = met.groupBy("key", "s", "t").applyInArrow(block, "a long, b long")
     return found.distinct()
 
 
