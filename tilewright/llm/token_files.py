@@ -1,8 +1,9 @@
 """Operator 2: token ids in Arrow IPC files of fixed-size lists.
 
 The documents are put into ascending id order by range partitions. Each partition writes two Arrow IPC files into the
-shared folder: ``tokens-<shard>.arrow`` holds its ids as equal-length sequences (``ids``: fixed_size_list<uint32>,
-``mask``: fixed_size_list<uint8>, 1 for a token and 0 for the padding of the shard's last sequence), and
+shared folder: ``tokens-<shard>.arrow`` holds its ids as equal-length sequences (``ids``: fixed_size_list of
+uint16, or uint32 for vocabularies beyond it; ``mask``: fixed_size_list<bool>, false for the padding of the shard's last
+sequence), and
 ``docs-<shard>.arrow`` where each document starts. The buffers of a batch of fixed-size lists are one flat array, so a
 reader maps the file and takes any sequence, or any span of ids, without copying or parsing.
 
@@ -13,6 +14,7 @@ text; rows without an id come first; an empty table writes no shard; extra colum
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +25,8 @@ from pyspark.sql import functions as F
 from tilewright.llm.common import Out, Staged, by_range, file_system, text_of
 from tilewright.runtime import partitions, scratch, ship
 
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 1_200_000
+_BEFORE_MARKS = re.compile(rb"(?<=[a-z])(?=[.,!?;:])").sub
 #: Sequences in a record batch.
 BATCH = 256
 
@@ -31,10 +34,10 @@ _DOCS = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.in
 
 
 class WordEncoder(dict):
-    """Encodes by the tokenizers library.
+    """Encodes by the tokenizers library, for vocabularies whose pieces mark the ends of words by </w>.
 
-    The tokenizer splits at white space and drops it, so a run of text between ASCII white space has its ids on its own;
-    as a dictionary, this maps such runs to ids that it has seen.
+    The tokenizer lowers letters, splits at white space, which it drops, and between a letter and a mark such as a comma;
+    so what lies between such places has its ids on its own. As a dictionary, this maps such words to ids that it has seen.
     """
 
     def __init__(self, path: str):
@@ -44,20 +47,42 @@ class WordEncoder(dict):
         super().__init__()
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        vocabulary = self.library.get_vocab()
+        self.size = max(vocabulary.values()) + 1
+        self.ends = np.zeros(self.size, bool)  # the pieces that end a word
+        for piece, i in vocabulary.items():
+            self.ends[i] = piece.endswith("</w>")
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers."""
-        words = [t.encode().split() for t in texts]
-        new = list({w for ws in words for w in ws if w not in self})
+        words = [_BEFORE_MARKS(b" ", t.encode().lower()).split() for t in texts]
+        seen: set[bytes] = set()
+        for ws in words:
+            seen.update(ws)
+        new = [w for w in seen if w not in self]
         if len(self) + len(new) > CACHE_ENTRIES:
             self.clear()
-            new = list({w for ws in words for w in ws})
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for w, e in zip(part, self.library.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self[w] = np.array(e.ids, "<u4").tobytes()
+            new = list(seen)
+        self._learn([w.decode() for w in new])
         return [b"".join(map(self.__getitem__, ws)) for ws in words]
 
+    def _learn(self, words: list[str]) -> None:
+        letters = [w for w in words if w.isalpha()]
+        for k in range(0, len(letters), 2000):
+            part = letters[k : k + 2000]
+            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(stops) != len(part):  # some of these letters aren't one word to the tokenizer
+                words = words + part
+                continue
+            raw = ids.tobytes()
+            self.update(zip([w.encode() for w in part], [raw[a:z] for a, z in zip([0, *stops], stops, strict=False)], strict=True))
+        rest = [w for w in words if w.encode() not in self]
+        for k in range(0, len(rest), 20_000):
+            part = rest[k : k + 20_000]
+            for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self[w.encode()] = np.array(e.ids, "<u4").tobytes()
+
 
 _LOADED: dict[str, WordEncoder] = {}
 
@@ -70,13 +95,13 @@ def encoder(path: str) -> WordEncoder:
 
 def _sequences(ids: np.ndarray, length: int) -> pa.RecordBatch:
     n = -(-len(ids) // length)
-    flat, mask = np.zeros(n * length, "<u4"), np.zeros(n * length, np.uint8)
+    flat, mask = np.zeros(n * length, ids.dtype), np.zeros(n * length, bool)
     flat[: len(ids)], mask[: len(ids)] = ids, 1
     return pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(flat), length), pa.FixedSizeListArray.from_arrays(pa.array(mask), length)], names=["ids", "mask"])
 
 
-def _schema(length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+def _schema(length: int, size: int) -> pa.Schema:
+    return pa.schema([("ids", pa.list_(pa.uint16() if size <= 1 << 16 else pa.uint32(), length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 2, length: int = 1024, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -93,13 +118,14 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 2, le
         enc, shard, n_docs, at = encoder(tokenizer_path), None, 0, 0
         end, tail, held, block = np.array([end_id], "<u4").tobytes(), [], 0, BATCH * length
         tokens = index = sinks = None
+        kind = np.dtype("<u2" if enc.size <= 1 << 16 else "<u4")
         for b in batches:
             if not b.num_rows:
                 continue
             if shard is None:
                 shard = b.column(0)[0].as_py()
                 sinks = [Staged(folder, f"tokens-{shard:06d}.arrow"), Staged(folder, f"docs-{shard:06d}.arrow")]
-                tokens, index = pa.ipc.new_file(sinks[0].__enter__(), _schema(length)), pa.ipc.new_file(sinks[1].__enter__(), _DOCS)
+                tokens, index = pa.ipc.new_file(sinks[0].__enter__(), _schema(length, enc.size)), pa.ipc.new_file(sinks[1].__enter__(), _DOCS)
             keys, texts = b.column(1).to_pylist(), b.column(2)
             for k in range(0, b.num_rows, 512):
                 rows = []
@@ -112,14 +138,14 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 2, le
                 n_docs += len(rows)
                 index.write_batch(pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=_DOCS))
                 if held >= block:
-                    ids = np.frombuffer(b"".join(tail), "<u4")
+                    ids = np.frombuffer(b"".join(tail), "<u4").astype(kind)
                     full = held // block * block
                     for i in range(0, full, block):
                         tokens.write_batch(_sequences(ids[i : i + block], length))
-                    tail, held = [ids[full:].tobytes()], held - full
+                    tail, held = [ids[full:].astype("<u4").tobytes()], held - full
         if shard is not None:
             if held:
-                tokens.write_batch(_sequences(np.frombuffer(b"".join(tail), "<u4"), length))
+                tokens.write_batch(_sequences(np.frombuffer(b"".join(tail), "<u4").astype(kind), length))
             tokens.close()
             index.close()
             for s in sinks:
@@ -151,10 +177,10 @@ class Shard:
             self._batch = (i, self.tokens.get_batch(i).column(0).values.to_numpy(zero_copy_only=True))
         return self._batch[1]
 
-    def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def sequence(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
         """The k-th sequence's ids and mask, views of the file."""
         got, at = self.tokens.get_batch(k // BATCH), k % BATCH * self.length
-        return tuple(got.column(c).values.to_numpy(zero_copy_only=True)[at : at + self.length] for c in (0, 1))
+        return got.column(0).values.to_numpy(zero_copy_only=True)[at : at + self.length], got.column(1).values[at : at + self.length]
 
     def span(self, start: int, n: int) -> np.ndarray:
         """n ids of the shard from a position on."""
@@ -177,7 +203,7 @@ def read(manifest: DataFrame, folder: str, id_col: str = "doc_id") -> DataFrame:
                 s = Shard(folder, shard)
                 for i in range(s.docs.num_record_batches):
                     for key, start, n in zip(*(c.to_pylist() for c in s.docs.get_batch(i).columns), strict=True):
-                        if out.add(key, base + start, n, s.span(start, n).tobytes(), size=4 * n):
+                        if out.add(key, base + start, n, s.span(start, n).astype("<u4").tobytes(), size=4 * n):
                             yield out.take()
         yield out.take()
 
