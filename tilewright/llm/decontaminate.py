@@ -15,6 +15,7 @@ extra columns are not read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,21 +90,70 @@ def _spans(hit: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
+_RUNS = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def without(text: str, hit: np.ndarray) -> str:
+    """The text without its hit words; what stands before, between and after them stays, a run of hit words leaves a blank."""
+    raw, out, at, gone = text.encode(), [], 0, False
+    for m, h in zip(_RUNS.finditer(raw), hit.tolist(), strict=True):
+        if h:
+            if not gone:
+                out.append(raw[at : m.start()])
+            at, gone = m.end(), True
+        elif gone:
+            out.append(b" ")
+            at, gone = m.start(), False
+    out.append(raw[at:])
+    return b"".join(out).decode()
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows that aren't contaminated, with all their columns; words in occurring windows are cut from their texts.
+
+    One narrow pass for each part of the benchmark; a document is judged on all words that it had at first.
+    """
+    spark = ship(docs.sparkSession)
+    parts = _parts(benchmark, item_col, item_text, BROADCAST_BYTES)
+    if len(parts) > 1:
+        raise NotImplementedError(f"a benchmark of more than {BROADCAST_BYTES} bytes: use find() and judge()")
+    sent = spark.sparkContext.broadcast(WindowSet(parts[0](), window))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, stay = [], []
+            for text in b.column(at):
+                t = text.as_py()
+                words = words_of(t or "")
+                hit, _ = sent.value.scan(words)
+                n = int(hit.sum())
+                stay.append(not n or 20 * n < len(words))
+                texts.append(without(t, hit) if n and stay[-1] else t)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(b.num_columns)], schema=b.schema).filter(pa.array(stay, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
 
+def _parts(benchmark: DataFrame, item_col: str, item_text: str, most: int) -> list:
+    """Functions that give the items of each part, ascending, in parts of about so many bytes at most."""
+    items = text_of(benchmark, item_col, item_text).where("id is not null")
+    n = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // most))
+    return [lambda k=k: sorted((r["id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("id"), F.lit(n)) == k).collect()) for k in range(n)]
+
+
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id_col, n_words, spans, items): the word spans (start, stop) that benchmark windows cover, and the items' ids."""
     spark = ship(docs.sparkSession)
-    items = text_of(benchmark, item_col, item_text).where("id is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-size // broadcast_bytes))
+    parts = _parts(benchmark, item_col, item_text, broadcast_bytes)
     schema = pa.schema([(id_col, pa.int64()), ("n_words", pa.int64()), ("spans", _SPAN), ("items", pa.list_(pa.int64()))])
     ddl = f"`{id_col}` long, n_words long, spans array<struct<start: long, stop: long>>, items array<long>"
 
     def scan(source: DataFrame, part: int) -> DataFrame:
-        chosen = [(r["id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).collect()]
-        sent = spark.sparkContext.broadcast(WindowSet(sorted(chosen), window))
+        sent = spark.sparkContext.broadcast(WindowSet(parts[part](), window))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             windows, out = sent.value, Out(schema)
@@ -118,11 +168,11 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_
         return source.mapInArrow(run, ddl)
 
     source = text_of(docs, id_col, text_col)
-    if parts == 1:
+    if len(parts) == 1:
         return scan(source, 0)
     # The rows need a name of their own for their parts to meet again.
     named = cut(source.withColumn("_row", F.monotonically_increasing_id()), "decontaminate")
-    found = [scan(named.select(F.col("_row").alias("id"), "text"), k).withColumnRenamed(id_col, "_row") for k in range(parts)]
+    found = [scan(named.select(F.col("_row").alias("id"), "text"), k).withColumnRenamed(id_col, "_row") for k in range(len(parts))]
     every = found[0]
     for f in found[1:]:
         every = every.unionByName(f)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import byte_bpe, decontaminate, jaccard, suffix_dedup, token_counts, token_files, topk, toxicity, warc
+from tilewright.llm import byte_bpe, decontaminate, jaccard, line_dedup, suffix_dedup, token_counts, token_files, topk, toxicity, warc
 from tilewright.runtime import ship, table
 
 
@@ -32,6 +32,11 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.without_copies(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_deleted", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.where(~toxicity.held_out("doc_id")))
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op3_topk": op3_topk,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_line_dedup": op5_line_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_token_counts": op7_token_counts,
     "op8_jaccard_join": op8_jaccard_join,
@@ -70,7 +76,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": op10_decontaminate,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_line_dedup": """
+        with a as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+        b as (select doc_id, unnest(lines) as line, generate_subscripts(lines, 1) as p from a),
+        c as (select *, coalesce(sum(length(line)) over three, 0) as n3, count(*) over three as m3,
+                min(struct_pack(d := doc_id, p := p)) over (partition by line) as f1,
+                concat_ws(chr(10), line, lead(line, 1) over doc, lead(line, 2) over doc) as run
+              from b window doc as (partition by doc_id order by p),
+                three as (partition by doc_id order by p rows between current row and 2 following)),
+        d as (select *, min(struct_pack(d := doc_id, p := p)) over (partition by m3, run) as f3 from c),
+        e as (select doc_id, p from d where struct_pack(d := doc_id, p := p) > f1 and length(line) >= 60
+              union select doc_id, p + unnest([0, 1, 2]) from d where m3 = 3 and n3 >= 60 and struct_pack(d := doc_id, p := p) > f3)
+        select b.doc_id, count(*) as n_lines, count(e.p) as n_deleted,
+          sha256(coalesce(string_agg(b.line, chr(10) order by b.p) filter (where e.p is null), '')) as kept_sha256
+        from b left join e on b.doc_id = e.doc_id and b.p = e.p group by b.doc_id""",
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
