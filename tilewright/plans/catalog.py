@@ -1,10 +1,991 @@
-"""The registered queries and their SQL."""
+"""The registered queries over the tables, and the SQL that they are held against.
+
+Each is a thin use of an operator. Embeddings are the design matrix (64 columns, labels 0 .. 9), 8 x 8 images, or 16
+descriptors of 4; ``events`` is the log of episodes; ``lineitem`` is the tall matrix.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tilewright.functions import descriptors, images, vectors
+from tilewright.operators import blocks, evaluate, joins, kernels, layouts, linalg, solvers, windows
+from tilewright.plans import sql
+from tilewright.runtime import cut, scratch, table
+from tilewright.sources import files, records
+from tilewright.sources.matrix_store import Header, MatrixStore
+from tilewright.streaming import pipelines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+SHARDS = (128, 16)
+IMAGE = (1, 8, 8)
+#: Fixed regularisers of the sweep, as SQL rows.
+REGS = "(1e-7), (1e-5), (1e-3), (1e-1), (1.0), (1e1), (1e2), (1e3), (1e5)"
+
+
+def query(oracle: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if oracle:
+            SQL[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def r6(c: Column | str, places: int = 6) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(F.abs(c) < 5 * 10.0 ** -(places + 1), 0.0).otherwise(F.round(c, places))
+
+
+def design(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings")
+    return e.select(F.col("vec_id").alias("i"), F.col("embedding").cast("array<double>").alias("features"), "label")
+
+
+def coords(spark: SparkSession, sf: str) -> DataFrame:
+    return layouts.rows_to_coords(design(spark, sf))
+
+
+def image_pixels(spark: SparkSession, sf: str) -> DataFrame:
+    return images.pixels(design(spark, sf), IMAGE)
+
+
+def rounded(df: DataFrame, *cols: str, places: int = 6) -> DataFrame:
+    return df.withColumns({c: r6(c, places) for c in cols})
+
+
+# --- sums of products -------------------------------------------------------------------------------------------------
+
+
+@query(f"with {sql.X} select a.j::int as i, b.j::int as j, {sql.r('sum(a.v * b.v)')} as v from x a join x b using (i) group by a.j, b.j")
+def agg_xtx(spark, sf):
+    return rounded(linalg.gram(design(spark, sf)), "v")
+
+
+@query(f"""with {sql.X}, c as (select unnest(range((select max(label) + 1 from embeddings)))::int as label),
+  j as (select distinct j::int as j from x), s as (select j, label, sum(v) as v from x group by all)
+  select j.j, c.label, {sql.r('coalesce(s.v, 0)')} as v from j cross join c left join s on s.j = j.j and s.label = c.label""")
+def agg_xty(spark, sf):
+    return rounded(linalg.cross_labels(design(spark, sf)), "v")
+
+
+@query(f"with {sql.X} select i, {sql.r('sum(v * v)')} as v from x group by i")
+def agg_sqnorm(spark, sf):
+    return rounded(linalg.square_norms(design(spark, sf)), "v")
+
+
+@query(f"with {sql.X} select i, {sql.r('avg(v)')} as mean, {sql.r('sqrt(sum(v * v))')} as norm from x group by i")
+def agg_rowmean_norm(spark, sf):
+    return rounded(linalg.row_means(design(spark, sf)), "mean", "norm")
+
+
+@query(f"with {sql.X} select i, j::int as j, {sql.r('v + v')} as v from x")
+def agg_add(spark, sf):
+    c = coords(spark, sf)
+    return rounded(linalg.add(c, c), "v")
+
+
+@query(f"with {sql.E}, d as (select list_dot_product(v, v) as v from e) select {sql.r('avg(v)')} as mean, {sql.r('max(v)')} as max from d")
+def agg_diag(spark, sf):
+    return rounded(linalg.diagonal(kernels.of_rows(design(spark, sf), None, "linear")), "mean", "max")
+
+
+@query(f"""with {sql.E}, k as (select list_dot_product(a.v, b.v) as v from e a join e b on a.i >= b.i), d as (select abs(v - power(1 + v, 2)) as v from k)
+  select {sql.r('avg(v)')} as mean, {sql.r('max(v)')} as max, {sql.r('sqrt(sum(v * v))', 4)} as frobenius from d""")
+def agg_diff(spark, sf):
+    k = cut(kernels.of_rows(design(spark, sf), None, "linear"))
+    return rounded(rounded(linalg.difference(k, kernels.quadratic(k, 1.0)), "mean", "max"), "frobenius", places=4)
+
+
+@query(f"with {sql.X} select {sql.r('sqrt(sum(v * v))')} as norm from x")
+def agg_fro(spark, sf):
+    return rounded(linalg.frobenius(coords(spark, sf)), "norm")
+
+
+@query(f"with {sql.X} select {sql.r('avg(case when greatest(v - 0.05, 0) = 0 then 1.0 else 0.0 end)')} as sparsity from x")
+def agg_sparsity(spark, sf):
+    return rounded(linalg.sparsity(coords(spark, sf).withColumn("v", vectors.two_sided_relu(F.col("v"), 0.05)[0])), "sparsity")
+
+
+@query(f"with {sql.X}, s as (select sum(v * v) / count(*) as s from x group by i) select {sql.r('quantile_cont(s, 0.5)')} as median, {sql.r('max(s)')} as max from s")
+def agg_median_scale(spark, sf):
+    return rounded(linalg.bandwidth(design(spark, sf)), "median", "max")
+
+
+@query(f"select event_type, {sql.r('avg(value)')} as mean, {sql.r('stddev_pop(value)')} as std from events group by event_type")
+def agg_reward(spark, sf):
+    return rounded(evaluate.reward_statistics(table(spark, sf, "events"), "event_type", "value", 0, 100, 20)[0], "mean", "std")
+
+
+@query("select floor(value / 5.0)::int as bin, count(*) as n from events where value >= 0 and value < 100 group by 1")
+def agg_reward_histogram(spark, sf):
+    return evaluate.reward_statistics(table(spark, sf, "events"), "event_type", "value", 0, 100, 20)[1]
+
+
+@query("select event_type, count(*) as n from events group by event_type")
+def agg_counts(spark, sf):
+    return table(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select l_orderkey, l_linenumber, count(*) as n from lineitem group by all having count(*) > 1")
+def agg_dup(spark, sf):
+    return table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+@query("select distinct user_id, event_type from events")
+def agg_distinct(spark, sf):
+    return table(spark, sf, "events").select("user_id", "event_type").distinct()
+
+
+# --- kernels ----------------------------------------------------------------------------------------------------------
+
+
+def _kernel_sql(v: str) -> str:
+    return f"with {sql.E} select a.i, b.i as j, {sql.r(v)} as v from e a join e b on a.i >= b.i"
+
+
+_DOT, _DIST = "list_dot_product(a.v, b.v)", "greatest(0, list_dot_product(a.v, a.v) - 2 * list_dot_product(a.v, b.v) + list_dot_product(b.v, b.v))"
+
+
+@query(_kernel_sql(_DOT))
+def ker_linear(spark, sf):
+    return rounded(kernels.of_rows(design(spark, sf), None, "linear"), "v")
+
+
+@query(_kernel_sql(_DIST))
+def ker_dist(spark, sf):
+    x = design(spark, sf)
+    n = linalg.square_norms(x)
+    return rounded(kernels.squared_distance(kernels.of_rows(x, None, "linear"), n, n), "v")
+
+
+@query(_kernel_sql(f"exp(-{_DIST})"))
+def ker_rbf(spark, sf):
+    return rounded(kernels.of_rows(design(spark, sf), None, "rbf"), "v")
+
+
+@query(_kernel_sql(f"power(1 + {_DOT}, 2)"))
+def ker_quadratic(spark, sf):
+    return rounded(kernels.of_rows(design(spark, sf), None, "quadratic"), "v")
+
+
+@query(_kernel_sql(f"exp({_DOT})"))
+def ker_exp(spark, sf):
+    return rounded(kernels.elementwise_exp(kernels.of_rows(design(spark, sf), None, "linear")), "v")
+
+
+@query(_kernel_sql(f"{_DOT} + case when a.i = b.i then 0.5 else 0 end"))
+def ker_diag_offset(spark, sf):
+    return rounded(kernels.diagonal_shift(kernels.of_rows(design(spark, sf), None, "linear"), 0.5), "v")
+
+
+@query(f"""with {sql.E}, n as (select floor(0.9 * count(*)) as n from e)
+  select a.i, b.i as j, {sql.r(f"exp(-{_DIST} / 64)")} as v from e a, e b, n where a.i < n.n and b.i >= n.n""")
+def ker_cross(spark, sf):
+    x = evaluate.split_tail(design(spark, sf), "i")
+    return rounded(kernels.of_rows(x.where("is_train"), x.where("not is_train"), "rbf", 1.0, 64), "v")
+
+
+@query(f"""with {sql.E} select a.i, b.i as j, {sql.r(_DOT)} as v from e a cross join e b""")
+def join_xyt(spark, sf):
+    """X X' by tiles, both halves."""
+    t = layouts.rows_to_blocks(design(spark, sf), *SHARDS)
+    return rounded(layouts.blocks_to_coords(linalg.product_blocks(t, t), SHARDS[0], SHARDS[0]), "v")
+
+
+@query(_kernel_sql(_DOT))
+def join_self_sym(spark, sf):
+    c = coords(spark, sf)
+    return rounded(linalg.product_coords(c, c, lower=True), "v")
+
+
+@query(f"""with {sql.X}, w as (select j, class, case when j % 10 = class then 1.0 else 0.0 end as w from (select distinct j from x), range(10) t(class))
+  select i, class::int as class, {sql.r('sum(v * w)')} as v from x join w using (j) group by i, class""")
+def join_matvec(spark, sf):
+    w = spark.range(64).select(F.col("id").cast("int").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("class")).withColumn("w", (F.col("j") % 10 == F.col("class")).cast("double"))
+    return rounded(linalg.matvec(coords(spark, sf), F.broadcast(w)), "v")
+
+
+@query(f"with {sql.E} select a.i, b.i as j, {sql.r('list_dot_product(a.v, a.v)')} as x2, {sql.r('list_dot_product(b.v, b.v)')} as y2 from e a join e b on a.i >= b.i")
+def join_norms(spark, sf):
+    x = design(spark, sf)
+    n = linalg.square_norms(x)
+    return rounded(kernels.with_norms(kernels.of_rows(x, None, "linear"), n, n), "x2", "y2").select("i", "j", "x2", "y2")
+
+
+# --- solvers ----------------------------------------------------------------------------------------------------------
+
+
+@query(f"with recursive {sql.ridge('(0.1)')} select j, class::int as label, {sql.r('w')} as w from w")
+def sol_primal(spark, sf):
+    return rounded(solvers.weights_frame(spark, solvers.ridge(design(spark, sf), 0.1)), "w")
+
+
+@query(f"with recursive {sql.ridge(REGS)} select g::double as reg, {sql.r('avg(case when pred = label then 1.0 else 0.0 end)')} as train_acc, '' as status from pred group by g")
+def sol_sweep(spark, sf):
+    return rounded(solvers.sweep(design(spark, sf)).select("reg", "train_acc", "status"), "train_acc")
+
+
+_TAIL = "i < (select floor(0.9 * count(*)) from embeddings)"
+
+
+@query(f"""with recursive {sql.ridge(REGS, _TAIL)}, n as (select floor(0.9 * count(*)) as n from embeddings),
+  acc as (select g, avg(case when pred = label then 1.0 else 0.0 end) filter (where i < n.n) as a, avg(case when pred = label then 1.0 else 0.0 end) filter (where i >= n.n) as t from pred, n group by g)
+  select g::double as reg, {sql.r('a')} as train_acc, {sql.r('t')} as test_acc from acc order by t desc, g limit 1""")
+def agg_argmax_model(spark, sf):
+    x = evaluate.split_tail(design(spark, sf), "i")
+    best = solvers.best_of_sweep(solvers.sweep(x.where("is_train"), x.where("not is_train")))
+    return rounded(best.select("reg", "train_acc", "test_acc"), "train_acc", "test_acc")
+
+
+@query(f"""with recursive {sql.ridge('(0.1)')},
+  inv0 as (select 0 as g, (j + 1)::int as i, list_concat(list(xtx.v + case when j = k then 0.1 else 0 end order by k), list(case when j = k then 1.0::double else 0.0::double end order by k)) as r from xtx group by j),
+  {sql.solve('inv0', 64, 'gi')}, iv as (select i, r[65:] as r from gi where k = 64),
+  e as (select i, label, list(v order by j) as v from x group by all),
+  h as (select e.i, sum(e.v[iv.i] * list_dot_product(iv.r, e.v)) as h from e cross join iv group by e.i),
+  l as (select s.i, s.label, s.class, (s.s - h.h * case when s.label = s.class then 1 else 0 end) / (1 - h.h) as s from s join h using (i)),
+  p as (select i, label, arg_max(class, s) as pred from (select * from l order by class) group by all)
+  select count(*) as n, {sql.r('avg(case when pred = label then 1.0 else 0.0 end)')} as loo_acc from p""")
+def sol_loo(spark, sf):
+    s = solvers.leave_one_out(design(spark, sf), 0.1)
+    return s.agg(F.count(F.lit(1)).alias("n"), r6(evaluate.accuracy(evaluate.argmax(F.col("scores")), F.col("label"))).alias("loo_acc"))
+
+
+def _dual_scores(spark, sf, solve) -> DataFrame:
+    """K alpha for a dual model of the linear kernel: the same scores as the primal model's."""
+    rows = sorted((r["i"], r["label"], r["features"]) for r in design(spark, sf).toLocalIterator())
+    x, y = np.array([r[2] for r in rows]), np.array([r[1] for r in rows])
+    s = solve(x, y)
+    found = [(rows[k][0], c, float(s[k, c])) for k in range(len(rows)) for c in range(s.shape[1])]
+    return rounded(spark.createDataFrame(found, "i long, class int, s double"), "s", places=4)
+
+
+_SCORES_4 = f"with recursive {sql.ridge('(0.1)')} select i, class::int as class, {sql.r('s', 4)} as s from s"
+
+
+@query(_SCORES_4)
+def sol_dual(spark, sf):
+    return _dual_scores(spark, sf, lambda x, y: (x @ x.T) @ solvers.dual(x @ x.T, y, 0.1))
+
+
+@query(_SCORES_4)
+def sol_pcg(spark, sf):
+    def solve(x, y):
+        k = x @ x.T
+        a = solvers.conjugate_gradient(lambda p: k @ p + 0.1 * p, np.eye(y.max() + 1)[y], solvers.jacobi(np.diag(k) + 0.1), 500, 1e-12)
+        return k @ a
+
+    return _dual_scores(spark, sf, solve)
+
+
+@query(f"with recursive {sql.ridge('(0.1)')} select j, class::int as label, {sql.r('w', 4)} as w from w")
+def sol_bcd_primal(spark, sf):
+    """Block coordinate descent on the normal equations, tile by tile of a stored matrix."""
+    eq = solvers.normal_equations(design(spark, sf))
+    g = spark.createDataFrame([(i, j, float(eq.xtx[i, j])) for i in range(64) for j in range(64)], "i long, j int, v double")
+    k = solvers.BlockKernel(cut(layouts.coords_to_blocks(g, 64, 64, 16, 16)), 16)
+    w = solvers.block_coordinate(k, eq.xty, 0.1, epochs=16)
+    return rounded(solvers.weights_frame(spark, w), "w", places=4)
+
+
+@query()
+def sol_softmax_gn(spark, sf):
+    return rounded(solvers.weights_frame(spark, solvers.softmax_regression(design(spark, sf), 1e-2, 10)), "w")
+
+
+@query()
+def sol_gmm(spark, sf):
+    shares, means, var = solvers.gaussian_mixture(design(spark, sf), 4, 5)
+    return spark.createDataFrame([(k, float(shares[k]), means[k].tolist(), var[k].tolist()) for k in range(4)], "k int, share double, mean array<double>, var array<double>")
+
+
+@query(f"""with {sql.X}, n as (select count(distinct i) as n from x), m as (select j, avg(v) as m from x group by j),
+  c as (select a.j, b.j as k, sum(a.v * b.v) / any_value(n.n) as v from x a join x b using (i), n group by all)
+  select c.j::int as i, c.k::int as j, {sql.r('c.v - a.m * b.m')} as v from c join m a on a.j = c.j join m b on b.j = c.k""")
+def sol_covariance(spark, sf):
+    """What PCA and whitening are fitted on."""
+    cov = solvers.covariance(design(spark, sf))[1]
+    return rounded(spark.createDataFrame([(i, j, float(cov[i, j])) for i in range(64) for j in range(64)], "i int, j int, v double"), "v")
+
+
+@query()
+def sol_pca(spark, sf):
+    mean, axes = solvers.principal_components(design(spark, sf), 8)
+    return kernels.map_rows(design(spark, sf), lambda x: (x - mean) @ axes)
+
+
+@query(f"""with {sql.E}, n as (select floor(0.9 * count(*)) as n from e),
+  d as (select a.i, b.label, b.i as j, round({_DIST}, 9) as v from e a, e b, n where a.i >= n.n and b.i < n.n),
+  t as (select *, row_number() over (partition by i order by v, j) as r from d), c as (select i, label, count(*) as n from t where r <= 5 group by all),
+  m as (select i, max(n) as n from c group by i)
+  select c.i, min(c.label)::int as label from c join m using (i, n) group by c.i""")
+def sol_knn(spark, sf):
+    x = evaluate.split_tail(design(spark, sf), "i")
+    test, train = x.where("not is_train"), x.where("is_train")
+    d = kernels.squared_distance(kernels.of_rows(test, train, "linear"), linalg.square_norms(test), linalg.square_norms(train))
+    return solvers.nearest_neighbours(d.withColumn("v", F.round("v", 9)), x, 5)
+
+
+_COLS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+@query(f"""with recursive st as (select {', '.join(f'avg({c}) as m{k}, stddev_pop({c}) as s{k}' for k, c in enumerate(_COLS))} from lineitem),
+  z as (select [{', '.join(f'({c} - m{k}) / s{k}' for k, c in enumerate(_COLS))}, 1.0::double] as v, l_returnflag as class from lineitem, st),
+  fl as (select class, row_number() over (order by class) - 1 as k from (select distinct l_returnflag as class from lineitem)),
+  sums as (select j, k, sum(z.v[j + 1] * z.v[k + 1]) as v from z, range(5) a(j), range(5) b(k) group by all),
+  b as (select j, fl.k, sum(case when z.class = fl.class then z.v[j + 1] else 0 end) as v from z, range(5) a(j), fl group by all),
+  rhs as (select j, list(v order by k) as b from b group by j),
+  m as (select 0 as g, (j + 1)::int as i, list_concat(list(sums.v + case when j = k then 0.1 else 0 end order by k), any_value(rhs.b)) as r from sums join rhs using (j) group by j),
+  {sql.solve('m', 5)}, w as (select i - 1 as j, generate_subscripts(r[6:], 1) - 1 as k, unnest(r[6:]) as w from gj where k = 5)
+  select w.j::int as j, fl.class, {sql.r('w.w')} as w from w join fl using (k)""")
+def ridge_lineitem(spark, sf):
+    rows = table(spark, sf, "lineitem").select(*_COLS, F.col("l_returnflag").alias("flag"))
+    st = rows.agg(*[f(c).alias(f"{n}{k}") for k, c in enumerate(_COLS) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    names = joins.class_index(rows, "flag").withColumnRenamed("class", "label")
+    z = F.array(*[(F.col(c) - st[f"m{k}"]) / st[f"s{k}"] for k, c in enumerate(_COLS)], F.lit(1.0))
+    w = solvers.weights_frame(spark, solvers.ridge(rows.join(F.broadcast(names), "flag").select(z.alias("features"), "label"), 0.1))
+    return rounded(w.join(names, "label").select("j", F.col("flag").alias("class"), "w"), "w")
+
+
+# --- prediction and evaluation ----------------------------------------------------------------------------------------
+
+
+def _scored(spark, sf) -> DataFrame:
+    x = design(spark, sf)
+    return solvers.scores(x, {"w": solvers.ridge(x, 0.1)})
+
+
+_RIDGE = f"with recursive {sql.ridge('(0.1)')}"
+
+
+@query(f"{_RIDGE} select i, label, pred::int as pred from pred")
+def eval_predict(spark, sf):
+    return _scored(spark, sf).select("i", "label", evaluate.argmax(F.col("scores")).alias("pred"))
+
+
+@query(f"{_RIDGE}, t as (select i, class, row_number() over (partition by i order by s desc, class) as r from s) select i, r::int as rank, class::int as class from t where r <= 5")
+def eval_topk(spark, sf):
+    top = _scored(spark, sf).select("i", F.posexplode(evaluate.top_k(F.col("scores"), 5)).alias("rank", "class"))
+    return top.select("i", (F.col("rank") + 1).alias("rank"), "class")
+
+
+@query(f"""{_RIDGE}, t as (select i, label, class, row_number() over (partition by i order by s desc, class) as r from s)
+  select k::int as k, {sql.r('sum(case when class = label and r <= k then 1.0 else 0.0 end) / count(distinct i)')} as acc from t, (values (1), (5)) ks(k) group by k""")
+def eval_topk_acc(spark, sf):
+    return rounded(evaluate.top_k_accuracy(_scored(spark, sf), [1, 5]), "acc")
+
+
+@query(f"{_RIDGE} select i // 10 as src, class::int as class, {sql.r('avg(s)')} as score from s group by all")
+def eval_tta(spark, sf):
+    s = evaluate.long_scores(_scored(spark, sf)).withColumn("src", F.floor(F.col("i") / 10))
+    return rounded(evaluate.augmented(s, "src"), "score")
+
+
+@query(f"{_RIDGE}, mx as (select i, max(s) as m from s group by i), e as (select s.i, class, exp(s - m) as e from s join mx using (i)) select i, class::int as class, {sql.r('e / sum(e) over (partition by i)')} as p from e")
+def eval_softmax(spark, sf):
+    return rounded(_scored(spark, sf).select("i", F.posexplode(evaluate.softmax(F.col("scores"))).alias("class", "p")), "p")
+
+
+@query("select l.o_orderkey, l.o_orderkey_rank <= floor(0.9 * n) as is_train from (select o_orderkey, row_number() over (order by o_orderkey) as o_orderkey_rank, count(*) over () as n from orders) l")
+def eval_split_tail(spark, sf):
+    return evaluate.split_tail(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey")
+
+
+@query("select source as name, row_number() over (order by source) <= 7 as is_train from (select distinct source from documents) qualify row_number() over (order by source) <= 14")
+def eval_split_files(spark, sf):
+    return evaluate.split_files(table(spark, sf, "documents").select(F.col("source").alias("name")).distinct(), 7)
+
+
+@query(f"""select event_type, event_id, {sql.r('avg(value) over (partition by event_type order by event_id) / exp(1)')} as run_avg_by_e,
+  {sql.r('avg(value) over (partition by event_type order by event_id rows between 99 preceding and current row) / exp(1)')} as avg100_by_e from events""")
+def eval_running(spark, sf):
+    """Over e, as means of decimals lie on the borders of rounding."""
+    out = evaluate.running_means(table(spark, sf, "events"), "event_type", "event_id", "value")
+    return out.select("event_type", "event_id", r6(F.col("run_avg") / F.exp(F.lit(1.0))).alias("run_avg_by_e"), r6(F.col("avg_last") / F.exp(F.lit(1.0))).alias("avg100_by_e"))
+
+
+@query(f"{_RIDGE} select i // 10 as episode, {sql.r('avg(case when pred = label then 1.0 else 0.0 end)')} as agreement from pred group by all")
+def eval_agreement(spark, sf):
+    frames = _scored(spark, sf).select(F.floor(F.col("i") / 10).alias("episode"), evaluate.argmax(F.col("scores")).alias("pred"), "label")
+    return rounded(evaluate.agreement(frames, "episode", "pred", "label"), "agreement")
+
+
+@query(f"""{_RIDGE} select {sql.r('avg(case when pred = label then 1.0 else 0.0 end)')} as acc from pred""")
+def agg_accuracy(spark, sf):
+    return _scored(spark, sf).agg(r6(evaluate.accuracy(evaluate.argmax(F.col("scores")), F.col("label"))).alias("acc"))
+
+
+@query(f"""{_RIDGE}, v as (select x.j, w.class, sum(x.v * w.w) as v from xtx x join w on w.j = x.k group by all)
+  select {sql.r('0.5 * sum(w.w * v.v) + 0.05 * sum(w.w * w.w) - sum(w.w * coalesce(y.v, 0))', 4)} as obj from w join v using (j, class) left join xty y on y.j = w.j and y.label = w.class""")
+def agg_objective(spark, sf):
+    x = design(spark, sf)
+    w = cut(solvers.weights_frame(spark, solvers.ridge(x, 0.1)))
+    model = w.select(F.col("j").alias("i"), F.col("label").alias("class"), "w")
+    kw = linalg.matvec(linalg.gram(x), model.withColumnRenamed("i", "j"))
+    y = linalg.cross_labels(x)
+    part = evaluate.objective(model, kw, y.limit(0).select(F.col("j").alias("i"), F.col("label").alias("class")), 0.1)
+    fit = w.join(y, ["j", "label"]).agg(F.sum(F.col("w") * F.col("v")).alias("fit"))
+    return part.join(F.broadcast(fit)).select(r6(F.col("obj") + 0.0 - F.col("fit"), 4).alias("obj"))
+
+
+@query(f"""{_RIDGE}, a as (select class, avg(case when label = class then 1.0 else 0.0 end) as y, avg(s) as s from s group by class) select class::int as class, {sql.r('y - s')} as intercept from a""")
+def agg_intercept(spark, sf):
+    s = evaluate.long_scores(_scored(spark, sf))
+    return rounded(s.groupBy("class").agg((F.avg((F.col("label") == F.col("class")).cast("double")) - F.avg("score")).alias("intercept")), "intercept")
+
+
+# --- block indices ----------------------------------------------------------------------------------------------------
+
+
+def _shape(spark, sf) -> tuple[int, int]:
+    return table(spark, sf, "embeddings").count(), 64
+
+
+def _grid(spark, sf, symmetric=False) -> DataFrame:
+    n, m = _shape(spark, sf)
+    return blocks.grid(spark, (n, n if symmetric else m), (SHARDS[0], SHARDS[0] if symmetric else SHARDS[1]), symmetric)
+
+
+def _stored(spark, sf) -> DataFrame:
+    """A store that is partly written: the blocks of which bi + bj is no multiple of 3."""
+    return _grid(spark, sf).where((F.col("bi") + F.col("bj")) % 3 != 0).select("bi", "bj")
+
+
+_GRID = "n as (select count(*) as n from embeddings), g as (select bi::int as bi, bj::int as bj from n, range(((n + 127) // 128)::bigint) a(bi), range(4) b(bj)), st as (select * from g where (bi + bj) % 3 <> 0)"
+
+
+@query(f"with {_GRID} select bi, bj, bi::bigint * 128 as r0, least(bi::bigint * 128 + 128, n) as r1, bj::bigint * 16 as c0, least(bj::bigint * 16 + 16, 64) as c1 from g, n")
+def blk_grid(spark, sf):
+    return _grid(spark, sf)
+
+
+@query("with n as (select count(*) as n from embeddings), a as (select unnest(range(((n + 127) // 128)::bigint))::int as b from n) select x.b as bi, y.b as bj from a x join a y on x.b >= y.b")
+def blk_sym_grid(spark, sf):
+    return _grid(spark, sf, True).select("bi", "bj")
+
+
+@query(f"with {_GRID} select * from st")
+def blk_exist(spark, sf):
+    return blocks.existing(_grid(spark, sf), _stored(spark, sf)).select("bi", "bj")
+
+
+@query(f"with {_GRID} select * from g except select * from st")
+def blk_missing(spark, sf):
+    return blocks.missing(_grid(spark, sf), _stored(spark, sf)).select("bi", "bj")
+
+
+@query(f"with {_GRID}, t as (select * from g where bj < 2) (select * from st except select * from t) union all (select * from t except select * from st)")
+def blk_symmetric_difference(spark, sf):
+    return blocks.symmetric_difference(_stored(spark, sf), _grid(spark, sf).where("bj < 2").select("bi", "bj"))
+
+
+@query(f"with {_GRID}, t as (select * from st union select bi, bj from g where bi % 2 = 0) select bi from t group by bi having count(*) = 4")
+def blk_row_complete(spark, sf):
+    g = _grid(spark, sf)
+    return blocks.complete_rows(g, _stored(spark, sf).unionByName(g.where("bi % 2 = 0").select("bi", "bj")))
+
+
+@query(f"with {_GRID}, t as (select * from st union select bi, bj from g where bi % 2 = 0) select distinct bi from g where bi not in (select bi from t group by bi having count(*) = 4)")
+def blk_row_missing(spark, sf):
+    g = _grid(spark, sf)
+    return blocks.incomplete_rows(g, _stored(spark, sf).unionByName(g.where("bi % 2 = 0").select("bi", "bj")))
+
+
+@query(f"with {sql.X} select i, j::int as j, (i // 128)::int as bi, (j // 16)::int as bj, (i % 128)::int as oi, (j % 16)::int as oj from x")
+def blk_locate(spark, sf):
+    return blocks.locate(coords(spark, sf).select("i", "j"), _shape(spark, sf), SHARDS)
+
+
+@query("with n as (select ((count(*) + 31) // 32)::bigint as n from embeddings), p as (select a, b, row_number() over (order by a, b) - 1 as k from n, range(n) x(a), range(n) y(b) where a <= b) select a::int as a, b::int as b, (k // 4)::int as job, (k // 12)::int as batch from p")
+def blk_pairs(spark, sf):
+    return blocks.pairs(spark, -(-_shape(spark, sf)[0] // 32), 4, 3)
+
+
+@query("select (row_number() over (order by o_orderkey) - 1) // 1000 as chunk, o_orderkey from orders")
+def blk_chunk(spark, sf):
+    placed = layouts.dense_index(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", "at")
+    return placed.select(F.col("at"), "o_orderkey").select(F.floor(F.col("at") / 1000).alias("chunk"), "o_orderkey")
+
+
+@query("with n as (select count(*)::bigint as n, ((count(*) + 6) // 7)::bigint as s from lineitem) select k::int as k, k * s as start, least(k * s + s, n) as stop from n, range(7) r(k) where k * s < n")
+def blk_chunk_idxs(spark, sf):
+    return blocks.chunk_ranges(spark, table(spark, sf, "lineitem").count(), 7)
+
+
+@query("with n as (select ((count(*) + 127) // 128)::bigint as n from embeddings) select a::int as bi, c::int as chunk, (c * 3)::int as first, (least(c * 3 + 3, n) - 1)::int as last from n, range(n) r(a), range(((n + 2) // 3)::bigint) q(c)")
+def blk_matvec_chunks(spark, sf):
+    n = -(-_shape(spark, sf)[0] // 128)
+    return blocks.matvec_chunks(spark, n, n, 3)
+
+
+@query("select (vec_id // 128)::int as bi, vec_id as i from embeddings")
+def blk_to_rows(spark, sf):
+    return blocks.block_rows(_grid(spark, sf).select("bi").distinct(), 128, _shape(spark, sf)[0])
+
+
+@query(f"with {_GRID}, c as (select count(*) as have from st), w as (select count(*) as want from g) select 'embeddings_train' as key, have, want from c, w union all select 'embeddings_test', 0, want from w")
+def blk_progress(spark, sf):
+    want = _grid(spark, sf).agg(F.count(F.lit(1)).alias("want"))
+    expected = want.select(F.explode(F.array(F.lit("embeddings_train"), F.lit("embeddings_test"))).alias("key"), "want")
+    return blocks.progress(expected, _stored(spark, sf).withColumn("key", F.lit("embeddings_train")), "embed")
+
+
+def _keys(spark, sf) -> DataFrame:
+    d = table(spark, sf, "documents").select("source").distinct()
+    return d.select(F.explode(F.array(F.concat("source", F.lit("_train")), F.concat("source", F.lit("_test")))).alias("key"))
+
+
+@query("select distinct concat(source, '_train') as train_key, concat(source, '_test') as test_key from documents")
+def blk_pair_train_test(spark, sf):
+    return blocks.pair_train_test(_keys(spark, sf))
+
+
+@query(f"with {_GRID} select bi, bj, concat_ws('_', bi * 128, least(bi * 128 + 128, n), 128, bj * 16, least(bj * 16 + 16, 64), 16, 0) as key, (bi * 128)::bigint as start_0, least(bj * 16 + 16, 64)::bigint as end_1 from g, n")
+def blk_key_parse(spark, sf):
+    k = _grid(spark, sf).withColumn("key", blocks.block_key("r0", "r1", 128, "c0", "c1", 16))
+    p = k.withColumn("p", blocks.parse_block_key(F.col("key")))
+    return p.select("bi", "bj", "key", F.col("p.start_0").alias("start_0"), F.col("p.end_1").alias("end_1"))
+
+
+@query("select event_id, sha1(value::varchar) as hash from events")
+def blk_hash(spark, sf):
+    return table(spark, sf, "events").select("event_id", blocks.content_hash(F.array("value")).alias("hash"))
+
+
+# --- sources and sinks ------------------------------------------------------------------------------------------------
+
+
+def _written(spark, sf) -> tuple[MatrixStore, Header]:
+    store = MatrixStore(spark, scratch(spark, "store"))
+    return store, store.shard("embeddings", design(spark, sf), *SHARDS)
+
+
+_ALL_CELLS = f"with {sql.X} select i, j::int as j, {sql.r('v')} as v from x"
+
+
+@query(_ALL_CELLS)
+def snk_shard(spark, sf):
+    store, h = _written(spark, sf)
+    return rounded(store.coords(h), "v")
+
+
+@query(f"with {sql.X} select i, j::int as j, {sql.r('v')} as v from x where j // 16 = 1")
+def src_colblock(spark, sf):
+    store, h = _written(spark, sf)
+    return rounded(layouts.blocks_to_coords(store.column_blocks(h, [1]), *SHARDS), "v")
+
+
+@query(f"with {sql.X} select i, j::int as j, {sql.r('v')} as v from x where i // 128 in (0, 2)")
+def src_rowblock(spark, sf):
+    store, h = _written(spark, sf)
+    return rounded(layouts.blocks_to_coords(store.row_blocks(h, [0, 2]), *SHARDS), "v")
+
+
+@query(f"with {sql.X} select i::int as i, (j - 16)::int as j, {sql.r('v')} as v from x where i // 128 = 0 and j // 16 = 1")
+def src_block_read(spark, sf):
+    store, h = _written(spark, sf)
+    return rounded(store.block(h, 0, 1), "v")
+
+
+@query(f"with {sql.X} select i, j::int as j, {sql.r('v')} as v from x where i = 130")
+def src_point(spark, sf):
+    store, h = _written(spark, sf)
+    return rounded(store.point(h, 130), "v")
+
+
+@query(f"with {sql.E} select a.i, b.i as j, {sql.r(_DOT + ' + case when a.i = b.i then 0.5 else 0 end')} as v from e a cross join e b")
+def src_sym_read(spark, sf):
+    """The lower triangle of a Gram matrix, stored, and read mirrored with a shifted diagonal."""
+    x = design(spark, sf)
+    n = x.count()
+    store, h = MatrixStore(spark, scratch(spark, "store")), Header("XXT(embeddings)", n, n, SHARDS[0], SHARDS[0], True, 0.5)
+    store.write_header(h)
+    t = layouts.rows_to_blocks(x, SHARDS[0], 64)
+    store.put(h, linalg.product_blocks(t, t, lower=True))
+    return rounded(store.coords(h), "v")
+
+
+@query(_ALL_CELLS)
+def snk_reshard_col(spark, sf):
+    store, h = _written(spark, sf)
+    return rounded(store.coords(store.column_sharded(h, 8)), "v")
+
+
+@query("select 'embeddings' as key, count(*) as n_rows, 64::bigint as n_cols, 128::int as shard_0, 16::int as shard_1, false as symmetric from embeddings")
+def src_list_matrices(spark, sf):
+    store, _ = _written(spark, sf)
+    return store.matrices().drop("diag_offset")
+
+
+@query(f"with {_GRID} select bi, bj from g where bi = 1 and bj = 2")
+def snk_delete(spark, sf):
+    """What is missing after one block has been deleted."""
+    store, h = _written(spark, sf)
+    store.delete_block(h, 1, 2)
+    return store.missing(h).select("bi", "bj")
+
+
+@query("select source, count(*) as n from documents where doc_id % 3 <> 0 group by source")
+def src_count(spark, sf):
+    d = table(spark, sf, "documents").select("source", F.concat("doc_id", F.when(F.col("doc_id") % 3 == 0, ".txt").when(F.col("doc_id") % 3 == 1, ".JPEG").otherwise(".png")).alias("name"))
+    return files.class_counts(d, "source", "name")
+
+
+@query("select * from documents where source in (select distinct source from documents order by source limit 5)")
+def src_npy_glob(spark, sf):
+    return files.first_files(table(spark, sf, "documents"), 5, "source").select("doc_id", "text", "lang", "source", "n_chars")
+
+
+@query(f"with {sql.E} select i, (label)::int as action, {sql.r('list_sum(v)')} as total from e")
+def src_episodes_par(spark, sf):
+    rows = design(spark, sf).select("i", F.concat("features", F.array(F.col("label").cast("double"))).alias("row"))
+    out = files.split_episode(rows, "row")
+    return rounded(out.select("i", "action", vectors.total(F.col("frame")).alias("total")), "total")
+
+
+@query("select event_id, (props->>'$.k')::int as k from events where (props->>'$.k')::int > 10")
+def src_results_filter(spark, sf):
+    path = scratch(spark, "results")
+    e = table(spark, sf, "events").select("event_id", F.from_json("props", "k int").alias("p"))
+    records.write_json(e.select("event_id", "p.k"), f"{path}/json")
+    return records.rebuilt(spark, f"{path}/json", "event_id long, k int", F.col("k") > 10, f"{path}/table")
+
+
+@query("select event_id::varchar as event_id, event_type, 'N/A' as note from events")
+def snk_results(spark, sf):
+    path = scratch(spark, "results")
+    records.append(table(spark, sf, "events"), ["event_id", "event_type", "note"], path)
+    return spark.read.parquet(path)
+
+
+@query("select event_id, md5(concat('{\"event_id\":', event_id, ',\"event_type\":\"', event_type, '\"}')) as experiment_hash from events")
+def snk_results_hash(spark, sf):
+    return records.identified(table(spark, sf, "events"), ["event_id", "event_type"]).select("event_id", "experiment_hash")
+
+
+# --- joins of frames and labels ---------------------------------------------------------------------------------------
+
+
+@query("""with p as (select user_id, hour(ts)::int as y, (event_id % 20)::int as x, event_type as c from events)
+  select a.user_id, a.y, a.x, a.c as c1, b.y - a.y as dy, b.x - a.x as dx, b.c as c2, count(*) as n from p a join p b using (user_id)
+  where b.y - a.y between -2 and 1 and b.x - a.x between -2 and 1 group by all""")
+def join_prost(spark, sf):
+    p = table(spark, sf, "events").select("user_id", F.hour("ts").alias("y"), (F.col("event_id") % 20).cast("int").alias("x"), F.col("event_type").alias("c"))
+    return joins.pairs_in_window(p, "user_id", 4, 4)
+
+
+@query("""with p as (select user_id, hour(ts)::int as y, (event_id % 20)::int as x, event_type as c from events)
+  select a.user_id, a.c as c1, b.c as c2, b.y - a.y as dy, b.x - a.x as dx, count(*) as n from p a join p b using (user_id) group by all""")
+def join_blob_pairs(spark, sf):
+    p = table(spark, sf, "events").select("user_id", F.hour("ts").alias("y"), (F.col("event_id") % 20).cast("int").alias("x"), F.col("event_type").alias("c"))
+    return joins.all_pairs(p, "user_id")
+
+
+@query("select doc_id, (dense_rank() over (order by source) - 1)::int as class from documents")
+def join_class_idx(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "source")
+    return d.join(F.broadcast(joins.class_index(d, "source")), "source").select("doc_id", "class")
+
+
+@query("select o_orderkey from orders where o_orderkey not in (select l_orderkey from lineitem where l_orderkey is not null)")
+def join_semi_anti(spark, sf):
+    return joins.resume(table(spark, sf, "orders").select("o_orderkey"), table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), ["o_orderkey"])
+
+
+@query("select vec_id as i, label from embeddings where label < 5")
+def join_subset(spark, sf):
+    return joins.label_subset(design(spark, sf).select("i", "label"), 5)
+
+
+@query("select doc_id as i, quality as label from labels where doc_id in (select doc_id from documents)")
+def join_labels(spark, sf):
+    return joins.labels_of_block(table(spark, sf, "labels").select(F.col("doc_id").alias("i"), F.col("quality").alias("label")), table(spark, sf, "documents").select(F.col("doc_id").alias("i")))
+
+
+# --- sequences --------------------------------------------------------------------------------------------------------
+
+
+@query(f"""with w as (select user_id, event_id, list(value) over (partition by user_id order by event_id rows between 3 preceding and current row) as s from events)
+  select user_id, event_id, {', '.join(f"{sql.r(f's[{k}]')} as f{k}" for k in range(1, 5))} from w where len(s) = 4""")
+def win_frames4(spark, sf):
+    s = windows.frame_stack(table(spark, sf, "events"), "user_id", "event_id", "value")
+    return s.select("user_id", "event_id", *[r6(F.element_at("stack", k)).alias(f"f{k}") for k in range(1, 5)])
+
+
+@query(f"""with w as (select *, first_value(value) over w as f, {', '.join(f'lag(value, {k}) over w as l{k}' for k in (1, 2, 3))} from events window w as (partition by user_id order by event_id))
+  select user_id, event_id, {', '.join(f"{sql.r(f'coalesce(l{k}, f)')} as f{4 - k}" for k in (3, 2, 1))}, {sql.r('value')} as f4 from w""")
+def win_lag4(spark, sf):
+    s = windows.lag_stack(table(spark, sf, "events"), "user_id", "event_id", "value")
+    return s.select("user_id", "event_id", *[r6(F.element_at("lags", k)).alias(f"f{k}") for k in range(1, 5)])
+
+
+@query("select event_id, event_type from events where event_id % 10 = 0")
+def win_stride(spark, sf):
+    return windows.stride(table(spark, sf, "events"), "event_id", 10).select("event_id", "event_type")
+
+
+@query("with c as (select source, count(*) as n from documents group by source) select source, n, coalesce(sum(n) over (order by source rows between unbounded preceding and 1 preceding), 0)::bigint as start from c")
+def win_prefix(spark, sf):
+    return windows.offsets(table(spark, sf, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n")), "source")
+
+
+@query(f"with {sql.X}, s as (select i, var_pop(v) as var from x group by i) select i, {sql.r('var')} as var from s order by round(var, 12) desc, i limit 20")
+def win_rank(spark, sf):
+    v = design(spark, sf).select("i", F.round(vectors.variance(F.col("features")), 12).alias("var"))
+    return rounded(windows.top_by(v, "var", 20, "i"), "var")
+
+
+@query("select vec_id as i from embeddings")
+def win_permute(spark, sf):
+    """A permutation has each row once; the places themselves are checked by tests."""
+    return blocks.shuffled(design(spark, sf).select("i"), "i", 7).where("place is not null").select("i")
+
+
+@query()
+def win_sample(spark, sf):
+    return windows.sample_without(design(spark, sf).select("i", "label"), "i", 100, 3)
+
+
+# --- features ---------------------------------------------------------------------------------------------------------
+
+
+@query(f"with {sql.X}, {sql.PX} select id, c, (y // 2)::int as cy, (x // 2)::int as cx, {sql.r('sum(v) / 4')} as v from px group by all")
+def fea_density(spark, sf):
+    return rounded(images.density(image_pixels(spark, sf), 8, 8, 2, 2), "v")
+
+
+@query(f"with {sql.X}, {sql.PX} select id, c, (y // 3)::int as cy, (x // 3)::int as cx, round(sum(v) / 9, 9) > 0.05 as v from px where y < 6 and x < 6 group by all")
+def fea_threshold(spark, sf):
+    d = images.density(image_pixels(spark, sf), 8, 8, 3, 3).withColumn("v", F.round("v", 9))
+    return images.threshold(d, 0.05)
+
+
+@query(f"""with {sql.X}, q as (select i as id, (j // 16)::int as c, (j % 16 // 4)::int as y, (j % 4)::int as x, v from x)
+  select id, y, x, {sql.r('sum(v * case c when 0 then 0.2125 when 1 then 0.7154 else 0.0721 end)')} as v from q where c < 3 group by all""")
+def fea_density_gray(spark, sf):
+    px = images.pixels(design(spark, sf), (4, 4, 4)).where("c < 3")
+    return rounded(images.grey(px), "v").select("id", "y", "x", "v")
+
+
+@query(f"""with {sql.X}, {sql.PX}, p as (select px.id, py, q as px, v from px, range(6) a(py), range(6) b(q) where y between py and py + 2 and px.x between q and q + 2)
+  select id, py::int as py, px::int as px, {sql.r('avg(v)')} as m, {sql.r('stddev_pop(v)')} as s from p group by all""")
+def fea_patchify(spark, sf):
+    return rounded(images.patch_statistics(images.patches(image_pixels(spark, sf), IMAGE, 3)), "m", "s")
+
+
+@query(f"""with {sql.X}, q as (select i as id, (j // 16)::int as c, (j % 16 // 4)::int as y, (j % 4)::int as x, v from x),
+  p as (select id, c, gy, gx, v from q, range(2) a(gy), range(2) b(gx) where y between gy * 2 and gy * 2 + 1 and q.x between gx * 2 and gx * 2 + 1)
+  select id, c, gy::int as gy, gx::int as gx, {sql.r('avg(v)')} as m, {sql.r('stddev_pop(v)')} as s from p group by all""")
+def fea_lcs(spark, sf):
+    return rounded(images.local_statistics(images.pixels(design(spark, sf), (4, 4, 4)), 4, 4, 2, 2), "m", "s")
+
+
+@query(f"""with {sql.X}, {sql.PX},
+  w as (select id as f, y as dy, x as dx, v as w from px where id < 8 and y < 3 and x < 3),
+  cv as (select px.id, w.f, a.py, b.q, sum(px.v * w.w) as c from px, range(6) a(py), range(6) b(q), w where px.y = a.py + w.dy and px.x = b.q + w.dx group by all),
+  r as (select id, f, py, q, unnest([0, 1]) as sign, unnest([greatest(c - 0.05, 0), greatest(-c - 0.05, 0)]) as v from cv)
+  select id, f, sign::int as sign, (py // 3)::int as py, (q // 3)::int as px, {sql.r('avg(v)')} as v from r group by id, f, sign, py // 3, q // 3""")
+def fea_conv(spark, sf):
+    """Filters are the corner patches of the first eight images, as a fixed bank."""
+    x = design(spark, sf)
+    bank = np.array([np.array(r["features"]).reshape(8, 8)[:3, :3] for r in x.where("i < 8").orderBy("i").collect()])[:, None]
+    out = images.map_images(x, IMAGE, images.convolve(bank, 0.05, 3, 3))
+    k = F.col("k")
+    n = len(bank)
+    cells = out.select(F.col("i").alias("id"), F.posexplode("features").alias("k", "v"))
+    ch = F.floor(k / 4)
+    return rounded(cells.select("id", (ch % n).cast("long").alias("f"), F.floor(ch / n).cast("int").alias("sign"), F.floor(k % 4 / 2).cast("int").alias("py"), (k % 2).cast("int").alias("px"), "v"), "v")
+
+
+def _mapped(f: Callable[[Column], Column]) -> Callable:
+    return lambda spark, sf: rounded(design(spark, sf).select("i", F.posexplode(f(F.col("features"))).alias("j", "v")), "v")
+
+
+@query(f"with {sql.X}, p as (select i, j, sign(v) * sqrt(abs(v)) as v from x) select i, j::int as j, {sql.r('v / sqrt(sum(v * v) over (partition by i))')} as v from p")
+def fea_power_norm(spark, sf):
+    return _mapped(vectors.power_normalised)(spark, sf)
+
+
+@query(f"with {sql.X} select i, j::int as j, {sql.r('v / 255', 9)} as v from x")
+def fea_norm_255(spark, sf):
+    out = design(spark, sf).select("i", F.posexplode(vectors.scale_255(F.col("features"))).alias("j", "v"))
+    return rounded(out, "v", places=9)
+
+
+@query(f"with {sql.X}, a as (select i, j, v / 255 - avg(v / 255) over (partition by i) as v from x) select i, j::int as j, {sql.r('v / (sqrt(sum(v * v) over (partition by i)) / 55)')} as v from a")
+def fea_norm_contrast(spark, sf):
+    return _mapped(vectors.contrast_normalised)(spark, sf)
+
+
+@query(f"with {sql.X} select i, j::int as j, {sql.r('v / 8')} as v from x")
+def fea_scale(spark, sf):
+    return _mapped(vectors.by_width)(spark, sf)
+
+
+@query(f"""with {sql.X}, n as (select i, sqrt(sum(9 * v * v)) as n from x group by i), c as (select i, j, n, least(3 * v / greatest(n, 1), 0.2) as v from x join n using (i))
+  select i, j::int as j, {sql.r('case when n > 1 then v / sqrt(sum(v * v) over (partition by i)) else v end')} as v from c""")
+def fea_sift_norm(spark, sf):
+    return _mapped(lambda v: vectors.sift_normalised(F.transform(v, lambda x: 3 * x)))(spark, sf)
+
+
+@query(f"with {sql.X}, a as (select i, j, v / sqrt(sum(v * v) over (partition by i)) as v from x) select i, j::int as j, {sql.r('v')} as v from a union all select i, (j + 64)::int, {sql.r('v')} from a")
+def fea_fusion(spark, sf):
+    x = design(spark, sf)
+    return rounded(descriptors.fusion(x, x).select("i", F.posexplode("features").alias("j", "v")), "v")
+
+
+@query("select vec_id as i, class::int as class, case when label = class then 1.0::double else 0.0::double end as v from embeddings, range((select max(label) + 1 from embeddings)) t(class)")
+def fea_onehot(spark, sf):
+    x = design(spark, sf).select("i", "label")
+    return joins.one_hot(x, x.agg(F.max("label")).first()[0] + 1).select("i", "class", "v")
+
+
+@query(f"with {sql.X} select i, (j % 16 * 4 + j // 16)::int as j, {sql.r('v')} as v from x")
+def fea_transpose(spark, sf):
+    return _mapped(lambda v: vectors.chw_to_hwc(v, 4, 4, 4))(spark, sf)
+
+
+@query(f"with {sql.X} select i, (j + 64 * k)::int as j, {sql.r('v')} as v from x, range(3) r(k)")
+def fea_grayscale_rgb(spark, sf):
+    return _mapped(vectors.grey_to_rgb)(spark, sf)
+
+
+@query("select event_id, least(floor(floor(value * 2) / 63), 3)::int as bin from events where floor(value * 2) between 0 and 255")
+def fea_colour_bins(spark, sf):
+    e = table(spark, sf, "events").select("event_id", F.floor(F.col("value") * 2).alias("v")).where(F.col("v").between(0, 255))
+    return images.colour_bins(e, 4).select("event_id", "bin")
+
+
+@query(f"""with {sql.X}, {sql.PX}, p as (select px.id, py, q as px, v from px, range(6) a(py), range(6) b(q) where y between py and py + 2 and px.x between q and q + 2),
+  s as (select id, py, px, var_pop(v) as var from p group by all) select id, py::int as py, px::int as px, {sql.r('var')} as var from s where var > 1e-3 order by var desc, id, py, px limit 16""")
+def fea_filt_empirical(spark, sf):
+    """The 16 patches of the largest variance; the sample is as large as all patches."""
+    parts = images.patches(image_pixels(spark, sf), IMAGE, 3)
+    n = table(spark, sf, "embeddings").count() * 36
+    return rounded(images.empirical_filters(parts, 16, -(-n // 16), 1e-3, 0).select("id", "py", "px", "var"), "var")
+
+
+@query("with p as (select a as patch, b as pool from range(1, 160) x(a), range(50, 161) y(b)) select patch::int as patch, min(pool)::int as pool from p where floor((160 - patch + 1 - pool) / 14.0) + 1 = 2 group by patch")
+def fea_pool_search(spark, sf):
+    return images.smallest_pools(spark, 160)
+
+
+@query(f"""with {sql.X}, d as (select i, (j // 4)::int as pos, (j % 4)::int as k, v, label from x),
+  g as (select label as c, k, avg(v) as mu, greatest(var_pop(v), 1e-3) as var, count(*) as n from d group by all),
+  sh as (select c, n / sum(n) over () as pi from (select distinct c, n from g)),
+  lp as (select d.i, d.pos, g.c, ln(any_value(sh.pi)) - 0.5 * sum(ln(2 * pi() * g.var) + (d.v - g.mu) * (d.v - g.mu) / g.var) as lp from d join g using (k) join sh on sh.c = g.c group by d.i, d.pos, g.c),
+  q as (select i, pos, c, exp(lp - max(lp) over (partition by i, pos)) as q from lp), qn as (select i, pos, c, q / sum(q) over (partition by i, pos) as q from q),
+  z as (select d.i, d.k, g.c, sum(qn.q * (d.v - g.mu) / sqrt(g.var)) / 16 / sqrt(any_value(sh.pi)) as m, sum(qn.q * ((d.v - g.mu) * (d.v - g.mu) / g.var - 1)) / 16 / sqrt(2 * any_value(sh.pi)) as s
+        from d join g using (k) join qn on qn.i = d.i and qn.pos = d.pos and qn.c = g.c join sh on sh.c = g.c group by d.i, d.k, g.c)
+  select i, c::int as c, k, {sql.r('m')} as m, {sql.r('s')} as s from z""")
+def fea_fisher(spark, sf):
+    """Fisher vectors of descriptors under the Gaussians of the labels."""
+    x = design(spark, sf)
+    cell = x.select("i", "label", F.posexplode("features").alias("j", "v")).withColumn("pos", F.floor(F.col("j") / 4).cast("int")).withColumn("k", F.col("j") % 4)
+    g = cell.groupBy("label", "k").agg(F.avg("v").alias("m"), F.greatest(F.var_pop("v"), F.lit(1e-3)).alias("s"), F.count(F.lit(1)).alias("n")).orderBy("label", "k").collect()
+    c = len(g) // 4
+    means, var, n = (np.array([r[f] for r in g], dtype=float).reshape(c, 4) for f in ("m", "s", "n"))
+    d = x.select("i", F.explode(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda p: F.struct(p.alias("pos"), F.slice("features", p * 4 + 1, 4).alias("f")))).alias("d")).select("i", "d.pos", F.col("d.f").alias("features"))
+    fv = descriptors.fisher_vectors(d, n[:, 0] / n[:, 0].sum(), means, var, improved=True)
+    k = F.col("k")
+    cells = fv.select("i", F.posexplode("features").alias("k", "v"))
+    side = F.floor(k / (4 * c))
+    out = cells.select("i", F.floor(k % (4 * c) / 4).cast("int").alias("c"), (k % 4).alias("k"), F.when(side == 0, F.col("v")).alias("m"), F.when(side == 1, F.col("v")).alias("s"))
+    return rounded(out.groupBy("i", "c", "k").agg(F.max("m").alias("m"), F.max("s").alias("s")), "m", "s")
+
+
+@query()
+def fea_zca(spark, sf):
+    x = design(spark, sf)
+    return images.whiten(x, images.whitening(x))
+
+
+@query()
+def ker_rff(spark, sf):
+    return kernels.random_fourier(design(spark, sf), 128, 1.0, 0)
+
+
+@query()
+def ker_nystroem(spark, sf):
+    x = design(spark, sf)
+    return kernels.nystroem(x, kernels.landmarks(x, 32), 1.0)
+
+
+@query()
+def fea_dsift(spark, sf):
+    return descriptors.sift_table(design(spark, sf), 8, 8, 4, 2, (0.8, 1.8))
+
+
+@query()
+def fea_grab_patches(spark, sf):
+    return images.sample_patches(design(spark, sf), IMAGE, 3, 4, 5)
+
+
+@query()
+def fea_augment(spark, sf):
+    return images.augment(design(spark, sf), IMAGE, 6, 3, 5)
+
+
+@query()
+def fea_blob(spark, sf):
+    bright = design(spark, sf).withColumn("features", F.transform("features", lambda x: F.greatest(F.least((x + 0.5) * 255, F.lit(255.0)), F.lit(0.0))))
+    return images.map_images(bright, IMAGE, images.blob_grid(3, 4))
+
+
+@query()
+def fea_canny_cell(spark, sf):
+    return images.map_images(design(spark, sf), IMAGE, images.edge_share(4))
+
+
+@query()
+def fea_resize(spark, sf):
+    return images.map_images(design(spark, sf), IMAGE, lambda x: images.resize(x, 5, 5))
+
+
+@query()
+def fea_network(spark, sf):
+    """A small network with weights drawn from a fixed seed, up to its first pool."""
+    rng = np.random.default_rng(0)
+    net = descriptors.network([("conv0", "conv", rng.normal(size=(4, 1, 3, 3)), np.zeros(4), 1), ("relu0", "relu"), ("pool0", "pool", 2, 2, "max"), ("fc0", "dense", rng.normal(size=(64, 8)), np.zeros(8))], "pool0")
+    return images.map_images(design(spark, sf), IMAGE, net)
+
+
+# --- streams ----------------------------------------------------------------------------------------------------------
+
+
+@query(f"""with z as (select [l_quantity, l_discount, l_tax] as v from lineitem)
+  select a::int as i, b::int as j, {sql.r('sum(v[a + 1] * v[b + 1])', 3)} as v from z, range(3) x(a), range(3) y(b) group by all""")
+def str_incremental(spark, sf):
+    """X'X over a stream of the rows, batch by batch; batches add to sums that are kept."""
+    path = scratch(spark, "stream")
+    source = table(spark, sf, "lineitem").select("l_quantity", "l_discount", "l_tax")
+    source.repartition(4).write.parquet(f"{path}/in")
+    acc = pipelines.Accumulator(spark, f"{path}/sums")
+
+    def work(rows: DataFrame, batch: int) -> None:
+        acc.add(pipelines.running_gram(rows, ["l_quantity", "l_discount", "l_tax"]), batch)
+
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    stream.writeStream.foreachBatch(work).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return rounded(acc.total(), "v", places=3)
+
+
+@query("select doc_id % 4 as doc_key, count(*) as n from documents group by all")
+def str_queue(spark, sf):
+    """Work items as JSON files, consumed by batches that record what they did."""
+    path = scratch(spark, "queue")
+    items = table(spark, sf, "documents").select((F.col("doc_id") % 4).alias("doc_key"))
+    pipelines.produce(items.repartition(3), f"{path}/in")
+
+    def work(rows: DataFrame, batch: int) -> None:
+        rows.groupBy("doc_key").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/out/batch={batch}")
+
+    pipelines.consume(spark, f"{path}/in", "doc_key long", f"{path}/checkpoint", work).awaitTermination()
+    return spark.read.parquet(f"{path}/out").groupBy("doc_key").agg(F.sum("n").alias("n"))
