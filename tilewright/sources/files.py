@@ -40,9 +40,11 @@ def tar_members(spark: SparkSession, path: str, decode: Callable[[bytes], object
 
     ``decode`` returns the values of ``ddl`` after the name, or None to leave a member out.
     """
+    from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     schema = StructType.fromDDL("file string, " + ddl)
+    arrow = to_arrow_schema(schema)
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,7 +61,7 @@ def tar_members(spark: SparkSession, path: str, decode: Callable[[bytes], object
                             if values is not None:
                                 for c, v in zip(out, (file, m.name, *values), strict=True):
                                     c.append(v)
-                yield pa.RecordBatch.from_pydict(dict(zip(names, out, strict=True)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow, strict=True)], schema=arrow)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,10 +24,11 @@ def label(name: Column, spaces: bool = True) -> Column:
 
 def flatten_maps(*maps: Column) -> Column:
     """Maps as one; of equal keys the last wins."""
-    out = maps[0]
-    for m in maps[1:]:
-        out = F.map_concat(F.map_filter(out, lambda k, _, m=m: ~F.map_contains_key(m, k)), m)
-    return out
+
+    def over(a: Column, b: Column) -> Column:
+        return F.map_concat(F.map_filter(a, lambda k, _: ~F.array_contains(F.map_keys(b), k)), b)
+
+    return functools.reduce(over, maps)
 
 
 def aligned(rows: DataFrame, header: list[str], missing: str = "N/A") -> DataFrame:
