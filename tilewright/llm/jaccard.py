@@ -262,7 +262,8 @@ def _candidates(docs: DataFrame, order, rule: Rule, n: int, buckets: int) -> Dat
             return
         key, salt, salts, cls, size, pos = (np.concatenate(x) for x in zip(*got, strict=True))
         del got
-        o = np.lexsort((cls, salt, key))
+        # a group begins with the class of the fewest n-grams rarer than its own, which most of the others are likest to
+        o = np.lexsort((cls, size, pos, salt, key))
         key, salt, salts, cls, size, pos = (x[o] for x in (key, salt, salts, cls, size, pos))
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])])
         keep = np.concatenate([[True], new[1:] | (cls[1:] != cls[:-1])])
