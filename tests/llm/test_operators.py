@@ -300,7 +300,7 @@ def test_decontamination_is_brute_force(spark, empty, most):
     out = decontaminate.judge(decontaminate.find(df, bench, broadcast_bytes=most)).collect()
     assert {r["doc_id"]: (r["n_words"], r["n_hit"], sorted(r["items"]), r["contaminated"]) for r in out} == want and len(out) == len(texts)
     assert decontaminate.find(empty, bench).count() == 0 and decontaminate.judge(decontaminate.find(df, bench.limit(0))).where("contaminated").count() == 0
-    kept = {r["doc_id"]: r["text"] for r in decontaminate.clean(df, bench).collect()}
+    kept = {r["doc_id"]: r["text"] for r in decontaminate.clean(df, bench, broadcast_bytes=most).collect()}
     assert set(kept) == {d for d, x in want.items() if not x[3]} and all(kept[d] == texts[d] for d in kept if not want[d][1])
     assert decontaminate.without("Ab, cd! ef", np.array([False, True, False])) == "Ab,  ef"
 

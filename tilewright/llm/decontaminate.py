@@ -108,31 +108,44 @@ def without(text: str, hit: np.ndarray) -> str:
     return b"".join(out).decode()
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows that aren't contaminated, with all their columns; words in occurring windows are cut from their texts.
 
-    One narrow pass for each part of the benchmark; a document is judged on all words that it had at first.
+    A narrow pass; with a benchmark of several parts, the spans of all parts are united first and joined to their rows.
     """
     spark = ship(docs.sparkSession)
-    parts = _parts(benchmark, item_col, item_text, BROADCAST_BYTES)
-    if len(parts) > 1:
-        raise NotImplementedError(f"a benchmark of more than {BROADCAST_BYTES} bytes: use find() and judge()")
-    sent = spark.sparkContext.broadcast(WindowSet(parts[0](), window))
+    parts = _parts(benchmark, item_col, item_text, broadcast_bytes)
     at = docs.columns.index(text_col)
+    if len(parts) > 1:
+        row = f"_{'_'.join(docs.columns)}_"  # clashes with no column
+        named = cut(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminate")
+        found = find(named, benchmark, window, broadcast_bytes, row, text_col, item_col, item_text).where(F.size("spans") > 0)
+        source = named.join(found.select(row, F.col("spans").alias(f"{row}spans")), row, "left").drop(row)
+        sent = None
+    else:
+        source, sent = docs, spark.sparkContext.broadcast(WindowSet(parts[0](), window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, stay = [], []
-            for text in b.column(at):
+            spans = b.column(b.num_columns - 1).to_pylist() if sent is None else None
+            for k, text in enumerate(b.column(at)):
                 t = text.as_py()
                 words = words_of(t or "")
-                hit, _ = sent.value.scan(words)
+                if spans is None:
+                    hit, _ = sent.value.scan(words)
+                else:
+                    hit = np.zeros(len(words), bool)
+                    for s in spans[k] or ():
+                        hit[s["start"] : s["stop"]] = True
                 n = int(hit.sum())
                 stay.append(not n or 20 * n < len(words))
                 texts.append(without(t, hit) if n and stay[-1] else t)
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(b.num_columns)], schema=b.schema).filter(pa.array(stay, pa.bool_()))
+            cols = [pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(len(docs_columns))]
+            yield pa.RecordBatch.from_arrays(cols, names=docs_columns).filter(pa.array(stay, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    docs_columns = docs.columns
+    return source.mapInArrow(run, docs.schema)
 
 
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
