@@ -72,7 +72,7 @@ class Chunk:
     ``anchor``, ``low`` and ``high``: the anchor's place and the first and last string that it is the anchor of.
     """
 
-    def __init__(self, run: int, ids: list[int | None], texts: list[bytes], length: int):
+    def __init__(self, run: int, ids: list[int | None], texts: list[bytes], length: int, find: bool = True):
         self.run, self.length = run, length
         self.ids = np.array([_NO_ID if i is None else i for i in ids], np.int64)
         sizes = np.array([len(t) for t in texts], np.int64)
@@ -80,6 +80,8 @@ class Chunk:
         self.data = np.frombuffer(b"".join(texts), np.uint8)
         n, seed = len(self.data), min(SEED, length)
         self.seed, self.wide = seed, length - seed + 1
+        if not find:
+            return
         whole = np.zeros(max(0, n - length + 1), bool)
         for a, z, i in zip(self.starts[:-1].tolist(), self.starts[1:].tolist(), self.ids.tolist(), strict=True):
             if i != _NO_ID:
@@ -100,8 +102,20 @@ class Chunk:
             high = np.concatenate([low[1:], [len(a)]]) - 1
             real = a[low] >= 0
             parts.append(np.stack([a[low][real], low[real], high[real]]) + s)
-        self.anchor, self.low, self.high = np.concatenate(parts, axis=1) if parts else np.empty((3, 0), np.int64)
-        self.doc = self.ids[np.searchsorted(self.starts, self.low, "right") - 1]
+        self._set(*(np.concatenate(parts, axis=1) if parts else np.empty((3, 0), np.int64)))
+
+    def _set(self, anchor: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        self.anchor, self.low, self.high = anchor, low, high
+        self.doc = self.ids[np.searchsorted(self.starts, low, "right") - 1]
+
+    def packed(self) -> bytes:
+        """The anchors, to be found again by :meth:`unpack`."""
+        return len(self.low).to_bytes(8, "little") + (self.anchor - self.low).astype(np.uint8).tobytes() + (self.high - self.low).astype(np.uint8).tobytes() + suffixes.squeeze(self.low)
+
+    def unpack(self, raw: bytes) -> None:
+        n = int.from_bytes(raw[:8], "little")
+        low = suffixes.expand(raw[8 + 2 * n :]).astype(np.int64)
+        self._set(low + np.frombuffer(raw, np.uint8, n, 8), low, low + np.frombuffer(raw, np.uint8, n, 8 + n))
 
     def keys(self) -> np.ndarray:
         """64-bit hashes of the anchors' own bytes."""
@@ -129,9 +143,9 @@ class Chunk:
             rows[:, right + left], rows[:, right + left + 1] = after, before
         return rows
 
-    def strings(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The strings of some anchors as rows, with their places and documents."""
-        lo, n = self.low[which], self.high[which] - self.low[which] + 1
+    def strings(self, which: np.ndarray, most: int = 1 << 62) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The strings of some anchors (the first so many of each) as rows, with their places and documents."""
+        lo, n = self.low[which], np.minimum(self.high[which] - self.low[which] + 1, most)
         at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         rows = np.zeros((len(at), -(-self.length // 8) * 8), np.uint8)
         if len(at):
@@ -139,19 +153,19 @@ class Chunk:
         return rows, at, np.repeat(self.doc[which], n)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], length: int, size: int) -> Iterator[Chunk]:
+def _chunks(batches: Iterator[pa.RecordBatch], length: int, size: int, find: bool) -> Iterator[Chunk]:
     part, k, ids, texts, held = TaskContext.get().partitionId(), 0, [], [], 0
     for b in batches:
         for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             raw = text.as_buffer()
             if held and held + len(raw) > size:
-                yield Chunk(part << 24 | k, ids, texts, length)
+                yield Chunk(part << 24 | k, ids, texts, length, find)
                 k, ids, texts, held = k + 1, [], [], 0
             ids.append(key)
             texts.append(raw.to_pybytes())
             held += len(raw)
     if ids:
-        yield Chunk(part << 24 | k, ids, texts, length)
+        yield Chunk(part << 24 | k, ids, texts, length, find)
 
 
 def _mark(c: Chunk) -> bytes:
@@ -159,47 +173,57 @@ def _mark(c: Chunk) -> bytes:
 
 
 class Mail:
-    """The answers for each run: files of 64-bit numbers in ascending order."""
+    """Small files for each run, in the shared folder."""
 
     def __init__(self, folder: str):
         self.folder = folder
 
+    def put(self, run: int, data: bytes) -> None:
+        with Staged(self.folder, f"run-{run:012x}") as f:
+            f.write(data)
+
+    def fetch(self, run: int) -> bytes:
+        """The run's file, or nothing where it has none."""
+        fs, base = file_system(self.folder)
+        path = f"{base}/run-{run:012x}"
+        if fs.get_file_info(path).type == pafs.FileType.NotFound:
+            return b""
+        with fs.open_input_file(path) as f:
+            return f.read()
+
     def send(self, rows: DataFrame) -> None:
-        """Writes (run, data) rows to a file for each run; a run's rows are of bounded size together, as the run is."""
-        folder = self.folder
+        """Writes (run, bucket, data) rows to a file for each run, whose rows together are bounded as the run is."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last, parts, made = None, [], 0
-
-            def put() -> None:
-                x = np.concatenate([np.frombuffer(p, "<u8") for p in parts])
-                x.sort()
-                with Staged(folder, f"run-{last:012x}") as f:
-                    f.write(x.tobytes())
-
             for b in batches:
-                for key, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for key, bucket, data in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                     if key != last:
                         if parts:
-                            put()
+                            self.put(last, b"".join(parts))
                             made += 1
                         last, parts = key, []
-                    parts.append(data)
+                    parts += [np.array([bucket, len(data)], "<u4").tobytes(), data]
             if parts:
-                put()
+                self.put(last, b"".join(parts))
                 made += 1
             yield pa.RecordBatch.from_pydict({"n": pa.array([made], pa.int64())})
 
         n = partitions(rows.sparkSession)
-        rows.repartition(n, "run").sortWithinPartitions("run").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+        rows.repartition(n, "run").sortWithinPartitions("run", "bucket").mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
-    def get(self, run: int) -> np.ndarray:
-        fs, base = file_system(self.folder)
-        path = f"{base}/run-{run:012x}"
-        if fs.get_file_info(path).type == pafs.FileType.NotFound:
-            return np.empty(0, np.uint64)
-        with fs.open_input_file(path) as f:
-            return np.frombuffer(f.read(), "<u8")
+    def parts(self, run: int) -> Iterator[tuple[int, bytes]]:
+        raw, at = self.fetch(run), 0
+        while at < len(raw):
+            bucket, n = np.frombuffer(raw, "<u4", 2, at).tolist()
+            yield bucket, raw[at + 8 : at + 8 + n]
+            at += 8 + n
+
+    def numbers(self, run: int) -> np.ndarray:
+        """All parts as one ascending array of 64-bit numbers."""
+        x = np.frombuffer(b"".join(d for _, d in self.parts(run)), "<u8").copy()
+        x.sort()
+        return x
 
 
 def _has(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -212,9 +236,22 @@ _ROWS = "run long, bucket int, data binary"
 _ROW_SCHEMA = pa.schema([("run", pa.int64()), ("bucket", pa.int32()), ("data", pa.binary())])
 
 
-def _anchor_key(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bucket of a hash, and 31 more bits of it; a clash makes a candidate that the sorted suffixes tell apart."""
-    return ((h >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64), (h & np.uint64(0x7FFFFFFF)).astype(np.uint32)
+def _by_key(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes as buckets and 32 more bits of them, in ascending order, with their places and where new ones begin.
+
+    A clash makes a candidate that the sorted suffixes tell apart.
+    """
+    full = ((h >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32) | (h & np.uint64(0xFFFFFFFF))
+    o = np.argsort(full)
+    full = full[o]
+    return full, o, np.concatenate([[True], full[1:] != full[:-1]]) if len(full) else np.empty(0, bool)
+
+
+def _entries(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A run's hashes in a bucket, and which of them several of its documents have."""
+    n = 4 + int.from_bytes(raw[:4], "little")
+    keys = suffixes.expand(raw[4:n])
+    return keys, np.unpackbits(np.frombuffer(raw, np.uint8, offset=n), count=len(keys)).astype(bool)
 
 
 class Dedup:
@@ -224,84 +261,81 @@ class Dedup:
         self.spark, self.length, self.chunk = docs.sparkSession, length, chunk
         self.buckets = partitions(self.spark)
         self.docs, self.folder = docs, scratch(self.spark, "suffixes")
-        self.mail = [Mail(f"{self.folder}/{x}") for x in ("anchors", "contexts", "strings")]
+        self.marks, self.shared, self.found, self.context_mail, self.states, self.string_mail = (Mail(f"{self.folder}/{x}") for x in ("marks", "shared", "candidates", "contexts", "states", "strings"))
 
-    def _pass(self, work: Callable[[Chunk, Out], Iterator[pa.RecordBatch] | None], ddl: str, schema: pa.Schema) -> DataFrame:
+    def _pass(self, work: Callable[[Chunk, Out], Iterator[pa.RecordBatch] | None], ddl: str, schema: pa.Schema, find: bool) -> DataFrame:
         length, size = self.length, self.chunk
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = Out(schema)
-            for c in _chunks(batches, length, size):
+            for c in _chunks(batches, length, size, find):
                 yield from work(c, out) or ()
                 yield out.take()
 
         return self.docs.mapInArrow(run, ddl)
 
-    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+    def anchors(self) -> list[np.ndarray]:
         """Step 1; returns splitters for contexts and for strings."""
-        buckets, marks = self.buckets, f"{self.folder}/marks"
+        buckets, marks = self.buckets, self.marks
 
         def send(c: Chunk, out: Out) -> None:
-            with Staged(marks, f"run-{c.run:012x}") as f:
-                f.write(_mark(c))
             h = c.keys()
-            if not len(h):
-                return
             # the smallest hashes are a sample of the run
-            some = np.argpartition(h, min(_SAMPLES, len(h)) - 1)[:_SAMPLES]
-            out.add(c.run, -1, c.contexts(some).tobytes())
-            out.add(c.run, -2, c.strings(some)[0].tobytes())
-            bucket, key = _anchor_key(h, buckets)
-            full = bucket.astype(np.uint64) << np.uint64(32) | key.astype(np.uint64)
-            o = np.lexsort((c.doc, full))
-            full, doc = full[o], c.doc[o]
-            first = np.flatnonzero(np.concatenate([[True], full[1:] != full[:-1]]))
+            some = np.argpartition(h, min(_SAMPLES, len(h)) - 1)[:_SAMPLES] if len(h) else np.empty(0, np.int64)
+            marks.put(c.run, _mark(c) + c.contexts(some).tobytes() + c.strings(some, 1)[0].tobytes())
+            full, o, new = _by_key(h, buckets)
+            first = np.flatnonzero(new)
+            if not len(first):
+                return
+            doc = c.doc[o]
             several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
-            full = full[first]
-            value = (full & np.uint64(0x7FFFFFFF)).astype(np.uint32) << np.uint32(1) | several.astype(np.uint32)
+            full = full[new]
             cuts = np.searchsorted(full >> np.uint64(32), np.arange(buckets + 1))
             for i in range(buckets):
-                if cuts[i] < cuts[i + 1]:
-                    out.add(c.run, i, value[cuts[i] : cuts[i + 1]].tobytes())
+                a, z = cuts[i], cuts[i + 1]
+                if a < z:
+                    keys = suffixes.squeeze(full[a:z] & np.uint64(0xFFFFFFFF))
+                    out.add(c.run, i, len(keys).to_bytes(4, "little") + keys + np.packbits(several[a:z]).tobytes())
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            got = [(r, i, np.frombuffer(d, "<u4")) for b in batches for r, i, d in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True)]
+            got = []
+            for b in batches:
+                for r, i, d in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                    got.append((r, i, *_entries(d)))
             if not got:
                 return
-            every = np.concatenate([v for _, _, v in got])
+            every = np.concatenate([v for _, _, v, _ in got])
             every.sort()
-            key = every >> np.uint32(1)
-            edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-            shared = (np.diff(edge) > 1) | (every[edge[1:] - 1] & np.uint32(1) == 1)
-            shared = key[edge[:-1][shared]]
+            twice = every[1:][every[1:] == every[:-1]]
+            shared = np.sort(np.concatenate([twice, *(v[s] for _, _, v, s in got)]))
             out = Out(_ROW_SCHEMA)
-            for r, i, v in got:
-                mine = v >> np.uint32(1)
-                mine = mine[_has(shared, mine)].astype(np.uint64)
-                if len(mine) and out.add(r, i, (np.uint64(i) << np.uint64(32) | mine).tobytes(), size=8 * len(mine)):
+            for r, i, v, _ in got:
+                flags = _has(shared, v)
+                if flags.any() and out.add(r, i, np.packbits(flags).tobytes(), size=len(v) // 8):
                     yield out.take()
             yield out.take()
 
-        found = cut(self._pass(send, _ROWS, _ROW_SCHEMA), "anchors")
-        self.mail[0].send(found.where("bucket >= 0").repartitionById(buckets, F.col("bucket")).mapInArrow(meet, _ROWS).select("run", "data"))
-        splitters = []
-        for kind, width in ((-1, -(-(2 * self.length - min(SEED, self.length) + 2) // 8) * 8), (-2, -(-self.length // 8) * 8)):
-            rows = found.where(F.col("bucket") == kind).orderBy(F.xxhash64("run"), "run").limit(_SAMPLE_RUNS).select("data").collect()
-            x = np.concatenate([np.frombuffer(bytes(r["data"]), np.uint8).reshape(-1, width) for r in rows]) if rows else np.empty((0, width), np.uint8)
-            x = np.sort(suffixes.as_strings(x))
-            splitters.append(np.unique(x[(np.arange(1, buckets) * len(x)) // buckets]) if len(x) else x)
-        return tuple(splitters)
-
-    def _check(self, c: Chunk) -> None:
-        fs, base = file_system(f"{self.folder}/marks")
-        with fs.open_input_file(f"{base}/run-{c.run:012x}") as f:
-            if f.read() != _mark(c):
-                raise RuntimeError("the source gave other partitions than in the first pass")
-
-    def _candidates(self, c: Chunk) -> None:
-        """Leaves the chunk the anchors that more than one document has."""
-        bucket, key = _anchor_key(c.keys(), self.buckets)
-        c.pick(_has(self.mail[0].get(c.run), bucket.astype(np.uint64) << np.uint64(32) | key.astype(np.uint64)))
+        sent = self._pass(send, _ROWS, _ROW_SCHEMA, True)
+        self.shared.send(sent.repartitionById(buckets, F.col("bucket")).mapInArrow(meet, _ROWS))
+        return self._splitters()
+
+    def _splitters(self) -> list[np.ndarray]:
+        """From the samples of a bounded number of runs, spread over all."""
+        fs, base = file_system(self.marks.folder)
+        names = sorted((f.base_name for f in fs.get_file_info(pafs.FileSelector(base, allow_not_found=True)) if f.base_name.startswith("run-")), key=lambda x: xxhash.xxh3_64_intdigest(x))
+        widths = [-(-(2 * self.length - min(SEED, self.length) + 2) // 8) * 8, -(-self.length // 8) * 8]
+        got: list[list[np.ndarray]] = [[], []]
+        for name in names[:_SAMPLE_RUNS]:
+            raw = self.marks.fetch(int(name[4:], 16))[16:]
+            n = len(raw) // sum(widths)
+            got[0].append(np.frombuffer(raw, np.uint8, n * widths[0]).reshape(n, -1))
+            got[1].append(np.frombuffer(raw, np.uint8, n * widths[1], n * widths[0]).reshape(n, -1))
+        out = []
+        for rows, width in zip(got, widths, strict=True):
+            x = np.sort(suffixes.as_strings(np.concatenate([*rows, np.empty((0, width), np.uint8)])))
+            x = x[(np.arange(1, self.buckets) * len(x)) // self.buckets] if len(x) else x
+            out.append(x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x)
+        return out
 
     @staticmethod
     def _emit(c: Chunk, out: Out, rows: np.ndarray, docs: np.ndarray, splitters: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -327,10 +361,8 @@ class Dedup:
                     parts.append(suffixes.decode(d))
             if not names:
                 return
-            width = parts[0][0].shape[1]
-            texts = [[raw[k : k + width] for k in range(0, len(raw), width)] for raw in (m.tobytes() for m, _, _ in parts)]
-            order, known = (np.array(x) for x in suffixes.merge(texts, [p.tolist() for _, p, _ in parts]))
-            del texts
+            width = len(parts[0][0][0])
+            order, known = (np.array(x) for x in suffixes.merge([x for x, _, _ in parts], [p for _, p, _ in parts]))
             # the place of each taken row in the concatenation of the runs
             base = np.concatenate([[0], np.cumsum([len(d) for _, _, d in parts])])
             by_run = np.argsort(order, kind="stable")  # a run's rows are taken in their order
@@ -350,67 +382,76 @@ class Dedup:
                     if 0 <= edge < len(splitters):
                         at = head[g]
                         row = parts[order[at]][0][_place(order, by_run, at, base)]
-                        if splitters[edge].ljust(width, b"\0")[:seed] == row[:seed].tobytes():
+                        if splitters[edge].ljust(width, b"\0")[:seed] == row[:seed]:
                             several[g] = True
                 state |= several[group].astype(np.uint64) << np.uint64(1)
             back = state[by_run]
             out = Out(_ROW_SCHEMA)
             for k, (r, (rows, _, _)) in enumerate(zip(names, parts, strict=True)):
                 mine = back[base[k] : base[k + 1]]
-                h = (suffixes.hashes(rows) & ~np.uint64(3) | mine)[mine > 0]
+                matrix = np.frombuffer(b"".join(rows), np.uint8).reshape(-1, width)
+                h = (suffixes.hashes(matrix) & ~np.uint64(3) | mine)[mine > 0]
                 if len(h) and out.add(r, 0, h.tobytes(), size=8 * len(h)):
                     yield out.take()
             yield out.take()
 
-        return sent.repartitionById(ranges, F.col("bucket")).mapInArrow(meet, _ROWS).select("run", "data")
+        return sent.repartitionById(ranges, F.col("bucket")).mapInArrow(meet, _ROWS)
 
     def contexts(self, splitters: np.ndarray) -> None:
         """Step 2."""
-        sent = self.spark.sparkContext.broadcast(splitters)
+        sent, me = self.spark.sparkContext.broadcast(splitters), self._slim()
 
         def send(c: Chunk, out: Out) -> Iterator[pa.RecordBatch]:
-            self_._check(c)
-            self_._candidates(c)
+            me.check(c)
+            full, o, new = _by_key(c.keys(), me.buckets)
+            flags = np.zeros(int(new.sum()), bool)
+            cuts = np.searchsorted(full[new] >> np.uint64(32), np.arange(me.buckets + 1))
+            for i, raw in me.shared.parts(c.run):
+                flags[cuts[i] : cuts[i + 1]] = np.unpackbits(np.frombuffer(raw, np.uint8), count=cuts[i + 1] - cuts[i])
+            which = np.zeros(len(o), bool)
+            which[o] = flags[np.cumsum(new) - 1] if len(o) else False
+            c.pick(which)
+            me.found.put(c.run, c.packed())
             return Dedup._emit(c, out, c.contexts(), c.doc, sent.value)
 
-        self_ = self._slim()
-        self.mail[1].send(self._merge(self._pass(send, _ROWS, _ROW_SCHEMA), splitters, min(SEED, self.length)))
+        self.context_mail.send(self._merge(self._pass(send, _ROWS, _ROW_SCHEMA, True), splitters, min(SEED, self.length)))
 
-    def _open(self, c: Chunk) -> tuple[np.ndarray, np.ndarray]:
-        """Which of the chunk's candidate contexts are removed whole, and which have strings to compare."""
-        h = suffixes.hashes(c.contexts()) & ~np.uint64(3)
-        _, back = np.unique(h, return_inverse=True)
-        least = np.full(back.max(initial=-1) + 1, _NO_ID)
-        np.minimum.at(least, back, c.doc)
-        mail = self.mail[1].get(c.run)
-        gone = (c.doc > least[back]) | _has(mail, h | np.uint64(1)) | _has(mail, h | np.uint64(3))
-        return gone, ~gone & (_has(mail, h | np.uint64(2)) | _has(mail, h | np.uint64(3)))
+    def check(self, c: Chunk) -> None:
+        if self.marks.fetch(c.run)[:16] != _mark(c):
+            raise RuntimeError("the source gave other partitions than in the first pass")
 
     def strings(self, splitters: np.ndarray) -> None:
         """Step 3."""
-        sent = self.spark.sparkContext.broadcast(splitters)
+        sent, me = self.spark.sparkContext.broadcast(splitters), self._slim()
 
         def send(c: Chunk, out: Out) -> Iterator[pa.RecordBatch]:
-            self_._candidates(c)
-            rows, _, docs = c.strings(self_._open(c)[1])
+            me.check(c)
+            c.unpack(me.found.fetch(c.run))
+            h = suffixes.hashes(c.contexts()) & ~np.uint64(3)
+            mail = me.context_mail.numbers(c.run)
+            at = np.minimum(np.searchsorted(mail, h), max(0, len(mail) - 1))
+            # a hash is there with one state at most
+            state = np.where(mail[at] & ~np.uint64(3) == h, mail[at] & np.uint64(3), 0) if len(mail) else np.zeros(len(h), np.uint64)
+            gone = (c.doc > suffixes.least_of_equal(h, c.doc)) | (state & np.uint64(1) > 0)
+            unsure = ~gone & (state & np.uint64(2) > 0)
+            me.states.put(c.run, np.packbits(gone).tobytes() + np.packbits(unsure).tobytes())
+            rows, _, docs = c.strings(unsure)
             return Dedup._emit(c, out, rows, docs, sent.value)
 
-        self_ = self._slim()
-        self.mail[2].send(self._merge(self._pass(send, _ROWS, _ROW_SCHEMA), splitters, 0))
+        self.string_mail.send(self._merge(self._pass(send, _ROWS, _ROW_SCHEMA, False), splitters, 0))
 
     def result(self, id_col: str) -> DataFrame:
         schema = pa.schema([(id_col, pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("kept", pa.binary())])
 
+        me = self._slim()
+
         def give(c: Chunk, out: Out) -> Iterator[pa.RecordBatch]:
-            self_._check(c)
-            self_._candidates(c)
-            gone, unsure = self_._open(c)
+            me.check(c)
+            c.unpack(me.found.fetch(c.run))
+            gone, unsure = (np.unpackbits(x, count=len(c.low)).astype(bool) for x in np.frombuffer(me.states.fetch(c.run), np.uint8).reshape(2, -1))
             rows, at, docs = c.strings(unsure)
             h = suffixes.hashes(rows) & ~np.uint64(3)
-            _, back = np.unique(h, return_inverse=True)
-            least = np.full(back.max(initial=-1) + 1, _NO_ID)
-            np.minimum.at(least, back, docs)
-            at = at[(docs > least[back]) | _has(self_.mail[2].get(c.run), h | np.uint64(1))]
+            at = at[(docs > suffixes.least_of_equal(h, docs)) | _has(me.string_mail.numbers(c.run), h | np.uint64(1))]
             n = len(c.data)
             change = np.bincount(np.concatenate([c.low[gone], at]), minlength=n + 1) - np.bincount(np.concatenate([c.high[gone], at]) + c.length, minlength=n + 1)
             covered = np.cumsum(change[:n]) > 0
@@ -431,13 +472,12 @@ class Dedup:
                 if out.add(None if key == _NO_ID else key, z - a, spans, kept[ends[k] : ends[k + 1]], size=z - a):
                     yield out.take()
 
-        self_ = self._slim()
-        return self._pass(give, f"`{id_col}` long, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary", schema)
+        return self._pass(give, f"`{id_col}` long, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary", schema, False)
 
     def _slim(self) -> Dedup:
         """What tasks need of it."""
         out = object.__new__(Dedup)
-        out.length, out.buckets, out.folder, out.mail = self.length, self.buckets, self.folder, self.mail
+        out.__dict__ = {k: v for k, v in self.__dict__.items() if k not in ("spark", "docs")}
         return out
 
 

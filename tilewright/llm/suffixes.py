@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import zstandard
 
 _A, _M = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -34,32 +35,57 @@ def sorted_run(rows: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def front_code(rows: np.ndarray, docs: np.ndarray) -> bytes:
-    """A sorted run as common-prefix lengths, the rest of each row, and the documents."""
+    """A sorted run as common-prefix lengths, the rest of each row, and the documents, compressed."""
     n, width = rows.shape
     differ = np.ones((n, width), bool)
     differ[1:] = rows[1:] != rows[:-1]
     prefix = np.where(differ.any(1), differ.argmax(1), width).astype(np.uint8)
     prefix[:1] = 0
     rest = rows[np.arange(width) >= prefix[:, None]]
-    return np.array([n, width, len(rest)], "<u8").tobytes() + prefix.tobytes() + rest.tobytes() + docs.astype("<i8").tobytes()
+    body = prefix.tobytes() + np.ascontiguousarray(docs.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes() + rest.tobytes()
+    return np.array([n, width], "<u8").tobytes() + zstandard.ZstdCompressor(1).compress(body)
 
 
-def decode(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def decode(raw: bytes) -> tuple[list[bytes], list[int], np.ndarray]:
     """The rows, common-prefix lengths and documents of a front-coded run."""
-    n, width, size = (int(x) for x in np.frombuffer(raw, "<u8", 3))
-    prefix = np.frombuffer(raw, np.uint8, n, 24)
-    rest = np.frombuffer(raw, np.uint8, size, 24 + n)
-    docs = np.frombuffer(raw, "<i8", n, 24 + n + size)
-    own = np.arange(width) >= prefix[:, None]
-    rows = np.zeros((n, width), np.uint8)
-    rows[own] = rest
-    at = np.arange(n)
-    for j in range(int(prefix.max(initial=0))):
-        source = np.maximum.accumulate(np.where(own[:, j], at, 0))
-        rows[:, j] = rows[source, j]
+    n, width = (int(x) for x in np.frombuffer(raw, "<u8", 2))
+    body = zstandard.ZstdDecompressor().decompress(raw[16:])
+    prefix = list(body[:n])
+    docs = np.ascontiguousarray(np.frombuffer(body, np.uint8, 8 * n, n).reshape(8, n).T).view("<i8").ravel()
+    rows, last, at = [], b"", 9 * n
+    add = rows.append
+    for h in prefix:
+        end = at + width - h
+        last = last[:h] + body[at:end]
+        add(last)
+        at = end
     return rows, prefix, docs
 
 
+def squeeze(values: np.ndarray) -> bytes:
+    """Ascending 32-bit numbers as compressed differences."""
+    d = np.diff(values.astype(np.int64), prepend=0).astype("<u4")
+    return np.array([len(d)], "<u4").tobytes() + zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(d.view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def expand(raw: bytes) -> np.ndarray:
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[4:]), np.uint8).reshape(4, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint64).astype(np.uint32)
+
+
+def least_of_equal(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """For each key, the smallest document of its equals."""
+    if not len(keys):
+        return docs
+    o = np.argsort(keys)
+    k = keys[o]
+    new = np.concatenate([[True], k[1:] != k[:-1]])
+    out = np.empty_like(docs)
+    out[o] = np.minimum.reduceat(docs[o], np.flatnonzero(new))[np.cumsum(new) - 1]
+    return out
+
+
 def merge(runs: list[list[bytes]], prefixes: list[list[int]]) -> tuple[list[int], list[int]]:
     """The runs in the order in which their next rows are taken, and each row's common prefix with the row before.
 
