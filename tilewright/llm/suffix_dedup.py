@@ -254,6 +254,16 @@ def _entries(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.unpackbits(np.frombuffer(raw, np.uint8, offset=n), count=len(keys)).astype(bool)
 
 
+def _union(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Intervals as disjoint ones that do not touch, in order."""
+    if not len(begin):
+        return begin, end
+    o = np.argsort(begin, kind="stable")
+    begin, end = begin[o], np.maximum.accumulate(end[o])
+    new = np.concatenate([[True], begin[1:] > end[:-1]])
+    return begin[new], end[np.concatenate([new[1:], [True]])]
+
+
 class Dedup:
     """The passes over one source."""
 
@@ -453,19 +463,19 @@ class Dedup:
             h = suffixes.hashes(rows) & ~np.uint64(3)
             at = at[(docs > suffixes.least_of_equal(h, docs)) | _has(me.string_mail.numbers(c.run), h | np.uint64(1))]
             n = len(c.data)
-            change = np.bincount(np.concatenate([c.low[gone], at]), minlength=n + 1) - np.bincount(np.concatenate([c.high[gone], at]) + c.length, minlength=n + 1)
-            covered = np.cumsum(change[:n]) > 0
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], covered.view(np.int8), [0]])))
+            begin, end = _union(np.concatenate([c.low[gone], at]), np.concatenate([c.high[gone], at]) + c.length)
             # spans that touch across a document's end are two
-            inner = c.starts[1:-1]
-            inner = inner[(inner > 0) & (inner < n)]
-            inner = np.unique(inner)
-            inner = inner[covered[inner - 1] & covered[inner]] if len(inner) else inner
-            begin, end = np.sort(np.concatenate([edges[::2], inner])), np.sort(np.concatenate([edges[1::2], inner]))
+            inner = np.unique(c.starts[1:-1])
+            k = np.searchsorted(begin, inner) - 1
+            inner = inner[(k >= 0) & (inner < end[k])] if len(begin) else inner[:0]
+            step = np.zeros(n + 1, np.int8)
+            step[begin], step[end] = 1, -1
+            covered = np.cumsum(step[:n], dtype=np.int8).astype(bool)
+            begin, end = np.sort(np.concatenate([begin, inner])), np.sort(np.concatenate([end, inner]))
             owner = np.searchsorted(c.starts, begin, "right") - 1
             cuts = np.searchsorted(owner, np.arange(len(c.ids) + 1))
             kept = c.data[~covered].tobytes()
-            ends = np.concatenate([[0], np.cumsum(~covered)])[c.starts]
+            ends = c.starts - np.concatenate([[0], np.cumsum(end - begin)])[np.searchsorted(end, c.starts, "right")]
             for k, key in enumerate(c.ids.tolist()):
                 a, z = int(c.starts[k]), int(c.starts[k + 1])
                 spans = [{"start": x - a, "stop": y - a} for x, y in zip(begin[cuts[k] : cuts[k + 1]].tolist(), end[cuts[k] : cuts[k + 1]].tolist(), strict=True)]

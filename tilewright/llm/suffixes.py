@@ -16,7 +16,7 @@ def as_strings(rows: np.ndarray) -> np.ndarray:
 def hashes(rows: np.ndarray) -> np.ndarray:
     """64-bit hashes of the rows of a matrix whose width is a multiple of 8."""
     h = np.full(len(rows), rows.shape[1], np.uint64)
-    for word in np.ascontiguousarray(rows).view("<u8").reshape(len(rows), -1).T:
+    for word in np.ascontiguousarray(rows).view("<u8").reshape(len(rows), rows.shape[1] // 8).T:
         h = (h ^ word) * _A
         h ^= h >> np.uint64(29)
     h *= _M
