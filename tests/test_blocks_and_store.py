@@ -104,7 +104,7 @@ def test_index_algebra(spark):
     assert [p[:2] for p in pairs] == [(a, b) for a in range(4) for b in range(a, 4)] and [p[2] for p in pairs] == [k // 3 for k in range(10)] and [p[3] for p in pairs] == [k // 6 for k in range(10)]
     keys = spark.createDataFrame([("4_8_4_0_3_3_0",), ("x",), (None,)], "k string").select(blocks.parse_block_key(F.col("k")).alias("p")).collect()
     assert keys[0]["p"]["end_0"] == 8 and keys[1]["p"] is None and keys[2]["p"] is None
-    f = spark.createDataFrame([("coates_6_1_15_6_1.5(root)",)], "k string").select(blocks.parse_feature_key(F.col("k")).alias("p")).first()["p"]
+    f = spark.createDataFrame([("conv_6_1_15_6_1.5(root)",)], "k string").select(blocks.parse_feature_key(F.col("k")).alias("p")).first()["p"]
     assert (f["patch"], f["pool"], f["bias"], f["root"]) == (6, 15, 1.5, "root")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.functions import descriptors, images, vectors
-from tilewright.operators import blocks, evaluate, joins, kernels, layouts, linalg, solvers, windows
+from tilewright.operators import blocks, classifiers, evaluate, joins, kernels, layouts, linalg, solvers, windows
 from tilewright.plans import sql
 from tilewright.runtime import cut, scratch, table
 from tilewright.sources import files, records
@@ -957,6 +957,109 @@ def fea_network(spark, sf):
     return images.map_images(design(spark, sf), IMAGE, net)
 
 
+# --- further solvers, sinks and samples -------------------------------------------------------------------------------
+
+
+@query(f"with recursive {sql.ridge('(0.0)')} select j, class::int as label, {sql.r('w')} as w from w")
+def sol_pinv(spark, sf):
+    return rounded(solvers.weights_frame(spark, solvers.normal_equations(design(spark, sf)).pseudo_solve()), "w")
+
+
+@query(f"with recursive {sql.ridge('(0.1)')} select j, class::int as label, {sql.r('w', 4)} as w from w")
+def sol_sparse(spark, sf):
+    """Conjugate gradients whose products are joins of coordinates."""
+    x = design(spark, sf)
+    eq = solvers.normal_equations(x)
+    multiply = classifiers.coords_multiplier(linalg.gram(x), 64, 0.1)
+    w = solvers.conjugate_gradient(multiply, eq.xty, solvers.jacobi(np.diag(eq.xtx) + 0.1), 60, 1e-9)
+    return rounded(solvers.weights_frame(spark, w), "w", places=4)
+
+
+@query(f"with recursive {sql.ridge('(0.1)')} select j, class::int as label, {sql.r('w', 4)} as w from w")
+def sol_bcd_accel(spark, sf):
+    """Block descent with momentum, on a stored matrix of the normal equations."""
+    eq = solvers.normal_equations(design(spark, sf))
+    g = spark.createDataFrame([(i, j, float(eq.xtx[i, j])) for i in range(64) for j in range(64)], "i long, j int, v double")
+    k = solvers.BlockKernel(cut(layouts.coords_to_blocks(g, 64, 64, 32, 32)), 32)
+    w = solvers.block_coordinate(k, eq.xty, 0.1, epochs=16, momentum=0.05)
+    return rounded(solvers.weights_frame(spark, w), "w", places=4)
+
+
+@query()
+def sol_grid(spark, sf):
+    rows = sorted((r["i"], r["label"], r["features"]) for r in design(spark, sf).toLocalIterator())
+    x, y = np.array([r[2] for r in rows]), np.array([r[1] for r in rows])
+    found = solvers.gamma_lambda_grid(x @ x.T, (x * x).sum(1), y, [0.1, 1.0], [1e-2, 1.0])
+    return spark.createDataFrame(found, "gamma double, reg double, train_acc double")
+
+
+@query()
+def sol_sgd(spark, sf):
+    return classifiers.logistic(design(spark, sf))
+
+
+@query()
+def sol_svm(spark, sf):
+    return classifiers.support_vectors(design(spark, sf))
+
+
+@query()
+def sol_bandwidth_sweep(spark, sf):
+    def features(x: DataFrame, bandwidth: float) -> DataFrame:
+        return images.map_images(x, IMAGE, images.convolve(images.gaussian_filters(8, 1, 3, bandwidth), 0.05, 3, 3))
+
+    return classifiers.sweep_features(design(spark, sf), [0.1, 1.0, 10.0], features, 0.1)
+
+
+@query()
+def agg_median_pair(spark, sf):
+    return classifiers.median_pair_distance(design(spark, sf))
+
+
+@query()
+def fea_norm_patches(spark, sf):
+    x = design(spark, sf).select("i", vectors.contrast_normalised(F.col("features")).alias("features"))
+    return images.whiten(x, images.whitening(x), 2)
+
+
+@query()
+def fea_sample_desc(spark, sf):
+    x = design(spark, sf).select("i", F.explode(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda p: F.struct(p.alias("pos"), F.slice("features", p * 4 + 1, 4).alias("features")))).alias("d"))
+    return descriptors.sample_descriptors(x.select("i", "d.pos", "d.features"), 4, 100, 1)
+
+
+@query(f"with {sql.X} select i::varchar as name, j::int as j, {sql.r('v')} as v from x")
+def src_csv_feat(spark, sf):
+    path = scratch(spark, "csv")
+    design(spark, sf).select(F.concat_ws(",", F.col("i").cast("string"), F.concat_ws(",", F.col("features").cast("array<string>")))).write.text(path)
+    return rounded(files.csv_vectors(spark, path).select("name", F.posexplode("features").alias("j", "v")), "v")
+
+
+@query("with n as (select floor(0.9 * count(*)) as n from embeddings) select vec_id as i, label, vec_id < n as is_train from embeddings, n")
+def snk_features(spark, sf):
+    path = scratch(spark, "features")
+    records.save_features(evaluate.split_tail(design(spark, sf), "i"), path)
+    return records.load_features(spark, path).select("i", "label", "is_train")
+
+
+@query(f"with recursive {sql.ridge('(0.1)')} select j, class::int as label, {sql.r('w')} as w from w")
+def snk_model(spark, sf):
+    root, x = scratch(spark, "models"), design(spark, sf)
+    w = solvers.ridge(x, 0.1)
+    scored = solvers.scores(x, {"w": w})
+    acc = scored.agg(evaluate.accuracy(evaluate.argmax(F.col("scores")), F.col("label"))).first()[0]
+    key = records.save_model(solvers.weights_frame(spark, w), scored, root, "ridge", train=acc)
+    return rounded(spark.read.parquet(f"{root}/{key}/model"), "w")
+
+
+@query(f"select event_type, {sql.r('sum(value)', 3)} as reward from events group by event_type")
+def snk_episode_log(spark, sf):
+    path = scratch(spark, "log")
+    log = table(spark, sf, "events").groupBy("event_type").agg(F.sum("value").alias("reward"))
+    records.episode_log(log, path)
+    return rounded(spark.read.schema("event_type string, reward double").csv(path), "reward", places=3)
+
+
 # --- streams ----------------------------------------------------------------------------------------------------------
 
 

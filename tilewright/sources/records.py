@@ -77,6 +77,11 @@ def save_features(rows: DataFrame, root: str) -> None:
     rows.write.mode("overwrite").partitionBy("is_train").parquet(root)
 
 
+def load_features(spark: SparkSession, root: str) -> DataFrame:
+    """Both parts; the flag is that of their folders."""
+    return spark.read.parquet(root).withColumn("is_train", F.col("is_train").cast("boolean"))
+
+
 def episode_log(log: DataFrame, path: str) -> None:
     log.write.mode("append").csv(path)
 
