@@ -37,7 +37,8 @@ def _repeated(names: DataFrame) -> DataFrame:
     """The rows whose name occurs in more than one place, with the first one."""
     place = F.struct("d", "t", "p")
     found = names.groupBy("c", "e").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
-    return names.join(found, ["c", "e"])
+    # written first, so that the join stands on two plain exchanges, of which a hot name's can be split
+    return names.join(cut(found, "names"), ["c", "e"])
 
 
 def deleted(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
