@@ -55,11 +55,11 @@ def rows_to_blocks(matrix: DataFrame, shard_0: int, shard_1: int) -> DataFrame:
         t = pa.Table.from_batches(list(batches))
         i = t.column("i").to_numpy()
         order = np.argsort(i)
-        x = np.array(t.column("features").to_pylist(), dtype=np.float64)[order]
+        x = t.column("features").combine_chunks().flatten().to_numpy().reshape(len(i), -1)[order]
         bi, out = int(i[0] // shard_0), []
         for bj in range(-(-x.shape[1] // shard_1)):
             tile = x[:, bj * shard_1 : (bj + 1) * shard_1]
-            out.append((bi, bj, tile.shape[0], tile.shape[1], tile.ravel().tolist()))
+            out.append((bi, bj, *tile.shape, tile.ravel()))
         yield blocks_batch(out)
 
     return matrix.withColumn("b", F.floor(F.col("i") / shard_0)).groupBy("b").applyInArrow(cut, BLOCK_DDL)

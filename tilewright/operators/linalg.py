@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.operators.layouts import BLOCK_DDL, blocks_batch
+from tilewright.operators.layouts import BLOCK_DDL
 
 
 def _matrix(column) -> np.ndarray:
@@ -68,44 +68,59 @@ def product_coords(x: DataFrame, y: DataFrame, lower: bool = False) -> DataFrame
 
 
 def product_blocks(x: DataFrame, y: DataFrame, lower: bool = False) -> DataFrame:
-    """X Y' of block matrices: tiles meet on their inner block, are multiplied, and products of an output tile are added.
+    """X Y' of block matrices: the tiles of an output tile meet in one group, where products are added over inner blocks.
 
-    The output tiles (bi, bj) have the row blocks of X by the row blocks of Y; lower: only bi >= bj.
+    The output tiles (bi, bj) have the row blocks of X by the row blocks of Y; lower: only bi >= bj. Each tile is sent once
+    to every output tile that it is part of, which is less than the output where tiles are no wider than high, and no
+    key has more than one row and one column of tiles.
     """
-    a = x.select(F.col("bi"), F.col("bj").alias("k"), F.col("n_rows").alias("ar"), F.col("n_cols").alias("ac"), F.col("data").alias("a"))
-    b = y.select(F.col("bi").alias("bj"), F.col("bj").alias("k"), F.col("n_rows").alias("br"), F.col("data").alias("b"))
-    met = a.join(b, "k")
-    if lower:
-        met = met.where("bi >= bj")
+    n, m = ((d.agg(F.max("bi")).first()[0] if d is not None else None) for d in (x, y))
+    n, m = (-1 if v is None else v for v in (n, m))
+    part = ["bi", "bj", "side", "k", "n_rows", "n_cols", "data"]
+    columns = F.sequence(F.lit(0), F.col("bi")) if lower else F.sequence(F.lit(0), F.lit(max(m, 0)))
+    rows = F.sequence(F.col("bi"), F.lit(max(n, 0))) if lower else F.sequence(F.lit(0), F.lit(max(n, 0)))
+    left = x.select("bi", F.explode(columns).alias("oj"), F.lit(0).alias("side"), F.col("bj").alias("k"), "n_rows", "n_cols", "data").toDF(*part)
+    right = y.select(F.explode(rows).alias("oi"), "bi", F.lit(1).alias("side"), F.col("bj").alias("k"), "n_rows", "n_cols", "data").toDF(*part)
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, key = None, None
+        tiles: tuple[dict[int, np.ndarray], dict[int, np.ndarray]] = ({}, {})
+        key = None
         for batch in batches:
-            for r in batch.select(["bi", "bj", "ar", "ac", "br", "a", "b"]).to_pylist():
-                p = np.array(r["a"]).reshape(r["ar"], r["ac"]) @ np.array(r["b"]).reshape(r["br"], r["ac"]).T
-                total, key = (p if total is None else total + p), (r["bi"], r["bj"])
-        yield blocks_batch([(*key, *total.shape, total.ravel().tolist())])
+            cols = {c: batch.column(batch.schema.get_field_index(c)) for c in part}
+            for r in range(batch.num_rows):
+                key = (cols["bi"][r].as_py(), cols["bj"][r].as_py())
+                shape = (cols["n_rows"][r].as_py(), cols["n_cols"][r].as_py())
+                tiles[cols["side"][r].as_py()][cols["k"][r].as_py()] = np.asarray(cols["data"][r].values.to_numpy()).reshape(shape)
+        both = tiles[0].keys() & tiles[1].keys()
+        if both:
+            total = sum(tiles[0][k] @ tiles[1][k].T for k in both)
+            out = pa.ListArray.from_arrays(pa.array([0, total.size], pa.int32()), pa.array(np.ascontiguousarray(total).ravel()))
+            yield pa.RecordBatch.from_arrays([*(pa.array([v], pa.int32()) for v in (*key, *total.shape)), out], names=["bi", "bj", "n_rows", "n_cols", "data"])
 
-    return met.groupBy("bi", "bj").applyInArrow(multiply, BLOCK_DDL)
+    return left.unionByName(right).groupBy("bi", "bj").applyInArrow(multiply, BLOCK_DDL)
 
 
-def self_product_rows(matrix: DataFrame, block: int = 1024) -> DataFrame:
+def self_product_rows(matrix: DataFrame, block: int = 512) -> DataFrame:
     """(i, j, v), i >= j, of X X' of a row matrix, by whole row blocks: n^2 / 2 cells, the size of the result."""
     from tilewright.operators.layouts import blocks_to_coords, rows_to_blocks
 
     d = matrix.select(F.size("features").alias("d")).first()
     tiles = rows_to_blocks(matrix, block, (d["d"] if d else 1) or 1)
-    return blocks_to_coords(product_blocks(tiles, tiles, lower=True), block, block).where("i >= j")
+    cells = blocks_to_coords(product_blocks(tiles, tiles, lower=True), block, block).where("i >= j")
+    return cells.select("i", F.col("j").cast("long").alias("j"), "v")
 
 
 def cross_product_rows(a: DataFrame, b: DataFrame, block: int = 1024) -> DataFrame:
-    """(i, j, v) of A B' of two row matrices with any ids: blocks of rows meet, and ids come back with the cells."""
+    """(i, j, v) of A B' of two row matrices with any ids. Rows are dealt into blocks by hash; each pair of blocks is a key of
+    its own, with one row of either side."""
+    counts = [max(1, -(-d.count() // block)) for d in (a, b)]
 
-    def pack(df: DataFrame, tag: str) -> DataFrame:
-        keyed = df.withColumn("blk", F.floor(F.col("i") / block).cast("long"))
-        return keyed.groupBy("blk").agg(F.collect_list(F.struct("i", "features")).alias(tag)).withColumn("one", F.lit(1))
+    def pack(df: DataFrame, own: str, other: str, k: int, tag: str) -> DataFrame:
+        keyed = df.withColumn(own, F.pmod(F.xxhash64("i"), F.lit(counts[k])).cast("int"))
+        packed = keyed.groupBy(own).agg(F.collect_list(F.struct("i", "features")).alias(tag))
+        return packed.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(counts[1 - k] - 1))))
 
-    left, right = pack(a, "left"), pack(b, "right")
+    left, right = pack(a, "p", "q", 0, "left"), pack(b, "q", "p", 1, "right")
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,7 +129,7 @@ def cross_product_rows(a: DataFrame, b: DataFrame, block: int = 1024) -> DataFra
                 i, j = ([s["i"] for s in r[k]] for k in ("left", "right"))
                 yield pa.RecordBatch.from_pydict({"i": np.repeat(i, len(j)), "j": np.tile(j, len(i)), "v": (x @ y.T).ravel()})
 
-    return left.join(right, "one").select("left", "right").mapInArrow(multiply, "i long, j long, v double")
+    return left.join(right, ["p", "q"]).select("left", "right").mapInArrow(multiply, "i long, j long, v double")
 
 
 def matvec(k: DataFrame, x: DataFrame) -> DataFrame:

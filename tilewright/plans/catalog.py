@@ -197,7 +197,7 @@ def ker_cross(spark, sf):
 def join_xyt(spark, sf):
     """X X' by tiles, both halves."""
     t = layouts.rows_to_blocks(design(spark, sf), *SHARDS)
-    return rounded(layouts.blocks_to_coords(linalg.product_blocks(t, t), SHARDS[0], SHARDS[0]), "v")
+    return rounded(layouts.blocks_to_coords(linalg.product_blocks(t, t), SHARDS[0], SHARDS[0]), "v").withColumn("j", F.col("j").cast("long"))
 
 
 @query(_kernel_sql(_DOT))
