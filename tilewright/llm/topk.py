@@ -177,6 +177,8 @@ def _ranked(index: DataFrame, asked: DataFrame, groups: int, k: int, id_col: str
 
     sent = asked.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     met = index.join(sent, ["dims", "g"]).select("dims", "ids", "data", "q_ids", "q_data")
+    # a pair of blocks is small and costs seconds: pairs are dealt out evenly, as hashes and sizes in bytes would not do
+    met = met.repartition(groups)
     found = met.mapInArrow(run, f"query_id long, `{id_col}` long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", id_col, "score")
