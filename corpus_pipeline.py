@@ -1,7 +1,7 @@
 """A corpus pipeline over ``documents``: five stages, each over all that the one before has kept.
 
 Parameters: documents that score 0.5 or more for toxicity go (the model learns from the labels that op6 learns from);
-later copies of lines of 60 characters or more, and of runs of three lines, are deleted, and documents that this leaves
+later copies of maximal runs of lines, of 60 characters or more together, are deleted, and documents that this leaves
 without text go; of documents whose five-word shingles have a Jaccard coefficient of 0.8 or more, directly or through
 others, the one of the smallest id stays; documents of which a twentieth of the words are in 13-word windows of the
 benchmark go, and such words are cut from the others; what is left is encoded by byte-level BPE, and decoded again.
@@ -35,7 +35,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def delete_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _counted(line_dedup.without_copies(docs, drop_emptied=True), docs.columns)
+    return _counted(line_dedup.without_copies(docs, drop_emptied=True, whole_runs=True), docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

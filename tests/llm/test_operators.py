@@ -13,6 +13,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
+import corpus_pipeline
 from tilewright.llm import byte_bpe, components, decontaminate, jaccard, line_dedup, suffix_dedup, suffixes, token_counts, token_files, topk, toxicity, warc
 from tilewright.runtime import scratch
 
@@ -163,6 +164,42 @@ def test_line_dedup_is_brute_force(spark, empty):
     assert line_dedup.without_copies(empty).count() == 0
 
 
+def test_line_dedup_bounds_maximal_runs(spark, empty):
+    rng = random.Random(4)
+    pool = [f"{k} " + "x" * rng.choice([0, 0, 3, 9, 20, 70]) for k in range(9)] + ["", ""]
+    texts = [None, "", "\n\n\n", "\n" * 90 + "y" * 70, "\n" * 80 + "y" * 70, "short\n" * 40, "\n".join(f"row {k}" for k in range(20)), "new\n" + "\n".join(f"row {k}" for k in range(20))]
+    texts += ["a" * 35 + "\n" + "b" * 35 + "\nend", "c\n" + "a" * 35 + "\n" + "b" * 35]  # two lines
+    for _ in range(70):
+        t = [rng.choice(pool) for _ in range(rng.randrange(14))]
+        a = rng.randrange(len(t) + 1)
+        texts.append("\n".join(t[:a] + t[a // 3 :] + (texts[rng.randrange(len(texts))] or "").split("\n")[:25]))
+    seen, want, within_bound = set(), {}, 0
+    for i, t in enumerate(texts):
+        lines, gone = (t or "").split("\n"), set()
+        for p in range(len(lines)):
+            stop = p
+            while stop < len(lines) and tuple(lines[p : stop + 1]) in seen:
+                stop += 1
+            # every run that begins at p is added before the next place is looked at
+            seen |= {tuple(lines[p:k]) for k in range(p + 1, len(lines) + 1)}
+            if sum(map(len, lines[p:stop])) >= 60:
+                gone |= set(range(p, stop))
+                within_bound += all(sum(map(len, lines[k : k + 3])) < 60 for k in range(p, stop))
+        want[i] = (None if t is None and not gone else "\n".join(x for p, x in enumerate(lines) if p not in gone), len(lines), len(gone))
+    out = line_dedup.without_copies(docs(spark, texts), whole_runs=True)
+    assert {r["doc_id"]: (r["text"], r["n_lines"], r["n_deleted"]) for r in out.collect()} == want
+    assert within_bound > 5 and want[7][0] == "new" and want[9][0] == "c"
+    same = spark.createDataFrame([(1, "y" * 80 + "\nz"), (1, "y" * 80 + "\nz"), (2, "y" * 80), (None, "y" * 80)], "doc_id long, text string")
+    assert sorted((str(r["doc_id"]), r["text"]) for r in line_dedup.without_copies(same, whole_runs=True).collect()) == [("1", "y" * 80 + "\nz")] * 2 + [("2", ""), ("None", "")]
+    assert line_dedup.without_copies(empty, whole_runs=True).count() == 0
+
+
+def test_pipeline_deletes_long_runs_of_short_lines(spark):
+    rows = "\n".join(f"row {k}" for k in range(20))
+    df = spark.createDataFrame([(1, rows), (2, "new\n" + rows)], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.delete_lines(spark, df, "").collect()} == {1: rows, 2: "new"}
+
+
 def test_toxicity_learns_and_handles_edges(spark, empty):
     rng = random.Random(0)
     words = ["".join(rng.choice("etaoinshrdlu") for _ in range(5)) for _ in range(300)]

@@ -9,7 +9,16 @@ is not needed and not computed.
 
 Deleted are lines of ``min_chars`` characters or more that occur before, and runs of ``min_lines`` lines, of
 ``min_chars`` characters or more together, that occur before: in a document with a smaller id, or earlier in the same
-one. So the first copy of all stays.
+one. So the first copy of all stays. The bound is on each run of ``min_lines`` lines, as in the query's SQL: a longer
+repeated run of short lines stays where none of its runs of ``min_lines`` has that many characters.
+
+With ``whole_runs`` the bound of ``min_chars`` is put on the maximal repeated run, of however many lines: every line
+goes that is in a run of lines, of ``min_chars`` characters or more together, that also starts at an earlier place.
+No run need be followed to its end for that. Whether a run has enough characters depends on its text alone, and a run
+that has is the union of the shortest such runs from each of its lines on and up to each of its lines: a line with
+enough characters after it within the run begins one of the first kind, any other is in the one of the second kind that
+ends with the run. So each line gives two runs at most, of which equal ones are the same wherever they stand; their
+names are polynomials over 128-bit hashes of their lines, modulo 2^127 - 1.
 
 Counts and first places combine before their shuffles, and the joins that bring them back have one row for each name, so
 adaptive execution can split the rows of a hot line.
@@ -21,16 +30,19 @@ hashes; rows without an id come last; an empty table gives an empty result; extr
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tilewright.llm.common import Out
 from tilewright.runtime import cut, ship
 
 MIN_LINES, MIN_CHARS = 3, 60
 _NO_ID = (1 << 63) - 1
+_PRIME, _BASE = (1 << 127) - 1, 0x5851F42D4C957F2D14057B7EF767814F
 
 
 def _repeated(names: DataFrame) -> DataFrame:
@@ -41,9 +53,68 @@ def _repeated(names: DataFrame) -> DataFrame:
     return names.join(cut(found, "names"), ["c", "e"])
 
 
-def deleted(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shortest_runs(sizes: list[int], least: int) -> Iterator[tuple[int, int]]:
+    """Of lines of these sizes, the shortest runs of a size of ``least`` or more from each line on and up to each line, as (start, stop)."""
+    n, total, stop, stops = len(sizes), 0, 0, []
+    for p in range(n):
+        while stop < n and (stop <= p or total < least):
+            total += sizes[stop]
+            stop += 1
+        if total < least:
+            break
+        yield p, stop
+        stops.append(stop)
+        total -= sizes[p]
+    total = start = 0
+    for p in range(n):
+        total += sizes[p]
+        while start < p and total - sizes[start] >= least:
+            total -= sizes[start]
+            start += 1
+        if total >= least and stops[start] != p + 1:
+            yield start, p + 1
+
+
+def _runs(texts: DataFrame, least: int) -> DataFrame:
+    """(d, t, p, m, c, e): the shortest runs of (d, t, text), m lines from line p on, and their names."""
+    schema = pa.schema([(k, pa.int64()) for k in ("d", "t", "p", "m", "c", "e")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, powers = Out(schema), [1]
+        for b in batches:
+            for d, t, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                lines, before = text.as_py().split("\n"), [0]
+                for line in lines:
+                    before.append((before[-1] * _BASE + int.from_bytes(hashlib.blake2b(line.encode(), digest_size=16).digest(), "little")) % _PRIME)
+                for p, stop in shortest_runs([len(x) for x in lines], least):
+                    while len(powers) <= stop - p:
+                        powers.append(powers[-1] * _BASE % _PRIME)
+                    name = (before[stop] - before[p] * powers[stop - p]) % _PRIME
+                    if out.add(d, t, p, stop - p, name & _NO_ID, (name >> 63) - (1 << 63)):
+                        yield out.take()
+        yield out.take()
+
+    return texts.mapInArrow(run, "d long, t long, p long, m long, c long, e long")
+
+
+def _deleted_runs(docs: DataFrame, min_chars: int, id_col: str, text_col: str) -> DataFrame:
+    """As :func:`deleted`, by the bound on maximal runs."""
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    texts = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(_NO_ID)).alias("d"), F.xxhash64(text).alias("t"), text.alias("text"))
+    runs = _repeated(cut(_runs(texts, min_chars), "runs")).where(F.struct("d", "t", "p") > F.col("first"))
+    # of each run only the lines beyond those that begin before it, so that no line comes twice
+    doc = Window.partitionBy("d", "t").orderBy("p", "stop")
+    stops = runs.select("d", "t", "p", (F.col("p") + F.col("m")).alias("stop")).distinct()
+    start = F.greatest("p", F.coalesce(F.max("stop").over(doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    gone = stops.select("d", "t", start.alias("p"), "stop").where("p < stop").select("d", "t", F.explode(F.sequence(F.col("p").cast("int"), (F.col("stop") - 1).cast("int"))).alias("p"))
+    return gone.groupBy("d", "t").agg(F.collect_set("p").alias("lines"))
+
+
+def deleted(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", whole_runs: bool = False) -> DataFrame:
     """(d, t, lines): by id (the largest long for none) and xxhash64 of the text, the numbers of its deleted lines."""
     ship(docs.sparkSession)
+    if whole_runs:
+        return _deleted_runs(docs, min_chars, id_col, text_col)
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     parts = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(_NO_ID)).alias("d"), F.xxhash64(text).alias("t"), F.posexplode(F.split(text, "\n", -1)).alias("p", "line"))
     lines = parts.select("d", "t", "p", F.xxhash64("line").alias("c"), F.xxhash64("line", F.lit(1)).alias("e"), F.length("line").cast("long").alias("n"))
