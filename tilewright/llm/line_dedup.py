@@ -1,4 +1,4 @@
-"""Operator 5: deletion of later copies of repeated line runs, by prefix doubling over line-id sequences.
+"""Operator 5: deletion of later copies of repeated line runs, by names of lines and of short runs of lines.
 
 A document is its sequence of lines. Prefix doubling names the runs of h lines that start at each line: equal runs, and
 only they, have equal names, and the names of two runs of h lines, one further on, make those of longer runs.
