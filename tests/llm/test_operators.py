@@ -141,6 +141,7 @@ def test_merge_orders_runs_and_their_prefixes():
     assert (suffixes.expand(suffixes.squeeze(v)) == v).all()
 
 
+@pytest.mark.parametrize("length", [150, 300])
 def test_line_dedup_is_brute_force(spark, empty):
     rng = random.Random(3)
     pool = [f"line {k} " + "x" * rng.choice([0, 20, 70]) for k in range(12)] + [""]
@@ -164,6 +165,29 @@ def test_line_dedup_is_brute_force(spark, empty):
     assert line_dedup.without_copies(empty).count() == 0
 
 
+def test_line_dedup_keeps_lines_that_collide_in_one_hash(spark):
+    # two stripes of XXH64: what the first changes in its accumulator, the second's word takes back
+    mask, p1, p2 = (1 << 64) - 1, 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F
+    rng = random.Random(0)
+    word = lambda: bytes(rng.randrange(33, 127) for _ in range(8))
+    number = lambda w: int.from_bytes(w, "little")
+
+    def mixed(x):
+        a = (42 + p1 + p2 + number(x) * p2) & mask
+        return ((a << 31 | a >> 33) & mask) * p1 & mask
+
+    while True:
+        x, y, v = word(), word(), word()
+        w = ((number(v) + (mixed(x) - mixed(y)) * pow(p2, -1, 1 << 64)) & mask).to_bytes(8, "little")
+        if x != y and all(33 <= c < 127 for c in w):
+            break
+    one, two = ((a + b"-" * 24 + b + b"+" * 24).decode() for a, b in ((x, v), (y, w)))
+    df = spark.createDataFrame([(1, one), (2, two), (3, two)], "doc_id long, text string")
+    assert df.select(F.xxhash64("text")).distinct().count() == 1
+    for whole in (False, True):
+        assert {r["doc_id"]: r["text"] for r in line_dedup.without_copies(df, whole_runs=whole).collect()} == {1: one, 2: two, 3: ""}
+
+
 def test_line_dedup_bounds_maximal_runs(spark, empty):
     rng = random.Random(4)
     pool = [f"{k} " + "x" * rng.choice([0, 0, 3, 9, 20, 70]) for k in range(9)] + ["", ""]
@@ -278,6 +302,7 @@ def test_jaccard_join_is_brute_force(spark, empty, monkeypatch, small):
     assert jaccard.join(empty).count() == 0
 
 
+@pytest.mark.parametrize("small", [8, 2])
 def test_components_of_chains_and_hubs(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7)]
     got = {r["node"]: r["label"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}

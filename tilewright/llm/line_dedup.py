@@ -117,7 +117,8 @@ def deleted(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CH
         return _deleted_runs(docs, min_chars, id_col, text_col)
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     parts = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(_NO_ID)).alias("d"), F.xxhash64(text).alias("t"), F.posexplode(F.split(text, "\n", -1)).alias("p", "line"))
-    lines = parts.select("d", "t", "p", F.xxhash64("line").alias("c"), F.xxhash64("line", F.lit(1)).alias("e"), F.length("line").cast("long").alias("n"))
+    # the second hash is seeded before the line; after it, it would be a function of the first
+    lines = parts.select("d", "t", "p", F.xxhash64("line").alias("c"), F.xxhash64(F.lit(1), "line").alias("e"), F.length("line").cast("long").alias("n"))
     later = F.struct("d", "t", "p") > F.col("first")
     names = cut(_repeated(lines), "lines").dropDuplicates(["d", "t", "p"])
     gone = names.where(later & (F.col("n") >= min_chars)).select("d", "t", "p")
@@ -131,7 +132,7 @@ def deleted(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CH
             at = doc.rangeBetween(step, step)
             pairs = names.select("d", "t", "p", "n", "c", "e", F.first("c").over(at).alias("c2"), F.first("e").over(at).alias("e2")).where("c2 is not null")
             h += step
-            names = cut(_repeated(pairs.select("d", "t", "p", "n", F.xxhash64("c", "c2").alias("c"), F.xxhash64("e", "e2", F.lit(h)).alias("e"))), "lines")
+            names = cut(_repeated(pairs.select("d", "t", "p", "n", F.xxhash64("c", "c2").alias("c"), F.xxhash64(F.lit(h), "e", "e2").alias("e"))), "lines")
         runs = names.where(later & (F.col("n") >= min_chars))
         gone = gone.unionByName(runs.select("d", "t", F.explode(F.sequence("p", F.col("p") + (min_lines - 1))).alias("p")))
     return gone.groupBy("d", "t").agg(F.collect_set("p").alias("lines"))
