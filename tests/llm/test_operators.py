@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
 import corpus_pipeline
-from tilewright.llm import byte_bpe, components, decontaminate, jaccard, line_dedup, suffix_dedup, suffixes, token_counts, token_files, topk, toxicity, warc
+from tilewright.llm import byte_bpe, components, decontaminate, jaccard, line_dedup, queries, suffix_dedup, suffixes, token_counts, token_files, topk, toxicity, warc
 from tilewright.runtime import scratch
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
@@ -258,6 +258,20 @@ def test_token_counts_are_the_library_s(spark, empty):
     assert token_counts.count_tokens(empty, PIECES).count() == 0
 
 
+def test_token_counts_fall_back_to_bytes(spark):
+    pieces = token_counts.unigrams(PIECES)
+    library = Tokenizer(models.Unigram(pieces, 0, True))
+    library.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always")
+    texts = [None, "", " ", *odd_texts(300, 2), "ᚠᚡᚢ ᚠᚡ the " * 500, "ᚠᚡᚢ ᚠᚡ the 🦄🦄🦄"]
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(docs(spark, texts), PIECES, byte_fallback=True).collect()}
+    assert got == {i: len(library.encode(t or "").ids) for i, t in enumerate(texts)} and got[len(texts) - 1] == 32
+    path = scratch(spark, "fallback")
+    spark.createDataFrame([(1, texts[-1])], "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    assert [r["n_tokens"] for r in queries.op7_token_counts(spark, path).collect()] == [32]
+    with pytest.raises(ValueError):
+        token_counts.Counter([("a", -1.0)], byte_fallback=True)
+
+
 def reach(nodes, links):
     parent = {n: n for n in nodes}
 

@@ -4,7 +4,8 @@ For a unigram vocabulary, an Aho-Corasick automaton enumerates the pieces that o
 over the positions carries the best score and its number of pieces, without any path. The rules are those of the
 tokenizers library's Unigram model behind its Metaspace pre-tokenizer: blanks become U+2581 and each begins a unit; of
 equal scores at a position, the piece that begins first (the longest) stays; a character without a piece of its own
-costs the lowest score less 10; neighbouring unknown characters count as one token.
+costs the lowest score less 10; neighbouring unknown characters count as one token, or, with ``byte_fallback``, each as
+its UTF-8 bytes, for which the vocabulary must have the 256 byte pieces.
 
 Edge cases: null and empty texts count 0; repeated rows are counted each; an empty table gives none; extra columns are
 not read; a unit of any length takes time linear in its length and its matches.
@@ -28,8 +29,11 @@ BLANK = "▁"
 class Counter(dict):
     """Counts the tokens of units; as a dictionary it keeps those of short units."""
 
-    def __init__(self, pieces: list[tuple[str, float]], unknown: int = 0):
+    def __init__(self, pieces: list[tuple[str, float]], unknown: int = 0, byte_fallback: bool = False):
         super().__init__()
+        if byte_fallback and not {f"<0x{k:02X}>" for k in range(256)} <= {p for p, _ in pieces}:
+            raise ValueError("byte_fallback needs the 256 byte pieces")
+        self.bytes = byte_fallback
         self.machine = ahocorasick.Automaton()
         for i, (piece, value) in enumerate(pieces):
             if piece and not (self.machine.exists(piece)) or piece and i == unknown:
@@ -59,7 +63,10 @@ class Counter(dict):
                 if top is None or total > top:
                     top = total
                     tail[at] = not length
-                    pieces[at] = pieces[start] + (0 if not length and tail[start] else 1)
+                    if not length and self.bytes:
+                        pieces[at] = pieces[start] + len(unit[start].encode())
+                    else:
+                        pieces[at] = pieces[start] + (0 if not length and tail[start] else 1)
             best[at] = top
         return pieces[n]
 
@@ -87,18 +94,18 @@ def unigrams(model_path: str) -> list[tuple[str, float]]:
     return [(m.id_to_piece(i), m.get_score(i)) for i in range(m.get_piece_size())]
 
 
-_LOADED: dict[str, Counter] = {}
+_LOADED: dict[tuple[str, bool], Counter] = {}
 
 
-def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", byte_fallback: bool = False) -> DataFrame:
     """(id_col, n_tokens) of each row, a narrow map over whole texts."""
     ship(docs.sparkSession)
     schema = pa.schema([(id_col, pa.int64()), ("n_tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model_path not in _LOADED:
-            _LOADED[model_path] = Counter(unigrams(model_path))
-        counter, out = _LOADED[model_path], Out(schema)
+        if (model_path, byte_fallback) not in _LOADED:
+            _LOADED[model_path, byte_fallback] = Counter(unigrams(model_path), byte_fallback=byte_fallback)
+        counter, out = _LOADED[model_path, byte_fallback], Out(schema)
         for b in batches:
             for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 if out.add(key, counter.tokens(text.as_py())):
