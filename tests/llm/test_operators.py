@@ -317,6 +317,29 @@ def test_jaccard_join_is_brute_force(spark, empty, monkeypatch, small):
 
 
 @pytest.mark.parametrize("small", [8, 2])
+def test_jaccard_pairs_are_all_links(spark, empty, monkeypatch, small):
+    monkeypatch.setattr(jaccard, "SALT", 16)
+    monkeypatch.setattr(jaccard, "REPORT", 2)
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(300)}" for _ in range(120)]
+    texts = [None, "", "one", "ONE", "a b c d"]
+    for _ in range(50):
+        t = list(base)
+        for _ in range(rng.randrange(4)):
+            t[rng.randrange(len(t))] = f"v{rng.randrange(300)}"
+        texts.append(" ".join(t))
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append(frozenset(tuple(w[i : i + 4]) for i in range(len(w) - 3)) if len(w) > 3 else frozenset([tuple(w)] if w else []))
+    of = {r["class1"]: sets[r["doc_id"]] for r in jaccard.join(docs(spark, texts)).collect() if r["n_shingles"]}
+    want = {(a, b) for a in of for b in of if a < b and 100 * len(of[a] & of[b]) >= 85 * len(of[a] | of[b])}
+    got = [(r["a"], r["b"]) for r in jaccard.pairs(docs(spark, texts)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 3 * len(of)
+    assert jaccard.pairs(empty).count() == 0
+
+
 def test_components_of_chains_and_hubs(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7)]
     got = {r["node"]: r["label"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}

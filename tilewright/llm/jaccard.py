@@ -14,7 +14,8 @@ Documents of equal n-gram sets are one class, and classes are what is joined; co
    once on the whole sets.
 4. Links give components. Of the groups kept in step 2, only pairs between classes that are still in different
    components can add anything: these are made (in blocks of a group's salts), filtered and verified like the others.
-   So every pair of a group is either verified or already connected, and none is lost.
+   So every pair of a group is either verified or already connected: :func:`join` finds all components, not all links.
+   :func:`pairs` makes and verifies all pairs of the kept groups, and gives every link.
 
 Frequent n-grams are salted by class, as many salts as keep a group to some ``SALT`` classes; step 4 takes the pairs
 between salts.
@@ -427,6 +428,31 @@ def _remaining(members: DataFrame, comps: DataFrame, rule: Rule) -> DataFrame:
     return found.distinct()
 
 
+def _classes(clean: DataFrame, rule: Rule, n: int, buckets: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The documents' rows, the classes, the pairs of classes that met, and the members of the groups that were kept."""
+    scan = cut(_scan(clean, n, buckets), "scan")
+    order = clean.sparkSession.sparkContext.broadcast(_frequent(scan, buckets))
+    rows = scan.where("kind = 0")
+    classes = rows.where("n > 0").groupBy("c1", "c2").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("data").alias("data"))
+    classes = cut(classes.withColumn("id", F.coalesce("least", F.lit(_NO_ID))), "classes")
+    met = cut(_candidates(clean, order, rule, n, buckets), "candidates")
+    return rows, classes, met.where("kind = 0").select("a", "b").distinct(), met.where("kind = 1").select("a", "key", "salt", "salts", "n", "pos")
+
+
+def pairs(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(a, b), a < b: ``class1`` of :func:`join` for every two classes that are linked, each pair once.
+
+    All pairs of the kept groups are made and verified here, so the work grows with the pairs that there are.
+    """
+    ship(docs.sparkSession)
+    rule, clean = Rule(percent), text_of(docs, id_col, text_col)
+    _, classes, met, members = _classes(clean, rule, n, partitions(docs.sparkSession))
+    # without components each class is one of its own, and no pair is connected already
+    more = _remaining(members, members.select(F.col("a").alias("node"), F.col("a").alias("label")).limit(0), rule)
+    found = met.unionByName(more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return _verify(clean, cut(found, "met"), classes, rule, n)
+
+
 def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_shingles, class1, class2, component_id) of each row.
 
@@ -436,15 +462,9 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
     spark = ship(docs.sparkSession)
     rule, buckets = Rule(percent), partitions(spark)
     clean = text_of(docs, id_col, text_col)
-    scan = cut(_scan(clean, n, buckets), "scan")
-    order = spark.sparkContext.broadcast(_frequent(scan, buckets))
-    rows = scan.where("kind = 0")
-    classes = rows.where("n > 0").groupBy("c1", "c2").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("data").alias("data"))
-    classes = cut(classes.withColumn("id", F.coalesce("least", F.lit(_NO_ID))), "classes")
-    met = cut(_candidates(clean, order, rule, n, buckets), "candidates")
-    links = _verify(clean, met.where("kind = 0").select("a", "b").distinct(), classes, rule, n)
+    rows, classes, met, members = _classes(clean, rule, n, buckets)
+    links = _verify(clean, met, classes, rule, n)
     comps = components(links)
-    members = met.where("kind = 1").select("a", "key", "salt", "salts", "n", "pos")
     if members.limit(1).count():
         more = cut(_remaining(members, comps, rule), "remaining")
         if more.limit(1).count():
