@@ -142,6 +142,41 @@ def test_merge_orders_runs_and_their_prefixes():
 
 
 @pytest.mark.parametrize("length", [150, 300])
+def test_suffix_dedup_of_long_strings_is_brute_force(spark, length):
+    rng = random.Random(8)
+    part = lambda n: "".join(rng.choice("ab") for _ in range(n))
+    base = part(900)
+    texts = [base, part(200) + base[:700], base[100:] + part(50), base[300:640] + part(9) + base[:310], part(400), base[450:] + "c" + base[:440], "z" * 800, "z" * 700]
+    for _ in range(12):
+        a, b = rng.randrange(600), rng.randrange(600)
+        texts.append(base[a : a + rng.randrange(500)] + part(rng.randrange(4)) + base[b : b + rng.randrange(500)])
+    first, want = {}, {}
+    for i, t in enumerate(texts):
+        for p in range(len(t) - length + 1):
+            first.setdefault(t[p : p + length], i)
+        gone = {q for p in range(len(t) - length + 1) if first[t[p : p + length]] < i for q in range(p, p + length)}
+        want[i] = "".join(x for q, x in enumerate(t) if q not in gone).encode()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: bytes(r["kept"]) for r in suffix_dedup.deduplicate(df, length, chunk=3000).collect()} == want
+
+
+def test_merge_orders_long_rows():
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        runs = []
+        for _ in range(4):
+            rows = np.zeros((12, 320), np.uint8)
+            rows[:, 250:] = rng.integers(0, 2, (12, 70)) * (np.arange(70) > rng.integers(0, 66, (12, 1)))
+            runs.append(suffixes.sorted_run(rows, np.zeros(12, np.int64))[0])
+        coded = [suffixes.decode(suffixes.front_code(r, np.arange(len(r)))) for r in runs]
+        order, _ = suffixes.merge([r for r, _, _ in coded], [p for _, p, _ in coded])
+        at, got = [0] * len(runs), []
+        for k in order:
+            got.append(coded[k][0][at[k]])
+            at[k] += 1
+        assert got == sorted(x for r, _, _ in coded for x in r)
+
+
 def test_line_dedup_is_brute_force(spark, empty):
     rng = random.Random(3)
     pool = [f"line {k} " + "x" * rng.choice([0, 20, 70]) for k in range(12)] + [""]

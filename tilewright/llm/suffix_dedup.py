@@ -66,6 +66,16 @@ def _rolled(b: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint32(13))
 
 
+def _kind(length: int) -> np.dtype:
+    """Numbers that hold offsets within a string and its context."""
+    return np.dtype(np.uint8 if length < 256 else "<u2" if length < 65536 else "<u4")
+
+
+def _context_width(length: int) -> int:
+    """Bytes of a context's row: the string from its anchor on, what can be before, and the lengths of both."""
+    return -(-(2 * length - min(SEED, length) + 2 * _kind(length).itemsize) // 8) * 8
+
+
 class Chunk:
     """Neighbouring texts as one array of bytes, with the anchors of their strings.
 
@@ -73,7 +83,7 @@ class Chunk:
     """
 
     def __init__(self, run: int, ids: list[int | None], texts: list[bytes], length: int, find: bool = True):
-        self.run, self.length = run, length
+        self.run, self.length, self.kind = run, length, _kind(length)
         self.ids = np.array([_NO_ID if i is None else i for i in ids], np.int64)
         sizes = np.array([len(t) for t in texts], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(sizes)])
@@ -110,12 +120,13 @@ class Chunk:
 
     def packed(self) -> bytes:
         """The anchors, to be found again by :meth:`unpack`."""
-        return len(self.low).to_bytes(8, "little") + (self.anchor - self.low).astype(np.uint8).tobytes() + (self.high - self.low).astype(np.uint8).tobytes() + suffixes.squeeze(self.low)
+        return len(self.low).to_bytes(8, "little") + (self.anchor - self.low).astype(self.kind).tobytes() + (self.high - self.low).astype(self.kind).tobytes() + suffixes.squeeze(self.low)
 
     def unpack(self, raw: bytes) -> None:
         n = int.from_bytes(raw[:8], "little")
-        low = suffixes.expand(raw[8 + 2 * n :]).astype(np.int64)
-        self._set(low + np.frombuffer(raw, np.uint8, n, 8), low, low + np.frombuffer(raw, np.uint8, n, 8 + n))
+        size = self.kind.itemsize * n
+        low = suffixes.expand(raw[8 + 2 * size :]).astype(np.int64)
+        self._set(low + np.frombuffer(raw, self.kind, n, 8), low, low + np.frombuffer(raw, self.kind, n, 8 + size))
 
     def keys(self) -> np.ndarray:
         """64-bit hashes of the anchors' own bytes."""
@@ -131,7 +142,7 @@ class Chunk:
         """The contexts as rows: from the anchor to the end, the part before the anchor, and the lengths of both."""
         a, lo, hi = self.anchor[which], self.low[which], self.high[which]
         right, left = self.length, self.wide - 1
-        rows = np.zeros((len(a), -(-(right + left + 2) // 8) * 8), np.uint8)
+        rows = np.zeros((len(a), _context_width(right)), np.uint8)
         if len(a):
             padded = np.concatenate([self.data, np.zeros(right + left, np.uint8)])
             seen = np.lib.stride_tricks.sliding_window_view(padded, right)
@@ -140,7 +151,7 @@ class Chunk:
             if left:
                 seen = np.lib.stride_tricks.sliding_window_view(padded, left)
                 rows[:, right : right + left] = seen[lo] * (np.arange(left) < before[:, None])
-            rows[:, right + left], rows[:, right + left + 1] = after, before
+            rows[:, right + left : right + left + 2 * self.kind.itemsize] = np.stack([after, before], 1).astype(self.kind).view(np.uint8)
         return rows
 
     def strings(self, which: np.ndarray, most: int = 1 << 62) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -333,7 +344,7 @@ class Dedup:
         """From the samples of a bounded number of runs, spread over all."""
         fs, base = file_system(self.marks.folder)
         names = sorted((f.base_name for f in fs.get_file_info(pafs.FileSelector(base, allow_not_found=True)) if f.base_name.startswith("run-")), key=lambda x: xxhash.xxh3_64_intdigest(x))
-        widths = [-(-(2 * self.length - min(SEED, self.length) + 2) // 8) * 8, -(-self.length // 8) * 8]
+        widths = [_context_width(self.length), -(-self.length // 8) * 8]
         got: list[list[np.ndarray]] = [[], []]
         for name in names[:_SAMPLE_RUNS]:
             raw = self.marks.fetch(int(name[4:], 16))[16:]

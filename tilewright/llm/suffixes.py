@@ -8,6 +8,11 @@ import zstandard
 _A, _M = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
+def _kind(width: int) -> np.dtype:
+    """Numbers that hold the common-prefix lengths of rows of a width."""
+    return np.dtype(np.uint8 if width < 256 else "<u2" if width < 65536 else "<u4")
+
+
 def as_strings(rows: np.ndarray) -> np.ndarray:
     """A matrix of bytes as an array of fixed-width strings, which compare as bytes."""
     return np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel()
@@ -39,7 +44,7 @@ def front_code(rows: np.ndarray, docs: np.ndarray) -> bytes:
     n, width = rows.shape
     differ = np.ones((n, width), bool)
     differ[1:] = rows[1:] != rows[:-1]
-    prefix = np.where(differ.any(1), differ.argmax(1), width).astype(np.uint8)
+    prefix = np.where(differ.any(1), differ.argmax(1), width).astype(_kind(width))
     prefix[:1] = 0
     rest = rows[np.arange(width) >= prefix[:, None]]
     body = prefix.tobytes() + np.ascontiguousarray(docs.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes() + rest.tobytes()
@@ -50,9 +55,10 @@ def decode(raw: bytes) -> tuple[list[bytes], list[int], np.ndarray]:
     """The rows, common-prefix lengths and documents of a front-coded run."""
     n, width = (int(x) for x in np.frombuffer(raw, "<u8", 2))
     body = zstandard.ZstdDecompressor().decompress(raw[16:])
-    prefix = list(body[:n])
-    docs = np.ascontiguousarray(np.frombuffer(body, np.uint8, 8 * n, n).reshape(8, n).T).view("<i8").ravel()
-    rows, last, at = [], b"", 9 * n
+    kind = _kind(width)
+    prefix, at = np.frombuffer(body, kind, n).tolist(), kind.itemsize * n
+    docs = np.ascontiguousarray(np.frombuffer(body, np.uint8, 8 * n, at).reshape(8, n).T).view("<i8").ravel()
+    rows, last, at = [], b"", at + 8 * n
     add = rows.append
     for h in prefix:
         end = at + width - h
