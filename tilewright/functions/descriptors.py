@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.functions import seeded
 from tilewright.functions.images import pooled, smooth
 from tilewright.operators.linalg import _matrix
 from tilewright.operators.solvers import posteriors
@@ -50,12 +51,11 @@ def sift_table(images: DataFrame, h: int, w: int, patch: int = 16, step: int = 4
 
 
 def sample_descriptors(descriptors: DataFrame, per_image: int, total: int, seed: int) -> DataFrame:
-    """At most so many descriptors of each image, and of those so many in all, by seeded hashes."""
+    """At most so many descriptors of each image, and of those so many in all, by seeded orders."""
     from pyspark.sql import Window
 
-    h = F.xxhash64("i", "pos", F.lit(seed))
-    r = F.row_number().over(Window.partitionBy("i").orderBy(h, "pos"))
-    return descriptors.withColumn("r", r).where(F.col("r") <= per_image).drop("r").orderBy(F.xxhash64("i", "pos", F.lit(seed + 1)), "i", "pos").limit(total)
+    r = F.row_number().over(Window.partitionBy("i").orderBy(seeded.order(seed, "i", "pos"), "pos"))
+    return descriptors.withColumn("r", r).where(F.col("r") <= per_image).drop("r").orderBy(seeded.order(seed + 1, "i", "pos"), "i", "pos").limit(total)
 
 
 def fisher_vectors(descriptors: DataFrame, shares: np.ndarray, means: np.ndarray, variances: np.ndarray, improved: bool = False) -> DataFrame:

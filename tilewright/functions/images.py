@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.functions import seeded
 from tilewright.operators.linalg import _matrix
 
 
@@ -85,7 +86,7 @@ def empirical_filters(parts: DataFrame, n: int, upsample: int, tol: float, seed:
 
 
 def gaussian_filters(n: int, c: int, size: int, bandwidth: float, seed: int = 0) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((n, c, size, size)) * bandwidth
+    return seeded.normals((n, c, size, size), seed, "filter") * bandwidth
 
 
 def gabor_filters(n: int, c: int, size: int, seed: int = 0) -> np.ndarray:
@@ -147,21 +148,22 @@ def convolve(filters: np.ndarray, bias: float, pool: int, pool_stride: int, stri
 
 
 def sample_patches(images: DataFrame, shape: tuple[int, int, int], size: int, per_image: int, seed: int) -> DataFrame:
-    """(i, features): random patches of each image, the same for the same seed and image id."""
+    """(i, k, features): random patches of each image, the same for the same seed and image id."""
     c, h, w = shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, out = [], []
+            ids, ks, out = [], [], []
             for key, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rng = np.random.default_rng((seed, key))
                 x = np.array(v).reshape(c, h, w)
-                for y0, x0 in zip(rng.integers(0, h - size + 1, per_image), rng.integers(0, w - size + 1, per_image), strict=True):
+                for k in range(per_image):
+                    y0, x0 = (int(seeded.uniform(seed, key, k, a) * (n - size + 1)) for a, n in (("y", h), ("x", w)))
                     ids.append(key)
+                    ks.append(k)
                     out.append(x[:, y0 : y0 + size, x0 : x0 + size].ravel())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.list_(pa.float64()))], names=["i", "features"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ks, pa.int32()), pa.array(out, pa.list_(pa.float64()))], names=["i", "k", "features"])
 
-    return images.select("i", "features").mapInArrow(run, "i long, features array<double>")
+    return images.select("i", "features").mapInArrow(run, "i long, k int, features array<double>")
 
 
 def augment(images: DataFrame, shape: tuple[int, int, int], size: int, copies: int, seed: int) -> DataFrame:
@@ -174,12 +176,11 @@ def augment(images: DataFrame, shape: tuple[int, int, int], size: int, copies: i
             for key, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 x = np.array(v).reshape(c, h, w)
                 for k in range(copies):
-                    rng = np.random.default_rng((seed, key, k))
-                    y0, x0 = rng.integers(0, h - size + 1), rng.integers(0, w - size + 1)
+                    y0, x0 = (int(seeded.uniform(seed, key, k, a) * (n - size + 1)) for a, n in (("y", h), ("x", w)))
                     part = x[:, y0 : y0 + size, x0 : x0 + size]
                     ids.append(key)
                     ks.append(k)
-                    out.append((part[:, :, ::-1] if rng.random() < 0.5 else part).ravel())
+                    out.append((part[:, :, ::-1] if seeded.uniform(seed, key, k, "flip") < 0.5 else part).ravel())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ks, pa.int32()), pa.array(out, pa.list_(pa.float64()))], names=["i", "copy", "features"])
 
     return images.select("i", "features").mapInArrow(run, "i long, copy int, features array<double>")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tilewright.functions import seeded
+
 
 def n_blocks(n: int, shard: int) -> int:
     return -(-n // shard)
@@ -134,9 +136,8 @@ def derived_key(kind: str, *args: object) -> str:
 
 
 def shuffled(df: DataFrame, id_col: str, seed: int, name: str = "place") -> DataFrame:
-    """A reproducible permutation: ranks by a seeded hash, ties by id. Ranks are found within 65,536 ranges of the hash."""
-    h = F.xxhash64(F.col(id_col), F.lit(seed))
-    keyed = df.withColumn("_h", h).withColumn("_b", F.shiftright("_h", 48))
+    """A reproducible permutation: ranks by a seeded order, ties by id. Ranks are found within 65,536 ranges of it."""
+    keyed = df.withColumn("_h", seeded.order(seed, id_col)).withColumn("_b", F.substring("_h", 1, 4))
     sizes = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     rank = F.row_number().over(Window.partitionBy("_b").orderBy("_h", id_col)) - 1

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.functions import seeded
 from tilewright.operators import linalg
 
 
@@ -56,8 +57,7 @@ def dot(a: Column, b: Column) -> Column:
 def random_fourier(matrix: DataFrame, n_features: int, gamma: float, seed: int = 0) -> DataFrame:
     """sqrt(2 / D) cos(W x + b): components whose products approach the rbf kernel. W and b are of a fixed size."""
     d = matrix.select(F.size("features").alias("d")).first()["d"]
-    rng = np.random.default_rng(seed)
-    w, b = rng.normal(0, np.sqrt(2 * gamma), (d, n_features)), rng.uniform(0, 2 * np.pi, n_features)
+    w, b = np.sqrt(2 * gamma) * seeded.normals((d, n_features), seed, "w"), 2 * np.pi * seeded.uniforms((n_features,), seed, "b")
     return map_rows(matrix, lambda x: np.sqrt(2 / n_features) * np.cos(x @ w + b))
 
 
@@ -75,8 +75,8 @@ def map_rows(matrix: DataFrame, f) -> DataFrame:
 
 
 def landmarks(matrix: DataFrame, m: int, seed: int = 0) -> np.ndarray:
-    """m rows of the lowest seeded hashes: a bounded sample."""
-    rows = matrix.orderBy(F.xxhash64("i", F.lit(seed)), "i").limit(m).collect()
+    """The first m rows of a seeded order: a bounded sample."""
+    rows = matrix.orderBy(seeded.order(seed, "i"), "i").limit(m).collect()
     return np.array([r["features"] for r in rows])
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tilewright.functions import seeded
+
 
 def frame_stack(df: DataFrame, episode: str | None, order: str, value: str, size: int = 4) -> DataFrame:
     """Keeps the rows with ``size - 1`` rows before them, and adds ``stack``, those and its own value in order.
@@ -39,11 +41,12 @@ def top_by(df: DataFrame, value: str, n: int, tie: str) -> DataFrame:
 
 
 def sample_without(df: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
-    """n rows at random, the same for the same seed: those of the lowest seeded hashes."""
-    return df.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).limit(n)
+    """n rows at random, the same for the same seed: the first ones of a seeded order. Each task keeps n rows."""
+    return df.orderBy(seeded.order(seed, id_col), id_col).limit(n)
 
 
 def sample_with(df: DataFrame, id_col: str, place: str, n: int, total: int, seed: int) -> DataFrame:
     """n draws with replacement from rows at dense places 0 .. total - 1: (draw, ...)."""
-    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(total)).alias(place))
+    draw = F.conv(F.substring(seeded.order(seed, "id"), 1, 13), 16, 10).cast("long") / F.lit(2.0**52)
+    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), F.floor(draw * total).alias(place))
     return draws.join(df, place)

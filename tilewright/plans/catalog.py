@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.functions import descriptors, images, vectors
+from tilewright.functions import descriptors, images, seeded, vectors
 from tilewright.operators import blocks, classifiers, evaluate, joins, kernels, layouts, linalg, solvers, windows
 from tilewright.plans import sql
 from tilewright.runtime import cut, scratch, table
@@ -295,15 +295,16 @@ def sol_bcd_primal(spark, sf):
     return rounded(solvers.weights_frame(spark, w), "w", places=4)
 
 
-@query()
+@query(f"with recursive {sql.softmax_steps(5, 0.01, 'w')} select j::int as j, class::int as label, {sql.r('w')} as w from w")
 def sol_softmax_gn(spark, sf):
-    return rounded(solvers.weights_frame(spark, solvers.softmax_regression(design(spark, sf), 1e-2, 10)), "w")
+    return rounded(solvers.weights_frame(spark, solvers.softmax_regression(design(spark, sf), 1e-2, 5)), "w")
 
 
-@query()
+@query(f"with {sql.mixture_steps(4, 5)} select c::int as c, j::int as j, {sql.r('share')} as share, {sql.r('mu')} as mu, {sql.r('var')} as var from g5")
 def sol_gmm(spark, sf):
     shares, means, var = solvers.gaussian_mixture(design(spark, sf), 4, 5)
-    return spark.createDataFrame([(k, float(shares[k]), means[k].tolist(), var[k].tolist()) for k in range(4)], "k int, share double, mean array<double>, var array<double>")
+    rows = [(c, j, float(shares[c]), float(means[c, j]), float(var[c, j])) for c in range(4) for j in range(64)]
+    return rounded(spark.createDataFrame(rows, "c int, j int, share double, mu double, var double"), "share", "mu", "var")
 
 
 @query(f"""with {sql.X}, n as (select count(distinct i) as n from x), m as (select j, avg(v) as m from x group by j),
@@ -315,10 +316,16 @@ def sol_covariance(spark, sf):
     return rounded(spark.createDataFrame([(i, j, float(cov[i, j])) for i in range(64) for j in range(64)], "i int, j int, v double"), "v")
 
 
-@query()
+@query(f"""with {sql.X}, {sql.moments('x')}, c2 as (select a.j, b.k, sum(a.v * b.v) as v from c a join c b on a.k = b.j group by all),
+  p as (select 1 as p, sum(v) as v from c where j = k union all select 2, sum(v * v) from c union all select 3, sum(c.v * c2.v) from c join c2 using (j, k) union all select 4, sum(v * v) from c2)
+  select p, {sql.r('v', 9)} as v from p""")
 def sol_pca(spark, sf):
-    mean, axes = solvers.principal_components(design(spark, sf), 8)
-    return kernels.map_rows(design(spark, sf), lambda x: (x - mean) @ axes)
+    """Sums of powers of the variances of the rows along all axes, which are the traces of powers of the covariance."""
+    mean, axes = solvers.principal_components(design(spark, sf), 64)
+    along = kernels.map_rows(design(spark, sf), lambda x: (x - mean) @ axes).select(F.posexplode("features").alias("k", "v"))
+    var = along.groupBy("k").agg(F.var_pop("v").alias("v"))
+    powers = var.select(F.explode(F.sequence(F.lit(1), F.lit(4))).alias("p"), "v")
+    return rounded(powers.groupBy("p").agg(F.sum(F.pow("v", F.col("p").cast("double"))).alias("v")), "v", places=9)
 
 
 @query(f"""with {sql.E}, n as (select floor(0.9 * count(*)) as n from e),
@@ -742,17 +749,23 @@ def win_rank(spark, sf):
     return rounded(windows.top_by(v, "var", 20, "i"), "var")
 
 
-@query("select vec_id as i from embeddings")
+@query("select vec_id as i, row_number() over (order by md5(concat_ws(':', '7', vec_id)), vec_id) - 1 as place from embeddings")
 def win_permute(spark, sf):
-    """A permutation has each row once; the places themselves are checked by tests."""
-    return blocks.shuffled(design(spark, sf).select("i"), "i", 7).where("place is not null").select("i")
+    return blocks.shuffled(design(spark, sf).select("i"), "i", 7).select("i", F.col("place").cast("long").alias("place"))
 
 
-@query()
+@query("select vec_id as i, label from embeddings order by md5(concat_ws(':', '3', vec_id)), vec_id limit 100")
 def win_sample(spark, sf):
     return windows.sample_without(design(spark, sf).select("i", "label"), "i", 100, 3)
 
 
+@query(f"""with p as (select vec_id as i, row_number() over (order by vec_id) - 1 as place from embeddings),
+  d as (select unnest(range(200)) as draw), e as (select draw, floor({sql.uniform("'5'", 'draw')} * (select count(*) from p)) as place from d) select draw, i from e join p using (place)""")
+def win_sample_with(spark, sf):
+    placed = layouts.dense_index(design(spark, sf).select("i"), "i", "place")
+    return windows.sample_with(placed, "i", "place", 200, placed.count(), 5).select("draw", "i")
+
+
 # --- features ---------------------------------------------------------------------------------------------------------
 
 
@@ -901,21 +914,34 @@ def fea_fisher(spark, sf):
     return rounded(out.groupBy("i", "c", "k").agg(F.max("m").alias("m"), F.max("s").alias("s")), "m", "s")
 
 
-@query()
+def _cells(df: DataFrame, *keys: str) -> DataFrame:
+    return rounded(df.select(*keys, F.posexplode("features").alias("j", "v")), "v")
+
+
+@query(f"""with recursive {sql.X}, {sql.moments('x')}, a as (select j, k, v + case when j = k then 0.1 else 0 end as v from c), {sql.inverse('a', 64)},
+  d as (select i, list(v - m order by j) as d from x join m using (j) group by i),
+  y as (select d.i, sum(d.d[iv.i] * list_dot_product(iv.r, d.d)) as v from d cross join iv group by d.i) select i, {sql.r('v')} as v from y""")
 def fea_zca(spark, sf):
+    """The squared norms of whitened rows, which are those of the rows in the metric of the inverse covariance."""
     x = design(spark, sf)
-    return images.whiten(x, images.whitening(x))
+    return rounded(linalg.square_norms(images.whiten(x, images.whitening(x))), "v")
 
 
-@query()
+@query(f"""with {sql.X}, w as (select j, k, sqrt(2) * {sql.normal("'0'", "'w'", 'j', 'k')} as w from (select distinct j from x), range(128) t(k)),
+  s as (select i, k, sum(v * w) as s from x join w using (j) group by all)
+  select i, k::int as j, {sql.r(f"sqrt(2.0 / 128) * cos(s + 2 * pi() * {sql.uniform(chr(39) + '0' + chr(39), chr(39) + 'b' + chr(39), 'k')})")} as v from s""")
 def ker_rff(spark, sf):
-    return kernels.random_fourier(design(spark, sf), 128, 1.0, 0)
+    return _cells(kernels.random_fourier(design(spark, sf), 128, 1.0, 0), "i")
 
 
-@query()
+@query(f"""with {sql.E}, z as (select i from e order by md5(concat_ws(':', '0', i)), i limit 32)
+  select a.i, b.i as j, {sql.r(f"exp(-{_DIST})")} as v from e a, e b where b.i in (select i from z)""")
 def ker_nystroem(spark, sf):
+    """Products of lifted rows with lifted landmarks, where the lift gives the kernel itself."""
     x = design(spark, sf)
-    return kernels.nystroem(x, kernels.landmarks(x, 32), 1.0)
+    lifted = cut(kernels.nystroem(x, kernels.landmarks(x, 32), 1.0))
+    marks = windows.sample_without(x.select("i"), "i", 32, 0)
+    return rounded(linalg.cross_product_rows(lifted, lifted.join(F.broadcast(marks), "i")), "v")
 
 
 @query()
@@ -923,14 +949,22 @@ def fea_dsift(spark, sf):
     return descriptors.sift_table(design(spark, sf), 8, 8, 4, 2, (0.8, 1.8))
 
 
-@query()
+def _draws(n: int, size: int) -> str:
+    """SQL for the corners of n random patches of images of 8 x 8, with seed 5."""
+    y, x = (f"floor({sql.uniform(chr(39) + '5' + chr(39), 'i', 'k', chr(39) + a + chr(39))} * {9 - size})" for a in "yx")
+    return f"p as (select i, k::int as k, {y} as y0, {x} as x0 from (select distinct id as i from px), range({n}) t(k))"
+
+
+@query(f"""with {sql.X}, {sql.PX}, {_draws(4, 3)}
+  select i, k, ((y - y0) * 3 + (x - x0))::int as j, {sql.r('v')} as v from p join px on px.id = p.i and y between y0 and y0 + 2 and x between x0 and x0 + 2""")
 def fea_grab_patches(spark, sf):
-    return images.sample_patches(design(spark, sf), IMAGE, 3, 4, 5)
+    return _cells(images.sample_patches(design(spark, sf), IMAGE, 3, 4, 5), "i", "k")
 
 
-@query()
+@query(f"""with {sql.X}, {sql.PX}, {_draws(3, 6)}, q as (select *, {sql.uniform("'5'", 'i', 'k', "'flip'")} < 0.5 as flip from p)
+  select i, k as copy, ((y - y0) * 6 + case when flip then 5 - (x - x0) else x - x0 end)::int as j, {sql.r('v')} as v from q join px on px.id = q.i and y between y0 and y0 + 5 and x between x0 and x0 + 5""")
 def fea_augment(spark, sf):
-    return images.augment(design(spark, sf), IMAGE, 6, 3, 5)
+    return _cells(images.augment(design(spark, sf), IMAGE, 6, 3, 5), "i", "copy")
 
 
 @query()
@@ -944,17 +978,19 @@ def fea_canny_cell(spark, sf):
     return images.map_images(design(spark, sf), IMAGE, images.edge_share(4))
 
 
-@query()
+@query(f"""with {sql.X}, {sql.PX}, o as (select unnest(range(5)) as o), c as (select o, least(greatest((o + 0.5) * 8 / 5 - 0.5, 0), 7) as s from o)
+  select id as i, (a.o * 5 + b.o)::int as j, {sql.r('sum(v * greatest(0, 1 - abs(a.s - y)) * greatest(0, 1 - abs(b.s - x)))')} as v from px, c a, c b group by id, a.o, b.o""")
 def fea_resize(spark, sf):
-    return images.map_images(design(spark, sf), IMAGE, lambda x: images.resize(x, 5, 5))
+    return _cells(images.map_images(design(spark, sf), IMAGE, lambda x: images.resize(x, 5, 5)), "i")
 
 
-@query()
+@query(f"""with {sql.X}, {sql.PX}, w as (select f, dy, dx, {sql.normal("'0'", "'conv0'", 'f', '0', 'dy', 'dx')} as w from range(4) a(f), range(3) b(dy), range(3) c(dx)),
+  cv as (select px.id, f, a.py, b.q, greatest(sum(v * w), 0) as v from px, range(8) a(py), range(8) b(q), w where px.y = a.py + dy - 1 and px.x = b.q + dx - 1 group by all)
+  select id as i, (f * 16 + py // 2 * 4 + q // 2)::int as j, {sql.r('max(v)')} as v from cv group by id, f, py // 2, q // 2""")
 def fea_network(spark, sf):
     """A small network with weights drawn from a fixed seed, up to its first pool."""
-    rng = np.random.default_rng(0)
-    net = descriptors.network([("conv0", "conv", rng.normal(size=(4, 1, 3, 3)), np.zeros(4), 1), ("relu0", "relu"), ("pool0", "pool", 2, 2, "max"), ("fc0", "dense", rng.normal(size=(64, 8)), np.zeros(8))], "pool0")
-    return images.map_images(design(spark, sf), IMAGE, net)
+    net = descriptors.network([("conv0", "conv", seeded.normals((4, 1, 3, 3), 0, "conv0"), np.zeros(4), 1), ("relu0", "relu"), ("pool0", "pool", 2, 2, "max"), ("fc0", "dense", np.ones((64, 8)), np.zeros(8))], "pool0")
+    return _cells(images.map_images(design(spark, sf), IMAGE, net), "i")
 
 
 # --- further solvers, sinks and samples -------------------------------------------------------------------------------
@@ -1011,21 +1047,29 @@ def sol_bandwidth_sweep(spark, sf):
     return classifiers.sweep_features(design(spark, sf), [0.1, 1.0, 10.0], features, 0.1)
 
 
-@query()
+@query(f"""with {sql.E}, p as (select list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as v, row_number() over (order by md5(concat_ws(':', '0', i)), i) as p from e),
+  d as (select sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) as d from p a join p b on b.p = a.p + 1) select {sql.r('quantile_cont(d, 0.5)')} as median from d""")
 def agg_median_pair(spark, sf):
-    return classifiers.median_pair_distance(design(spark, sf))
+    return rounded(classifiers.median_pair_distance(design(spark, sf)), "median")
 
 
-@query()
+@query(f"""with recursive {sql.X}, a0 as (select i, j, v / 255 - avg(v / 255) over (partition by i) as v from x), y as (select i, j, v / (sqrt(sum(v * v) over (partition by i)) / 55) as v from a0),
+  {sql.moments('y')}, a as (select j, k, v + case when j = k then 0.1 else 0 end as v from c), {sql.inverse('a', 64)},
+  d as (select i, list(v - m order by j) as d from y join m using (j) group by i)
+  select d.i, (iv.i - 1)::int as j, {sql.r('list_dot_product(iv.r, d.d)')} as v from d cross join iv""")
 def fea_norm_patches(spark, sf):
+    """Whitened twice, which is the inverse covariance."""
     x = design(spark, sf).select("i", vectors.contrast_normalised(F.col("features")).alias("features"))
-    return images.whiten(x, images.whitening(x), 2)
+    return _cells(images.whiten(x, images.whitening(x), 2), "i")
 
 
-@query()
+@query(f"""with {sql.X}, d as (select distinct i, (j // 4)::int as pos from x),
+  r as (select *, row_number() over (partition by i order by md5(concat_ws(':', '1', i, pos)), pos) as r from d),
+  t as (select i, pos from r where r <= 4 order by md5(concat_ws(':', '2', i, pos)), i, pos limit 100)
+  select i, pos, (j % 4)::int as j, {sql.r('v')} as v from t join x using (i) where j // 4 = pos""")
 def fea_sample_desc(spark, sf):
     x = design(spark, sf).select("i", F.explode(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda p: F.struct(p.alias("pos"), F.slice("features", p * 4 + 1, 4).alias("features")))).alias("d"))
-    return descriptors.sample_descriptors(x.select("i", "d.pos", "d.features"), 4, 100, 1)
+    return _cells(descriptors.sample_descriptors(x.select("i", "d.pos", "d.features"), 4, 100, 1), "i", "pos")
 
 
 @query(f"with {sql.X} select i::varchar as name, j::int as j, {sql.r('v')} as v from x")
@@ -1035,11 +1079,11 @@ def src_csv_feat(spark, sf):
     return rounded(files.csv_vectors(spark, path).select("name", F.posexplode("features").alias("j", "v")), "v")
 
 
-@query("with n as (select floor(0.9 * count(*)) as n from embeddings) select vec_id as i, label, vec_id < n as is_train from embeddings, n")
+@query(f"with {sql.X}, n as (select floor(0.9 * count(*)) as n from embeddings) select i, label, i < n as is_train, j::int as j, {sql.r('v')} as v from x, n")
 def snk_features(spark, sf):
     path = scratch(spark, "features")
     records.save_features(evaluate.split_tail(design(spark, sf), "i"), path)
-    return records.load_features(spark, path).select("i", "label", "is_train")
+    return _cells(records.load_features(spark, path), "i", "label", "is_train")
 
 
 @query(f"with recursive {sql.ridge('(0.1)')} select j, class::int as label, {sql.r('w')} as w from w")
