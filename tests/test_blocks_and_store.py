@@ -69,6 +69,12 @@ def test_symmetric_store_mirrors_and_shifts(spark):
     up, low = dense(store.block(h, 0, 1), (2, 2)), dense(store.block(h, 1, 0), (2, 2))
     assert np.allclose(up, low.T) and np.allclose(up, a[:2, 2:4])
     assert np.allclose(dense(store.block(h, 1, 1), (2, 2)), a[2:4, 2:4] + 0.5 * np.eye(2))
+    whole = a + 0.5 * np.eye(5)
+    for i in range(5):
+        assert {r["j"]: r["v"] for r in store.point(h, i).collect()} == pytest.approx(dict(enumerate(whole[i])))
+        assert all(np.isclose(store.point(h, i, j).first()["v"], whole[i, j]) for j in (0, 4))
+    # a row is read from its own row and column of tiles alone
+    assert "bi#" in store.point(h, 4)._jdf.queryExecution().executedPlan().toString() and "PartitionFilters: [(" in store.point(h, 4)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_store_resumes_deletes_and_reshards(spark):
@@ -90,6 +96,8 @@ def test_store_resumes_deletes_and_reshards(spark):
         store.put(h, layouts.rows_to_blocks(matrix(spark, x), 2, 4))
     store.delete("m")
     assert store.header("m") is None and store.header(c.key) == c
+    again = store.shard("m", matrix(spark, x), 2, 2)
+    assert store.header("m") == again != h and store.matrices("m").count() == 2
 
 
 def test_index_algebra(spark):

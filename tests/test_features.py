@@ -98,9 +98,10 @@ def test_fisher_and_sift(spark):
     z = (x[:, None] - means) / np.sqrt(var)
     want = np.concatenate([(p - shares).mean(0) / np.sqrt(shares), ((p[:, :, None] * z).mean(0) / np.sqrt(shares)[:, None]).ravel(), ((p[:, :, None] * (z**2 - 1)).mean(0) / np.sqrt(2 * shares)[:, None]).ravel()])
     assert len(out[1]) == 2 + 2 * 2 * 3 and np.allclose(out[1], want)
-    s = descriptors.dense_sift(rng.normal(size=(24, 24)) * 50)
+    s, at = descriptors.dense_sift(rng.normal(size=(25, 27)) * 50)
+    assert at.tolist() == [[y, x] for x in (1, 5, 9) for y in (0, 4, 8)]
     assert s.shape == (9, 128) and (s >= 0).all() and np.allclose(np.linalg.norm(s, axis=1), 1)
-    assert (descriptors.dense_sift(np.ones((16, 16))) == 0).all()
+    assert (descriptors.dense_sift(np.zeros((16, 16)))[0] == 0).all()
 
 
 def test_network_layers():
@@ -178,3 +179,29 @@ def test_chained_queues_and_repeated_batches(spark):
     acc.add(part, 0)
     acc.add(part, 1)
     assert np.allclose(acc.dense(2), 2 * np.array([[10, 14], [14, 20.0]]))
+
+
+def test_tar_images_are_numbered_and_labelled(spark, tmp_path):
+    sizes = {"n02": 3, "n01": 2, "n03": 1}
+    for k, (c, n) in enumerate(sizes.items()):
+        with tarfile.open(tmp_path / f"{c}.tar", "w") as t:
+            for m in range(n):
+                raw = bytes([k, m] * (3 if c == "n02" else 1))
+                info = tarfile.TarInfo(f"{c}_{n - m}.png")
+                info.size = len(raw)
+                t.addfile(info, io.BytesIO(raw))
+    rows = files.tar_images(spark, f"file://{tmp_path}/*.tar", lambda raw: (1, 2, len(raw) // 2, [float(b) for b in raw])).orderBy("i").collect()
+    assert [r["i"] for r in rows] == list(range(6)) and [r["label"] for r in rows] == [0, 0, 1, 1, 1, 2] and all(len(r["px"]) == 6 for r in rows)
+    assert [r["name"] for r in rows[:2]] == ["n01_1.png", "n01_2.png"] and rows[0]["px"] == [1.0, 1.0] * 3
+
+
+def test_frames_take_empirical_filters_and_blobs_are_stacked(spark):
+    rng = np.random.default_rng(5)
+    patches = rng.normal(size=(12, 1, 3, 3)) * np.arange(1, 13)[:, None, None, None]
+    f, n = images.frame_features(patches, 4, 2, pool=6)
+    assert n == 8 and f(rng.normal(size=(2, 1, 8, 8))).shape == (2, 16, 1, 1)
+    frames = spark.createDataFrame([(t, (255.0 * rng.random(64)).tolist()) for t in range(5)], "i long, features array<double>")
+    blobs = images.map_images(frames, (1, 8, 8), images.blob_grid(3, 4)).withColumn("episode", F.lit(0))
+    stacked = {r["i"]: r["lags"] for r in windows.lag_stack(blobs, "episode", "i", "features").collect()}
+    own = {r["i"]: r["features"] for r in blobs.collect()}
+    assert stacked[4] == [own[1], own[2], own[3], own[4]] and stacked[1] == [own[0], own[0], own[0], own[1]]

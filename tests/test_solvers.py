@@ -124,3 +124,49 @@ def test_objective_and_neighbours(spark):
     d = spark.createDataFrame([(9, 0, 1.0), (9, 1, 2.0), (9, 2, 3.0)], "i long, j long, v double")
     labels = spark.createDataFrame([(0, 4), (1, 2), (2, 2)], "i long, label int")
     assert solvers.nearest_neighbours(d, labels, 3).first()["label"] == 2 and solvers.nearest_neighbours(d, labels, 2).first()["label"] == 2
+
+
+def test_block_kernel_is_the_dense_one(spark):
+    x, y, df = data(spark, 37)
+    k = np.exp(-0.3 * ((x[:, None] - x[None]) ** 2).sum(2))
+    for lower, tiles in ((True, kernels.blocks_of_rows(df, "rbf", 8, 0.3)), (False, layouts.coords_to_blocks(spark.createDataFrame([(i, j, float(k[i, j])) for i in range(37) for j in range(37)], "i long, j int, v double"), 37, 37, 8, 8))):
+        stored = solvers.BlockKernel(cut(tiles), 8, lower)
+        v = np.random.default_rng(0).normal(size=(37, 2))
+        v[16:24] = 0  # a block that gives nothing
+        assert np.allclose(stored.multiply(v), k @ v) and np.allclose(stored.diagonal(), np.diag(k))
+        part, own = stored.panel_product(2, v)
+        assert np.allclose(part, k[16:24] @ v) and np.allclose(own, k[16:24, 16:24])
+    want = np.linalg.solve(k + 0.5 * np.eye(37), np.eye(3)[y])
+    assert np.allclose(solvers.dual_blocks(stored, np.eye(3)[y], 0.5), want, atol=1e-6)
+    assert np.allclose(solvers.block_coordinate(solvers.BlockKernel(cut(kernels.blocks_of_rows(df, "rbf", 8, 0.3)), 8, True), np.eye(3)[y], 0.5, epochs=25), want, atol=1e-3)
+
+
+def test_medians_are_exact(spark):
+    rng = np.random.default_rng(3)
+    for values in ([4.0], [1.0, 2.0], [2.0] * 9, rng.normal(size=501).tolist(), rng.exponential(size=500).tolist(), [0.0] * 100 + [5.0] * 100, [1e9, -1e9, 3.0, 3.0, 4.0], [0.0] * 7 + [1.0] * 8 + [9e9]):
+        df = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
+        assert linalg.median(df, "v", bins=4, few=3) == np.median(values)
+    assert linalg.median(df.limit(0), "v") is None
+
+
+def test_nearest_rows_and_grids(spark):
+    x, y, df = data(spark, 50)
+    d = np.round(((x[:, None] - x[None, :20]) ** 2).sum(2), 9)
+    got = sorted((r["i"], r["j"]) for r in linalg.nearest_rows(df, df.where("i < 20"), 3, block=7).collect())
+    assert got == sorted((i, int(j)) for i in range(50) for j in np.argsort(d[i], kind="stable")[:3])
+    for g, r, acc in solvers.gamma_lambda_grid(x @ x.T, (x * x).sum(1), y, [0.1, 2.0], [0.1, 5.0]):
+        k = np.exp(-g * ((x[:, None] - x[None]) ** 2).sum(2))
+        assert acc == ((k @ np.linalg.solve(k + r * np.eye(50), np.eye(3)[y])).argmax(1) == y).mean()
+
+
+def test_linear_classifiers_learn(spark):
+    from tilewright.operators import classifiers
+
+    x, y, _ = data(spark, 120)
+    x[:, 0] = 4 * y + 0.1 * x[:, 1]
+    df = spark.createDataFrame([(i, x[i].tolist(), int(y[i])) for i in range(120)], "i long, features array<double>, label int")
+    for out in (classifiers.logistic(df), classifiers.support_vectors(df.where("label < 2"))):
+        rows = out.collect()
+        assert np.mean([r["label"] == r["pred"] for r in rows]) > 0.95
+    sweep = classifiers.sweep_features(df, [0.0, 1.0], lambda m, s: m.select("i", F.transform("features", lambda v: v * s).alias("features")), 0.1).collect()
+    assert sweep[1]["train_acc"] > sweep[0]["train_acc"]

@@ -17,25 +17,44 @@ from tilewright.operators.solvers import posteriors
 ANGLES, BINS, SHARPNESS = 8, 4, 9
 
 
-def dense_sift(x: np.ndarray, patch: int = 16, step: int = 4, sigma: float = 0.8, clip: float = 0.2) -> np.ndarray:
-    """n_positions x 128 descriptors of one h x w image: gradients of 8 directions, weighted into 4 x 4 bins."""
-    s = smooth(x.astype(float), sigma)
-    gy, gx = np.gradient(s)
+def edge_filters(sigma: float) -> np.ndarray:
+    """Derivatives down and across of a Gaussian of 2 ceil(sigma) pixels to each side, of absolute sum 2."""
+    r = int(2 * np.ceil(sigma))
+    g = np.exp(-np.add.outer(np.arange(-r, r + 1) ** 2, np.arange(-r, r + 1) ** 2) / (2 * sigma**2))
+    both = np.stack(np.gradient(g / g.sum()))
+    return 2 * both / np.abs(both).sum((1, 2), keepdims=True)
+
+
+def grid_starts(n: int, patch: int, step: int) -> np.ndarray:
+    """Places every ``step`` pixels, what is left over being shared by both sides."""
+    return np.arange((n - patch) % step // 2, n - patch + 1, step)
+
+
+def dense_sift(x: np.ndarray, patch: int = 16, step: int = 4, sigma: float = 0.8, clip: float = 0.2, least: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """n x 128 descriptors of one h x w image, and the corners (y, x) of their patches, down the columns of a centred grid.
+
+    A descriptor has for each of 8 directions the gradients weighted into 4 x 4 bins, rows of bins first. Those of a norm
+    below ``least`` are divided by it and clipped; others are normalised, clipped and normalised again.
+    """
+    f = edge_filters(sigma)
+    r = f.shape[1] // 2
+    view = np.lib.stride_tricks.sliding_window_view(np.pad(x.astype(float), r), f.shape[1:])
+    gy, gx = np.einsum("yxij,kij->kyx", view, f[:, ::-1, ::-1])
     size, way = np.hypot(gx, gy), np.arctan2(gy, gx)
     by_angle = np.stack([np.maximum(np.cos(way - 2 * np.pi * k / ANGLES), 0) ** SHARPNESS * size for k in range(ANGLES)])
     width = patch / BINS
-    centres = (np.arange(BINS) + 0.5) * width - 0.5
-    weight = np.maximum(1 - np.abs(np.arange(patch)[None] - centres[:, None]) / width, 0)
-    view = np.lib.stride_tricks.sliding_window_view(by_angle, (patch, patch), axis=(1, 2))[:, ::step, ::step]
-    d = np.einsum("ayxij,pi,qj->yxpqa", view, weight, weight).reshape(-1, BINS * BINS * ANGLES)
+    weight = np.maximum(1 - np.abs(np.arange(patch)[None] - ((np.arange(BINS) + 0.5) * width - 0.5)[:, None]) / width, 0)
+    ys, xs = (grid_starts(n, patch, step) for n in x.shape)
+    parts = np.lib.stride_tricks.sliding_window_view(by_angle, (patch, patch), axis=(1, 2))[:, ys][:, :, xs]
+    d = np.einsum("ayxij,pi,qj->xyapq", parts, weight, weight).reshape(-1, BINS * BINS * ANGLES)
     n = np.linalg.norm(d, axis=1, keepdims=True)
-    clipped = np.minimum(d / np.maximum(n, 1.0), clip)
-    again = clipped / np.maximum(np.linalg.norm(clipped, axis=1, keepdims=True), 1e-12)
-    return np.where(n > 1, again, clipped)
+    clipped = np.minimum(d / np.maximum(n, least), clip)
+    again = clipped / np.maximum(np.linalg.norm(clipped, axis=1, keepdims=True), 1e-300)
+    return np.where(n >= least, again, clipped), np.stack([np.tile(ys, len(xs)), np.repeat(xs, len(ys))], 1)
 
 
 def sift_table(images: DataFrame, h: int, w: int, patch: int = 16, step: int = 4, sigmas: tuple[float, ...] = (0.8,)) -> DataFrame:
-    """(i, pos, features) of grey images (i, features): a row for each grid position of each smoothing scale.
+    """(i, pos, y, x, features) of grey images (i, features): a row for each grid position of each smoothing scale, with its corner.
 
     A patch of the image's own size is the whole image as one patch.
     """
@@ -44,10 +63,11 @@ def sift_table(images: DataFrame, h: int, w: int, patch: int = 16, step: int = 4
         for b in batches:
             if b.num_rows:
                 for key, x in zip(b.column(0).to_pylist(), _matrix(b.column(1)), strict=True):
-                    d = np.concatenate([dense_sift(x.reshape(h, w), patch, step, s) for s in sigmas])
-                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(d), pa.int64()), pa.array(range(len(d)), pa.int32()), pa.array(list(d), pa.list_(pa.float64()))], names=["i", "pos", "features"])
+                    d, at = (np.concatenate(z) for z in zip(*(dense_sift(x.reshape(h, w), patch, step, s) for s in sigmas), strict=True))
+                    y0, x0 = at.T.astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(d), pa.int64()), pa.array(range(len(d)), pa.int32()), pa.array(y0), pa.array(x0), pa.array(list(d), pa.list_(pa.float64()))], names=["i", "pos", "y", "x", "features"])
 
-    return images.select("i", "features").mapInArrow(run, "i long, pos int, features array<double>")
+    return images.select("i", "features").mapInArrow(run, "i long, pos int, y int, x int, features array<double>")
 
 
 def sample_descriptors(descriptors: DataFrame, per_image: int, total: int, seed: int) -> DataFrame:

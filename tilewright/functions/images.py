@@ -54,6 +54,28 @@ def threshold(cells: DataFrame, above: float = 0.15) -> DataFrame:
     return cells.withColumn("v", F.col("v") > above)
 
 
+def cell_means(cell_h: int = 10, cell_w: int = 10) -> Callable[[np.ndarray], np.ndarray]:
+    """As :func:`density`, for :func:`map_images`: nothing is shuffled."""
+
+    def run(x: np.ndarray) -> np.ndarray:
+        n, c, h, w = x.shape
+        whole = x[:, :, : h // cell_h * cell_h, : w // cell_w * cell_w]
+        return whole.reshape(n, c, h // cell_h, cell_h, w // cell_w, cell_w).mean((3, 5))
+
+    return run
+
+
+def part_statistics(size: int, step: int = 1, joint: bool = False) -> Callable[[np.ndarray], np.ndarray]:
+    """For :func:`map_images`: mean and population deviation of square parts on a grid, of each channel or, ``joint``, of all together."""
+
+    def run(x: np.ndarray) -> np.ndarray:
+        view = np.lib.stride_tricks.sliding_window_view(x, (size, size), axis=(2, 3))[:, :, ::step, ::step]
+        axes = (1, 4, 5) if joint else (4, 5)
+        return np.stack([view.mean(axes), view.std(axes)], -1)
+
+    return run
+
+
 def patches(px: DataFrame, shape: tuple[int, int, int], size: int, stride: int = 1) -> DataFrame:
     """(id, py, px, c, dy, dx, v): the pixels of all overlapping patches. A pixel finds its patches; nothing is joined."""
     _, h, w = shape
@@ -294,3 +316,23 @@ def edge_share(cell: int = 10, above: float = 0.15) -> Callable[[np.ndarray], np
         return (e.reshape(n, c, h // cell, cell, w // cell, cell).mean((3, 5)) > above).astype(float)
 
     return run
+
+
+def frame_features(patches: np.ndarray, batch: int = 64, batches: int = 8, pool: int = 150, bias: float = 0.0) -> tuple[Callable[[np.ndarray], np.ndarray], int]:
+    """A convolution of frames by ``batch`` x ``batches`` empirical filters, its defaults being those of game frames (patches of
+    10 x 10, pools of 150), and how many filters there are. ``patches`` is n x c x s x s; those of the largest variance are taken."""
+    n = min(len(patches), batch * batches)
+    best = np.argsort(-patches.reshape(len(patches), -1).var(1), kind="stable")[:n]
+    return convolve(patches[best], bias, pool, pool), n
+
+
+def featurize_missing(store, header, images: DataFrame, shape: tuple[int, int, int], f: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Features of dense images (i, features) for the row blocks of a stored matrix that aren't whole yet, added to the store; returns those
+    blocks (bi). A run that stopped goes on from what it has written."""
+    from tilewright.operators.layouts import rows_to_blocks
+    from tilewright.runtime import cut
+
+    wanted = cut(store.missing(header).select("bi").distinct(), "missing")
+    rows = images.withColumn("bi", F.floor(F.col("i") / header.shard_0).cast("int")).join(F.broadcast(wanted), "bi", "left_semi")
+    store.put(header, rows_to_blocks(map_images(rows, shape, f), header.shard_0, header.shard_1))
+    return wanted

@@ -69,4 +69,5 @@ def median_pair_distance(matrix: DataFrame, seed: int = 0) -> DataFrame:
     placed = shuffled(matrix.select("i", l2(F.col("features")).alias("a")), "i", seed)
     after = placed.select((F.col("place") - 1).alias("place"), F.col("a").alias("b"))
     d = F.sqrt(F.aggregate(F.zip_with("a", "b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    return placed.join(after, "place").select(d.alias("d")).agg(F.percentile("d", 0.5).alias("median"))
+    found = placed.join(after, "place").select(d.alias("d"))
+    return matrix.sparkSession.createDataFrame([(linalg.median(found, "d"),)], "median double")

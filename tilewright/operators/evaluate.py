@@ -21,11 +21,11 @@ def accuracy(predicted: Column, label: Column) -> Column:
     return F.avg((predicted == label).cast("double"))
 
 
-def top_k_accuracy(scored: DataFrame, ks: list[int]) -> DataFrame:
-    """(k, acc) for rows (label, scores)."""
-    each = scored.select("label", "scores", F.explode(F.array(*map(F.lit, ks))).alias("k"))
+def top_k_accuracy(scored: DataFrame, ks: list[int], *by: str) -> DataFrame:
+    """(by, k, acc) for rows (by, label, scores)."""
+    each = scored.select(*by, "label", "scores", F.explode(F.array(*map(F.lit, ks))).alias("k"))
     hit = F.array_contains(F.transform(F.slice(F.array_sort(F.transform("scores", lambda s, c: F.struct((-s).alias("s"), c.cast("int").alias("c")))), F.lit(1), F.col("k")), lambda x: x["c"]), F.col("label"))
-    return each.groupBy("k").agg(F.avg(hit.cast("double")).alias("acc"))
+    return each.groupBy(*by, "k").agg(F.avg(hit.cast("double")).alias("acc"))
 
 
 def long_scores(scored: DataFrame) -> DataFrame:
@@ -81,3 +81,27 @@ def objective(model: DataFrame, predicted: DataFrame, labels: DataFrame, reg: fl
     """0.5 tr(w'Kw) + 0.5 reg |w|^2 - tr(y'w), for (i, class, w), K w as (i, class, v) and one-hot labels (i, class)."""
     m = model.join(predicted, ["i", "class"], "left").join(labels.select("i", "class", F.lit(1.0).alias("y")), ["i", "class"], "left")
     return m.agg((0.5 * F.sum(F.col("w") * F.coalesce("v", F.lit(0.0))) + 0.5 * reg * F.sum(F.col("w") * F.col("w")) - F.sum(F.col("w") * F.coalesce("y", F.lit(0.0)))).alias("obj"))
+
+
+def agreement_over_episodes(each: DataFrame, episode: str) -> DataFrame:
+    """Adds ``mean``, over all episodes, and ``running``, over those so far, to :func:`agreement`'s rows, of which there is one for each
+    episode."""
+    every = Window.orderBy(episode)
+    return each.withColumn("running", F.avg("agreement").over(every.rowsBetween(Window.unboundedPreceding, 0))).withColumn("mean", F.avg("agreement").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+
+
+def test_saved(model: DataFrame, rows: DataFrame, source: str | None = None, ks: tuple[int, ...] = (1, 5)) -> DataFrame:
+    """(k, acc) of a saved model (j, label, w) on rows (i, features, label); with ``source`` the scores of its copies are averaged first.
+
+    The model is d x C and goes to every task.
+    """
+    from tilewright.operators.solvers import scores
+
+    got = model.select("j", "label", "w").toPandas()
+    w = got.pivot(index="j", columns="label", values="w").to_numpy()
+    scored = scores(rows, {"w": w})
+    if source:
+        mean = augmented(long_scores(scored).join(rows.select("i", source), "i"), source)
+        packed = mean.groupBy(source).agg(F.transform(F.array_sort(F.collect_list(F.struct("class", "score"))), lambda s: s["score"]).alias("scores"))
+        scored = packed.join(rows.groupBy(source).agg(F.min(F.col("label").cast("int")).alias("label")), source)
+    return top_k_accuracy(scored, list(ks))

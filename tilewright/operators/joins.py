@@ -23,6 +23,15 @@ def pairs_in_window(points: DataFrame, frame: str, height: int, width: int) -> D
     return met.where(inside).groupBy(frame, "y", "x", "c1", "dy", "dx", "c2").agg(F.sum(F.col("m1") * F.col("m2")).alias("n"))
 
 
+def offset_index(pairs: DataFrame, shape: tuple[int, int], window: tuple[int, int], colours: int) -> DataFrame:
+    """Adds ``index`` to :func:`pairs_in_window`'s rows: the place of (y, x, c1, dy + h/2, dx + w/2, c2) in the flat tensor of all pairs of a
+    frame, of h x w windows; colours are numbers below ``colours``. The rows are the tensor's only cells that aren't 0."""
+    at = F.lit(0).cast("long")
+    for value, size in (("y", shape[0]), ("x", shape[1]), ("c1", colours), (F.col("dy") + window[0] // 2, window[0]), (F.col("dx") + window[1] // 2, window[1]), ("c2", colours)):
+        at = at * size + (F.col(value) if isinstance(value, str) else value)
+    return pairs.withColumn("index", at)
+
+
 def all_pairs(points: DataFrame, frame: str) -> DataFrame:
     """(frame, c1, c2, dy, dx, n): offsets of all pairs of a frame's points, counted on distinct points."""
     p = points.groupBy(frame, "y", "x", "c").agg(F.count(F.lit(1)).alias("m"))

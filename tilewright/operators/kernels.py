@@ -39,15 +39,33 @@ def diagonal_shift(kernel: DataFrame, offset: float) -> DataFrame:
 
 
 def of_rows(rows: DataFrame, cols: DataFrame | None, kind: str, gamma: float = 1.0, num_features: int = 1) -> DataFrame:
-    """A kernel of row matrices: linear, rbf or quadratic; with ``cols`` None the lower triangle of the rows' own."""
-    if kind not in ("linear", "rbf", "quadratic"):
-        raise ValueError(f"no kernel {kind!r}: linear, rbf or quadratic")
-    linear = linalg.self_product_rows(rows) if cols is None else linalg.cross_product_rows(rows, cols)
-    if kind == "linear":
-        return linear
-    if kind == "quadratic":
-        return quadratic(linear, gamma)
-    return rbf(linear, linalg.square_norms(rows), linalg.square_norms(rows if cols is None else cols), gamma, num_features)
+    """A kernel of row matrices: linear, rbf, quadratic, or the squared distance; with ``cols`` None the lower triangle of the rows' own.
+
+    It is made tile by tile, with the norms of a tile's own rows, so cells are never shuffled.
+    """
+    finish = tile_function(kind, gamma, num_features)
+    return linalg.self_product_rows(rows, finish=finish) if cols is None else linalg.cross_product_rows(rows, cols, finish=finish)
+
+
+def tile_function(kind: str, gamma: float = 1.0, num_features: int = 1) -> linalg.Finish | None:
+    """What makes a kernel's tile of a tile of products and the squared norms of its rows and columns."""
+
+    def squared(p: np.ndarray, x2: np.ndarray, y2: np.ndarray) -> np.ndarray:
+        return np.maximum(x2[:, None] - 2 * p + y2[None], 0)
+
+    kinds = {"linear": None, "quadratic": lambda p, x2, y2: (1 + gamma * p) ** 2, "distance": squared, "rbf": lambda p, x2, y2: np.exp(-gamma * squared(p, x2, y2) / num_features)}
+    if kind not in kinds:
+        raise ValueError(f"no kernel {kind!r}: {', '.join(kinds)}")
+    return kinds[kind]
+
+
+def blocks_of_rows(rows: DataFrame, kind: str, shard: int, gamma: float = 1.0, num_features: int = 1) -> DataFrame:
+    """The lower tiles, bi >= bj, of the kernel of a row matrix with dense ids."""
+    from tilewright.operators.layouts import rows_to_blocks
+
+    d = rows.select(F.size("features").alias("d")).first()["d"]
+    tiles = rows_to_blocks(rows, shard, d)
+    return linalg.product_blocks(tiles, tiles, True, tile_function(kind, gamma, num_features))
 
 
 def dot(a: Column, b: Column) -> Column:

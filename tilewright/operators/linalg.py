@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from tilewright.operators.layouts import BLOCK_DDL
 
+#: A tile of a kernel from one of X Y' and the squared norms of the rows of X and of Y.
+Finish = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+
 
 def _matrix(column) -> np.ndarray:
     """A list column of equal lengths as a matrix, by its flat buffer."""
@@ -67,12 +70,13 @@ def product_coords(x: DataFrame, y: DataFrame, lower: bool = False) -> DataFrame
     return met.groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("v"))
 
 
-def product_blocks(x: DataFrame, y: DataFrame, lower: bool = False) -> DataFrame:
+def product_blocks(x: DataFrame, y: DataFrame, lower: bool = False, finish: Finish | None = None) -> DataFrame:
     """X Y' of block matrices: the tiles of an output tile meet in one group, where products are added over inner blocks.
 
     The output tiles (bi, bj) have the row blocks of X by the row blocks of Y; lower: only bi >= bj. Each tile is sent once
     to every output tile that it is part of, which is less than the output where tiles are no wider than high, and no
-    key has more than one row and one column of tiles.
+    key has more than one row and one column of tiles. ``finish`` makes the tile of a kernel of a product tile and the squared norms
+    of its rows and columns, which the task has as well.
     """
     n, m = ((d.agg(F.max("bi")).first()[0] if d is not None else None) for d in (x, y))
     n, m = (-1 if v is None else v for v in (n, m))
@@ -94,42 +98,75 @@ def product_blocks(x: DataFrame, y: DataFrame, lower: bool = False) -> DataFrame
         both = tiles[0].keys() & tiles[1].keys()
         if both:
             total = sum(tiles[0][k] @ tiles[1][k].T for k in both)
+            if finish:
+                total = finish(total, *(sum((t * t).sum(1) for t in side.values()) for side in tiles))
             out = pa.ListArray.from_arrays(pa.array([0, total.size], pa.int32()), pa.array(np.ascontiguousarray(total).ravel()))
             yield pa.RecordBatch.from_arrays([*(pa.array([v], pa.int32()) for v in (*key, *total.shape)), out], names=["bi", "bj", "n_rows", "n_cols", "data"])
 
     return left.unionByName(right).groupBy("bi", "bj").applyInArrow(multiply, BLOCK_DDL)
 
 
-def self_product_rows(matrix: DataFrame, block: int = 512) -> DataFrame:
-    """(i, j, v), i >= j, of X X' of a row matrix, by whole row blocks: n^2 / 2 cells, the size of the result."""
+def self_product_rows(matrix: DataFrame, block: int = 512, finish: Finish | None = None) -> DataFrame:
+    """(i, j, v), i >= j, of X X' (or a kernel of it) of a row matrix, by whole row blocks: n^2 / 2 cells, the size of the result."""
     from tilewright.operators.layouts import blocks_to_coords, rows_to_blocks
 
     d = matrix.select(F.size("features").alias("d")).first()
     tiles = rows_to_blocks(matrix, block, (d["d"] if d else 1) or 1)
-    cells = blocks_to_coords(product_blocks(tiles, tiles, lower=True), block, block).where("i >= j")
+    cells = blocks_to_coords(product_blocks(tiles, tiles, True, finish), block, block).where("i >= j")
     return cells.select("i", F.col("j").cast("long").alias("j"), "v")
 
 
-def cross_product_rows(a: DataFrame, b: DataFrame, block: int = 1024) -> DataFrame:
-    """(i, j, v) of A B' of two row matrices with any ids. Rows are dealt into blocks by hash; each pair of blocks is a key of
-    its own, with one row of either side."""
+def _met(a: DataFrame, b: DataFrame, block: int) -> DataFrame:
+    """(i, x, j, y): ids and flat features of a block of either side, for each pair of blocks. Rows are dealt into blocks by hash;
+    each pair of blocks is a key of its own, with one row of either side."""
     counts = [max(1, -(-d.count() // block)) for d in (a, b)]
 
-    def pack(df: DataFrame, own: str, other: str, k: int, tag: str) -> DataFrame:
+    def pack(df: DataFrame, own: str, other: str, k: int, names: tuple[str, str]) -> DataFrame:
         keyed = df.withColumn(own, F.pmod(F.xxhash64("i"), F.lit(counts[k])).cast("int"))
-        packed = keyed.groupBy(own).agg(F.collect_list(F.struct("i", "features")).alias(tag))
-        return packed.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(counts[1 - k] - 1))))
+        packed = keyed.groupBy(own).agg(F.collect_list(F.struct("i", "features")).alias("r"))
+        ids, flat = F.transform("r", lambda s: s["i"]).alias(names[0]), F.flatten(F.transform("r", lambda s: s["features"])).alias(names[1])
+        return packed.select(own, ids, flat).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(counts[1 - k] - 1))))
+
+    return pack(a, "p", "q", 0, ("i", "x")).join(pack(b, "q", "p", 1, ("j", "y")), ["p", "q"]).select("i", "x", "j", "y")
+
+
+def _pairs_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    for batch in batches:
+        for r in range(batch.num_rows):
+            i, x, j, y = (batch.column(k)[r].values.to_numpy(zero_copy_only=False) for k in range(4))
+            yield i, x.reshape(len(i), -1), j, y.reshape(len(j), -1)
 
-    left, right = pack(a, "p", "q", 0, "left"), pack(b, "q", "p", 1, "right")
+
+def cross_product_rows(a: DataFrame, b: DataFrame, block: int = 1024, finish: Finish | None = None) -> DataFrame:
+    """(i, j, v) of A B' (or a kernel of it) of two row matrices with any ids."""
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                x, y = (np.array([s["features"] for s in r[k]]) for k in ("left", "right"))
-                i, j = ([s["i"] for s in r[k]] for k in ("left", "right"))
-                yield pa.RecordBatch.from_pydict({"i": np.repeat(i, len(j)), "j": np.tile(j, len(i)), "v": (x @ y.T).ravel()})
+        for i, x, j, y in _pairs_of_blocks(batches):
+            v = x @ y.T
+            if finish:
+                v = finish(v, (x * x).sum(1), (y * y).sum(1))
+            yield pa.RecordBatch.from_pydict({"i": np.repeat(i, len(j)), "j": np.tile(j, len(i)), "v": v.ravel()})
+
+    return _met(a, b, block).mapInArrow(multiply, "i long, j long, v double")
 
-    return left.join(right, ["p", "q"]).select("left", "right").mapInArrow(multiply, "i long, j long, v double")
+
+def nearest_rows(a: DataFrame, b: DataFrame, k: int, block: int = 1024, places: int = 9) -> DataFrame:
+    """(i, j, v): for each row of A the k rows of B of the least squared distance, rounded; ties to the smaller id.
+
+    A pair of blocks gives the k best of each row, so what is ranked is k rows for each row and block, not all cells.
+    """
+    from pyspark.sql import Window
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for i, x, j, y in _pairs_of_blocks(batches):
+            order = np.argsort(j, kind="stable")
+            j, y = j[order], y[order]
+            d = np.round(np.maximum((x * x).sum(1)[:, None] - 2 * (x @ y.T) + (y * y).sum(1)[None], 0), places)
+            first = np.argsort(d, axis=1, kind="stable")[:, :k]
+            yield pa.RecordBatch.from_pydict({"i": np.repeat(i, first.shape[1]), "j": j[first.ravel()], "v": np.take_along_axis(d, first, 1).ravel()})
+
+    found = _met(a, b, block).mapInArrow(best, "i long, j long, v double")
+    return found.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy("v", "j"))).where(F.col("r") <= k).drop("r")
 
 
 def matvec(k: DataFrame, x: DataFrame) -> DataFrame:
@@ -183,5 +220,45 @@ def sparsity(coords: DataFrame) -> DataFrame:
 
 def bandwidth(matrix: DataFrame) -> DataFrame:
     """(median, max) of the squared row norms over the number of columns: a scale for kernels."""
-    s = F.aggregate("features", F.lit(0.0), lambda t, x: t + x * x) / F.size("features")
-    return matrix.select(s.alias("s")).agg(F.percentile("s", 0.5).alias("median"), F.max("s").alias("max"))
+    s = matrix.select((F.aggregate("features", F.lit(0.0), lambda t, x: t + x * x) / F.size("features")).alias("s"))
+    return s.agg(F.max("s").alias("max")).select(F.lit(median(s, "s")).cast("double").alias("median"), "max")
+
+
+def median(df: DataFrame, col: str, bins: int = 4096, few: int = 10_000) -> float | None:
+    """The exact median of a column without nulls: passes that count values by bins of a range, each the bin or bins of the middle
+    ranks of the one before, until few values are left or all are the same. A pass gives the driver one row for each bin."""
+    v = F.col(col).cast("double")
+    got = df.agg(F.count(v).alias("n"), F.min(v).alias("a"), F.max(v).alias("z")).first()
+    n, a, z, below = got["n"], got["a"], got["z"], 0
+    if not n:
+        return None
+    ranks = ((n - 1) // 2, n // 2)
+    left = n
+    while left > few and a < z:
+        k = F.least(F.floor((v - a) / (z - a) * bins), F.lit(bins - 1))
+        rows = df.where(v.between(a, z)).groupBy(k.alias("k")).agg(F.count(v).alias("n"), F.min(v).alias("a"), F.max(v).alias("z")).orderBy("k").collect()
+        at, kept = below, []
+        for r in rows:
+            if at <= ranks[1] and at + r["n"] > ranks[0]:
+                kept.append((at, r))
+            at += r["n"]
+        below, a, z, left = kept[0][0], kept[0][1]["a"], kept[-1][1]["z"], sum(r["n"] for _, r in kept)
+        if len(kept) > 1:  # the middle ranks are the last value of one bin and the first one of another
+            return (kept[0][1]["z"] + kept[-1][1]["a"]) / 2
+    if a == z:
+        return a
+    values = sorted(r[0] for r in df.where(v.between(a, z)).select(v).collect())
+    return (values[ranks[0] - below] + values[ranks[1] - below]) / 2
+
+
+def sampled_difference(a: DataFrame, b: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """(bi, bj, max, frobenius) of the differences of n tiles, the same for the same seed, of two block matrices of equal tiles.
+
+    The sample is drawn from the places alone, and only its tiles are read on.
+    """
+    from tilewright.functions import seeded
+
+    some = a.select("bi", "bj").join(b.select("bi", "bj"), ["bi", "bj"]).orderBy(seeded.order(seed, "bi", "bj"), "bi", "bj").limit(n)
+    met = a.select("bi", "bj", F.col("data").alias("a")).join(F.broadcast(some), ["bi", "bj"]).join(b.select("bi", "bj", F.col("data").alias("b")), ["bi", "bj"])
+    d = met.select("bi", "bj", F.zip_with("a", "b", lambda x, y: F.abs(x - y)).alias("d"))
+    return d.select("bi", "bj", F.array_max("d").alias("max"), F.sqrt(F.aggregate("d", F.lit(0.0), lambda s, x: s + x * x)).alias("frobenius"))

@@ -127,6 +127,28 @@ def sweep(train: DataFrame, test: DataFrame | None = None, regs: tuple[float, ..
     return table.select("place", "reg", "train_acc", "test_acc", "status")
 
 
+def sweep_metrics(train: DataFrame, test: DataFrame, regs: tuple[float, ...] = SWEEP, n_classes: int | None = None) -> DataFrame:
+    """(reg, train_top1, train_top5, test_top1, test_top5, seconds, status): the record of a sweep; seconds are those of each solve."""
+    import time
+
+    from tilewright.operators.evaluate import top_k_accuracy
+
+    spark, eq = train.sparkSession, normal_equations(train, n_classes)
+    solved, took = {}, []
+    for k, r in enumerate(regs):
+        began = time.perf_counter()
+        w = eq.solve(r)
+        took.append((k, r, time.perf_counter() - began, "" if w is not None else "I"))
+        if w is not None:
+            solved[r] = w
+    table = spark.createDataFrame(took, "place int, reg double, seconds double, status string")
+    for name, part in (("train", train), ("test", test)):
+        acc = top_k_accuracy(scores(part, solved), [1, 5], "model").withColumnRenamed("model", "reg")
+        both = acc.groupBy("reg").agg(F.max(F.when(F.col("k") == 1, F.col("acc"))).alias(f"{name}_top1"), F.max(F.when(F.col("k") == 5, F.col("acc"))).alias(f"{name}_top5"))
+        table = table.join(both, "reg", "left")
+    return table.select("place", "reg", "train_top1", "train_top5", "test_top1", "test_top5", "seconds", "status")
+
+
 def best_of_sweep(results: DataFrame) -> DataFrame:
     """The row of the highest test accuracy, else train accuracy; of equal ones the first in the sweep's order."""
     return results.orderBy(F.coalesce("test_acc", "train_acc").desc_nulls_last(), "place").limit(1)
@@ -163,28 +185,74 @@ def rank_one(inverse: np.ndarray, x: np.ndarray, sign: float) -> np.ndarray:
 
 
 class BlockKernel:
-    """A symmetric kernel as blocks (bi, bj, n_rows, n_cols, data) in a table partitioned by column block."""
+    """A symmetric kernel as tiles (bi, bj, n_rows, n_cols, data), all of them or the lower ones, in a table partitioned by column block.
+
+    Vectors and models are n x C arrays on the driver, which are broadcast: their size bounds n, the kernel's doesn't.
+    """
+
+    def __init__(self, blocks: DataFrame, shard: int, lower: bool = False):
+        self.blocks, self.shard, self.lower = blocks, shard, lower
+        self.n_blocks = (blocks.agg(F.max("bi")).first()[0] or 0) + 1
 
-    def __init__(self, blocks: DataFrame, shard: int):
-        self.blocks, self.shard = blocks.persist(), shard
-        self.n_blocks = (blocks.agg(F.max("bj")).first()[0] or 0) + 1
+    def _products(self, tiles: DataFrame, x: np.ndarray, only: int | None = None) -> dict[int, np.ndarray]:
+        """For each block of rows the sum of its tiles' products with x; each task adds up its own and sends one for each block.
 
-    def panel_product(self, bj: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """K[:, b]' x by tasks over one column panel, whose tiles send their products only, and the diagonal tile."""
-        sent = self.blocks.sparkSession.sparkContext.broadcast(x)
-        shard = self.shard
+        Tiles whose part of x is zero give nothing. A lower tile also stands for its mirror image.
+        """
+        sent, shard, lower = self.blocks.sparkSession.sparkContext.broadcast(x), self.shard, self.lower
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
             for b in batches:
-                for r in b.to_pylist():
-                    k = np.array(r["data"]).reshape(r["n_rows"], r["n_cols"])
-                    rows = sent.value[r["bi"] * shard : r["bi"] * shard + r["n_rows"]]
-                    own = k.ravel().tolist() if r["bi"] == r["bj"] else None
-                    yield pa.RecordBatch.from_arrays([pa.array([(k.T @ rows).ravel().tolist()], pa.list_(pa.float64())), pa.array([own], pa.list_(pa.float64())), pa.array([r["n_cols"]], pa.int32())], names=["p", "own", "n"])
-
-        rows = self.blocks.where(F.col("bj") == bj).mapInArrow(run, "p array<double>, own array<double>, n int").collect()
-        n = rows[0]["n"]
-        return sum(np.array(r["p"]).reshape(n, -1) for r in rows), next(np.array(r["own"]).reshape(n, n) for r in rows if r["own"] is not None)
+                cols = [b.column(b.schema.get_field_index(c)) for c in ("bi", "bj", "n_rows", "n_cols")]
+                data = b.column(b.schema.get_field_index("data"))
+                for r in range(b.num_rows):
+                    bi, bj, n, m = (c[r].as_py() for c in cols)
+                    k = data[r].values.to_numpy(zero_copy_only=False).reshape(n, m)
+                    for to, by, tile in ((bi, bj, k), (bj, bi, k.T)) if lower and bi != bj else ((bi, bj, k),):
+                        part = sent.value[by * shard : by * shard + tile.shape[1]]
+                        if (only is None or to == only) and part.any():
+                            sums[to] = sums.get(to, 0.0) + tile @ part
+            if sums:
+                yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.ravel() for v in sums.values()], pa.list_(pa.float64()))], names=["b", "v"])
+
+        out: dict[int, np.ndarray] = {}
+        for r in tiles.mapInArrow(run, "b int, v array<double>").toLocalIterator():
+            v = np.array(r["v"]).reshape(-1, x.shape[1])
+            out[r["b"]] = out[r["b"]] + v if r["b"] in out else v
+        sent.unpersist()
+        return out
+
+    def multiply(self, x: np.ndarray) -> np.ndarray:
+        """K x."""
+        out = np.zeros_like(x, dtype=np.float64)
+        for b, v in self._products(self.blocks, x).items():
+            out[b * self.shard : b * self.shard + len(v)] = v
+        return out
+
+    def tile(self, b: int) -> np.ndarray:
+        """A diagonal tile."""
+        r = self.blocks.where((F.col("bi") == b) & (F.col("bj") == b)).first()
+        return np.array(r["data"]).reshape(r["n_rows"], r["n_cols"])
+
+    def diagonal(self) -> np.ndarray:
+        """The diagonal, a part of it from each diagonal tile."""
+        n = F.col("n_cols")
+        own = F.transform(F.sequence(F.lit(1), F.col("n_rows")), lambda k: F.element_at("data", ((k - 1) * n + k).cast("int")))
+        rows = self.blocks.where("bi = bj").select("bi", own.alias("d")).orderBy("bi").collect()
+        return np.concatenate([r["d"] for r in rows])
+
+    def panel_product(self, b: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """K[b, :] x by the tiles of one block of rows (where only lower ones are there, also of its column), and the diagonal tile."""
+        tiles = self.blocks.where((F.col("bi") == b) | (F.col("bj") == b)) if self.lower else self.blocks.where(F.col("bi") == b)
+        own = self.tile(b)
+        return self._products(tiles, x, b).get(b, np.zeros((len(own), x.shape[1]))), own
+
+
+def dual_blocks(kernel: BlockKernel, y: np.ndarray, reg: float, precondition: Callable[[np.ndarray], np.ndarray] | None = None, max_iter: int = 500, tol: float = 1e-11) -> np.ndarray:
+    """(K + reg I)^-1 y by conjugate gradients, each step a product of the stored tiles; the diagonal preconditions by default."""
+    how = precondition or jacobi(kernel.diagonal() + reg)
+    return conjugate_gradient(lambda p: kernel.multiply(p) + reg * p, y, how, max_iter, tol)
 
 
 def block_coordinate(kernel: BlockKernel, y: np.ndarray, reg: float, epochs: int = 10, seed: int = 0, shuffle: bool = True, with_replacement: bool = False, warm_start: np.ndarray | None = None, start_epoch: int = 0, start_block: int = 0, momentum: float = 0.0, on_block: Callable[..., None] | None = None, limit: float = 1e3) -> np.ndarray:

@@ -94,7 +94,9 @@ def agg_add(spark, sf):
 
 @query(f"with {sql.E}, d as (select list_dot_product(v, v) as v from e) select {sql.r('avg(v)')} as mean, {sql.r('max(v)')} as max from d")
 def agg_diag(spark, sf):
-    return rounded(linalg.diagonal(kernels.of_rows(design(spark, sf), None, "linear")), "mean", "max")
+    """Of the linear kernel, whose diagonal is the squared norms."""
+    norms = linalg.square_norms(design(spark, sf)).select("i", F.col("i").alias("j"), "v")
+    return rounded(linalg.diagonal(norms), "mean", "max")
 
 
 @query(f"""with {sql.E}, k as (select list_dot_product(a.v, b.v) as v from e a join e b on a.i >= b.i), d as (select abs(v - power(1 + v, 2)) as v from k)
@@ -161,9 +163,7 @@ def ker_linear(spark, sf):
 
 @query(_kernel_sql(_DIST))
 def ker_dist(spark, sf):
-    x = design(spark, sf)
-    n = linalg.square_norms(x)
-    return rounded(kernels.squared_distance(kernels.of_rows(x, None, "linear"), n, n), "v")
+    return rounded(kernels.of_rows(design(spark, sf), None, "distance"), "v")
 
 
 @query(_kernel_sql(f"exp(-{_DIST})"))
@@ -202,8 +202,10 @@ def join_xyt(spark, sf):
 
 @query(_kernel_sql(_DOT))
 def join_self_sym(spark, sf):
-    c = coords(spark, sf)
-    return rounded(linalg.product_coords(c, c, lower=True), "v")
+    """The lower half of X X', tile by tile."""
+    t = layouts.rows_to_blocks(design(spark, sf), *SHARDS)
+    cells = layouts.blocks_to_coords(linalg.product_blocks(t, t, lower=True), SHARDS[0], SHARDS[0]).where("i >= j")
+    return rounded(cells.withColumn("j", F.col("j").cast("long")), "v")
 
 
 @query(f"""with {sql.X}, w as (select j, class, case when j % 10 = class then 1.0 else 0.0 end as w from (select distinct j from x), range(10) t(class))
@@ -258,12 +260,24 @@ def sol_loo(spark, sf):
     return s.agg(F.count(F.lit(1)).alias("n"), r6(evaluate.accuracy(evaluate.argmax(F.col("scores")), F.col("label"))).alias("loo_acc"))
 
 
-def _dual_scores(spark, sf, solve) -> DataFrame:
-    """K alpha for a dual model of the linear kernel: the same scores as the primal model's."""
-    rows = sorted((r["i"], r["label"], r["features"]) for r in design(spark, sf).toLocalIterator())
-    x, y = np.array([r[2] for r in rows]), np.array([r[1] for r in rows])
-    s = solve(x, y)
-    found = [(rows[k][0], c, float(s[k, c])) for k in range(len(rows)) for c in range(s.shape[1])]
+def _stored_kernel(spark, sf, kind: str, gamma: float = 1.0) -> solvers.BlockKernel:
+    """The kernel of the design as lower tiles in a store."""
+    x = design(spark, sf)
+    n = x.count()
+    store, h = MatrixStore(spark, scratch(spark, "store")), Header(blocks.derived_key(kind, "embeddings", gamma), n, n, SHARDS[0], SHARDS[0], True)
+    store.write_header(h)
+    store.put(h, kernels.blocks_of_rows(x, kind, SHARDS[0], gamma))
+    return solvers.BlockKernel(store.blocks(h), SHARDS[0], lower=True)
+
+
+def _onehot(spark, sf) -> np.ndarray:
+    """Labels of the dense rows, n x C."""
+    y = np.array([r["label"] for r in design(spark, sf).select("i", "label").orderBy("i").toLocalIterator()])
+    return np.eye(y.max() + 1)[y]
+
+
+def _as_scores(spark, s: np.ndarray) -> DataFrame:
+    found = [(i, c, float(s[i, c])) for i in range(s.shape[0]) for c in range(s.shape[1])]
     return rounded(spark.createDataFrame(found, "i long, class int, s double"), "s", places=4)
 
 
@@ -272,17 +286,31 @@ _SCORES_4 = f"with recursive {sql.ridge('(0.1)')} select i, class::int as class,
 
 @query(_SCORES_4)
 def sol_dual(spark, sf):
-    return _dual_scores(spark, sf, lambda x, y: (x @ x.T) @ solvers.dual(x @ x.T, y, 0.1))
+    """K a for the dual model of the linear kernel, whose scores are the primal model's; by products of stored tiles,
+    preconditioned by the inverse of a low-rank kernel of landmarks."""
+    k, x = _stored_kernel(spark, sf, "linear"), design(spark, sf)
+    z = np.array([r["features"] for r in x.select("i", "features").orderBy("i").toLocalIterator()])[:, :48]
+    a = solvers.dual_blocks(k, _onehot(spark, sf), 0.1, kernels.low_rank_inverse(z, 0.1))
+    return _as_scores(spark, k.multiply(a))
 
 
 @query(_SCORES_4)
 def sol_pcg(spark, sf):
-    def solve(x, y):
-        k = x @ x.T
-        a = solvers.conjugate_gradient(lambda p: k @ p + 0.1 * p, np.eye(y.max() + 1)[y], solvers.jacobi(np.diag(k) + 0.1), 500, 1e-12)
-        return k @ a
+    """The same, preconditioned by the diagonal."""
+    k = _stored_kernel(spark, sf, "linear")
+    return _as_scores(spark, k.multiply(solvers.dual_blocks(k, _onehot(spark, sf), 0.1)))
 
-    return _dual_scores(spark, sf, solve)
+
+@query(f"""with recursive {sql.E}, cls as (select unnest(range((select max(label) + 1 from embeddings)))::int as class),
+  y as (select i, list(case when label = class then 1.0::double else 0.0::double end order by class) as y from e cross join cls group by i),
+  k as (select a.i, list(exp(-6 * {_DIST}) + case when a.i = b.i then 1 else 0 end order by b.i) as k from e a cross join e b group by a.i),
+  m as (select 0 as g, (i + 1)::int as i, list_concat(k, y) as r from k join y using (i)), gj0 as (select count(*) as n from e),
+  {sql.solve('m', '(select n from gj0)')},
+  a as (select i - 1 as i, generate_subscripts(r[(select n + 1 from gj0):], 1) - 1 as class, unnest(r[(select n + 1 from gj0):]) as a from gj where k = (select n from gj0))
+  select i::bigint as i, class::int as class, {sql.r('a', 4)} as s from a""")
+def sol_bcd_kernel(spark, sf):
+    """(K + I)^-1 y of the rbf kernel, by block descent over stored lower tiles."""
+    return _as_scores(spark, solvers.block_coordinate(_stored_kernel(spark, sf, "rbf", 6.0), _onehot(spark, sf), 1.0, epochs=4))
 
 
 @query(f"with recursive {sql.ridge('(0.1)')} select j, class::int as label, {sql.r('w', 4)} as w from w")
@@ -335,9 +363,7 @@ def sol_pca(spark, sf):
   select c.i, min(c.label)::int as label from c join m using (i, n) group by c.i""")
 def sol_knn(spark, sf):
     x = evaluate.split_tail(design(spark, sf), "i")
-    test, train = x.where("not is_train"), x.where("is_train")
-    d = kernels.squared_distance(kernels.of_rows(test, train, "linear"), linalg.square_norms(test), linalg.square_norms(train))
-    return solvers.nearest_neighbours(d.withColumn("v", F.round("v", 9)), x, 5)
+    return solvers.nearest_neighbours(linalg.nearest_rows(x.where("not is_train"), x.where("is_train"), 5), x, 5)
 
 
 _COLS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -418,10 +444,12 @@ def eval_running(spark, sf):
     return out.select("event_type", "event_id", r6(F.col("run_avg") / F.exp(F.lit(1.0))).alias("run_avg_by_e"), r6(F.col("avg_last") / F.exp(F.lit(1.0))).alias("avg100_by_e"))
 
 
-@query(f"{_RIDGE} select i // 10 as episode, {sql.r('avg(case when pred = label then 1.0 else 0.0 end)')} as agreement from pred group by all")
+@query(f"""{_RIDGE}, ep as (select i // 10 as episode, avg(case when pred = label then 1.0 else 0.0 end) as a from pred group by all)
+  select episode, {sql.r('a')} as agreement, {sql.r('avg(a) over (order by episode)')} as running, {sql.r('avg(a) over ()')} as mean from ep""")
 def eval_agreement(spark, sf):
     frames = _scored(spark, sf).select(F.floor(F.col("i") / 10).alias("episode"), evaluate.argmax(F.col("scores")).alias("pred"), "label")
-    return rounded(evaluate.agreement(frames, "episode", "pred", "label"), "agreement")
+    each = evaluate.agreement(frames, "episode", "pred", "label")
+    return rounded(evaluate.agreement_over_episodes(each, "episode"), "agreement", "running", "mean")
 
 
 @query(f"""{_RIDGE} select {sql.r('avg(case when pred = label then 1.0 else 0.0 end)')} as acc from pred""")
@@ -448,6 +476,38 @@ def agg_intercept(spark, sf):
     return rounded(s.groupBy("class").agg((F.avg((F.col("label") == F.col("class")).cast("double")) - F.avg("score")).alias("intercept")), "intercept")
 
 
+@query(f"""with recursive {sql.ridge(REGS, _TAIL)}, n as (select floor(0.9 * count(*)) as n from embeddings),
+  t as (select g, i, label, class, row_number() over (partition by g, i order by s desc, class) as r from s),
+  a as (select g, i < n.n as train, sum(case when class = label and r <= 1 then 1.0 else 0.0 end) / count(distinct i) as top1, sum(case when class = label and r <= 5 then 1.0 else 0.0 end) / count(distinct i) as top5 from t, n group by all)
+  select g::double as reg, {sql.r('max(top1) filter (where train)')} as train_top1, {sql.r('max(top5) filter (where train)')} as train_top5,
+    {sql.r('max(top1) filter (where not train)')} as test_top1, {sql.r('max(top5) filter (where not train)')} as test_top5, '' as status from a group by g""")
+def sol_sweep_metrics(spark, sf):
+    """Without the seconds of each solve."""
+    x = evaluate.split_tail(design(spark, sf), "i")
+    out = solvers.sweep_metrics(x.where("is_train"), x.where("not is_train"))
+    return rounded(out.select("reg", "train_top1", "train_top5", "test_top1", "test_top5", "status"), "train_top1", "train_top5", "test_top1", "test_top5")
+
+
+@query(f"""{_RIDGE}, c as (select i // 5 as src, class, avg(s) as s from s group by all), y as (select vec_id // 5 as src, min(label) as label from embeddings group by 1),
+  t as (select src, class, row_number() over (partition by src order by s desc, class) as r from c)
+  select k::int as k, {sql.r('sum(case when class = label and r <= k then 1.0 else 0.0 end) / count(distinct src)')} as acc from t join y using (src), (values (1), (5)) ks(k) group by k""")
+def eval_test_saved(spark, sf):
+    """A saved model, loaded and tested with the scores of each five rows averaged."""
+    root, x = scratch(spark, "models"), design(spark, sf)
+    key = records.save_model(solvers.weights_frame(spark, solvers.ridge(x, 0.1)), _scored(spark, sf), root, "ridge")
+    rows = x.withColumn("src", F.floor(F.col("i") / 5))
+    return rounded(evaluate.test_saved(spark.read.parquet(f"{root}/{key}/model"), rows, "src"), "acc")
+
+
+@query(f"""with {sql.E}, c as (select a.i // 128 as bi, b.i // 128 as bj, list_dot_product(a.v, b.v) as v from e a join e b on a.i // 128 >= b.i // 128),
+  t as (select distinct bi, bj from c order by md5(concat_ws(':', '0', bi, bj)), bi, bj limit 4)
+  select bi::int as bi, bj::int as bj, {sql.r('max(abs(v - power(1 + v, 2)))')} as max, {sql.r('sqrt(sum(power(v - power(1 + v, 2), 2)))', 4)} as frobenius from c join t using (bi, bj) group by bi, bj""")
+def agg_diff_sampled(spark, sf):
+    x = design(spark, sf)
+    a, b = (cut(kernels.blocks_of_rows(x, k, 128)) for k in ("linear", "quadratic"))
+    return rounded(rounded(linalg.sampled_difference(a, b, 4), "max"), "frobenius", places=4)
+
+
 # --- block indices ----------------------------------------------------------------------------------------------------
 
 
@@ -688,6 +748,18 @@ def join_prost(spark, sf):
     return joins.pairs_in_window(p, "user_id", 4, 4)
 
 
+@query("""with k as (select event_type as c, row_number() over (order by event_type) - 1 as n from (select distinct event_type from events)),
+  p as (select user_id, hour(ts)::int as y, (event_id % 20)::int as x, k.n as c from events join k on k.c = event_type)
+  select a.user_id, ((((a.y * 20 + a.x) * 8 + a.c) * 4 + b.y - a.y + 2) * 4 + b.x - a.x + 2) * 8 + b.c as index, count(*) as n from p a join p b using (user_id)
+  where b.y - a.y between -2 and 1 and b.x - a.x between -2 and 1 group by all""")
+def fea_prost(spark, sf):
+    """The cells of the flat tensor of pairs, of 24 x 20 places, 8 colours and windows of 4 x 4."""
+    e = table(spark, sf, "events")
+    names = joins.class_index(e, "event_type").withColumnRenamed("class", "c")
+    p = e.join(F.broadcast(names), "event_type").select("user_id", F.hour("ts").alias("y"), (F.col("event_id") % 20).cast("int").alias("x"), "c")
+    return joins.offset_index(joins.pairs_in_window(p, "user_id", 4, 4), (24, 20), (4, 4), 8).select("user_id", "index", "n")
+
+
 @query("""with p as (select user_id, hour(ts)::int as y, (event_id % 20)::int as x, event_type as c from events)
   select a.user_id, a.c as c1, b.c as c2, b.y - a.y as dy, b.x - a.x as dx, count(*) as n from p a join p b using (user_id) group by all""")
 def join_blob_pairs(spark, sf):
@@ -771,7 +843,9 @@ def win_sample_with(spark, sf):
 
 @query(f"with {sql.X}, {sql.PX} select id, c, (y // 2)::int as cy, (x // 2)::int as cx, {sql.r('sum(v) / 4')} as v from px group by all")
 def fea_density(spark, sf):
-    return rounded(images.density(image_pixels(spark, sf), 8, 8, 2, 2), "v")
+    out = images.map_images(design(spark, sf), IMAGE, images.cell_means(2, 2))
+    at = F.col("j")
+    return out.select(F.col("i").alias("id"), F.posexplode("features").alias("j", "v")).select("id", F.lit(0).alias("c"), F.floor(at / 4).cast("int").alias("cy"), (at % 4).alias("cx"), r6("v").alias("v"))
 
 
 @query(f"with {sql.X}, {sql.PX} select id, c, (y // 3)::int as cy, (x // 3)::int as cx, round(sum(v) / 9, 9) > 0.05 as v from px where y < 6 and x < 6 group by all")
@@ -790,33 +864,56 @@ def fea_density_gray(spark, sf):
 @query(f"""with {sql.X}, {sql.PX}, p as (select px.id, py, q as px, v from px, range(6) a(py), range(6) b(q) where y between py and py + 2 and px.x between q and q + 2)
   select id, py::int as py, px::int as px, {sql.r('avg(v)')} as m, {sql.r('stddev_pop(v)')} as s from p group by all""")
 def fea_patchify(spark, sf):
-    return rounded(images.patch_statistics(images.patches(image_pixels(spark, sf), IMAGE, 3)), "m", "s")
+    out = images.map_images(design(spark, sf), IMAGE, images.part_statistics(3, 1, True))
+    at = F.explode(F.sequence(F.lit(0), F.lit(35))).alias("k")
+    parts = out.select(F.col("i").alias("id"), "features", at)
+    return parts.select("id", F.floor(F.col("k") / 6).cast("int").alias("py"), (F.col("k") % 6).alias("px"), r6(F.element_at("features", 2 * F.col("k") + 1)).alias("m"), r6(F.element_at("features", 2 * F.col("k") + 2)).alias("s"))
 
 
 @query(f"""with {sql.X}, q as (select i as id, (j // 16)::int as c, (j % 16 // 4)::int as y, (j % 4)::int as x, v from x),
   p as (select id, c, gy, gx, v from q, range(2) a(gy), range(2) b(gx) where y between gy * 2 and gy * 2 + 1 and q.x between gx * 2 and gx * 2 + 1)
   select id, c, gy::int as gy, gx::int as gx, {sql.r('avg(v)')} as m, {sql.r('stddev_pop(v)')} as s from p group by all""")
 def fea_lcs(spark, sf):
-    return rounded(images.local_statistics(images.pixels(design(spark, sf), (4, 4, 4)), 4, 4, 2, 2), "m", "s")
+    out = images.map_images(design(spark, sf), (4, 4, 4), images.part_statistics(2, 2, False))
+    parts, k = out.select(F.col("i").alias("id"), "features", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("k")), F.col("k")
+    return parts.select("id", F.floor(k / 4).cast("int").alias("c"), F.floor(k % 4 / 2).cast("int").alias("gy"), (k % 2).alias("gx"), r6(F.element_at("features", 2 * k + 1)).alias("m"), r6(F.element_at("features", 2 * k + 2)).alias("s"))
 
 
-@query(f"""with {sql.X}, {sql.PX},
+_CONV = f"""with {sql.X}, {sql.PX},
   w as (select id as f, y as dy, x as dx, v as w from px where id < 8 and y < 3 and x < 3),
   cv as (select px.id, w.f, a.py, b.q, sum(px.v * w.w) as c from px, range(6) a(py), range(6) b(q), w where px.y = a.py + w.dy and px.x = b.q + w.dx group by all),
   r as (select id, f, py, q, unnest([0, 1]) as sign, unnest([greatest(c - 0.05, 0), greatest(-c - 0.05, 0)]) as v from cv)
-  select id, f, sign::int as sign, (py // 3)::int as py, (q // 3)::int as px, {sql.r('avg(v)')} as v from r group by id, f, sign, py // 3, q // 3""")
+  select id, f, sign::int as sign, (py // 3)::int as py, (q // 3)::int as px, {sql.r('avg(v)')} as v from r group by id, f, sign, py // 3, q // 3"""
+
+
+@query(_CONV)
 def fea_conv(spark, sf):
     """Filters are the corner patches of the first eight images, as a fixed bank."""
     x = design(spark, sf)
     bank = np.array([np.array(r["features"]).reshape(8, 8)[:3, :3] for r in x.where("i < 8").orderBy("i").collect()])[:, None]
-    out = images.map_images(x, IMAGE, images.convolve(bank, 0.05, 3, 3))
+    return _conv_cells(images.map_images(x, IMAGE, images.convolve(bank, 0.05, 3, 3)), len(bank))
+
+
+def _conv_cells(out: DataFrame, n: int) -> DataFrame:
     k = F.col("k")
-    n = len(bank)
     cells = out.select(F.col("i").alias("id"), F.posexplode("features").alias("k", "v"))
     ch = F.floor(k / 4)
     return rounded(cells.select("id", (ch % n).cast("long").alias("f"), F.floor(ch / n).cast("int").alias("sign"), F.floor(k % 4 / 2).cast("int").alias("py"), (k % 2).cast("int").alias("px"), "v"), "v")
 
 
+@query(_CONV)
+def fea_conv_blocks(spark, sf):
+    """The same into a store, row block by row block: the first run stops after one row block, the second does the others."""
+    x = design(spark, sf)
+    bank = np.array([np.array(r["features"]).reshape(8, 8)[:3, :3] for r in x.where("i < 8").orderBy("i").collect()])[:, None]
+    f = images.convolve(bank, 0.05, 3, 3)
+    store, h = MatrixStore(spark, scratch(spark, "store")), Header("conv(embeddings)", x.count(), 64, SHARDS[0], 16)
+    store.write_header(h)
+    images.featurize_missing(store, h, x.where(F.col("i") < SHARDS[0]), IMAGE, f)
+    images.featurize_missing(store, h, x, IMAGE, f)
+    return _conv_cells(layouts.blocks_to_rows(store.blocks(h), SHARDS[0]), len(bank))
+
+
 def _mapped(f: Callable[[Column], Column]) -> Callable:
     return lambda spark, sf: rounded(design(spark, sf).select("i", F.posexplode(f(F.col("features"))).alias("j", "v")), "v")
 
@@ -944,9 +1041,26 @@ def ker_nystroem(spark, sf):
     return rounded(linalg.cross_product_rows(lifted, lifted.join(F.broadcast(marks), "i")), "v")
 
 
-@query()
+def _dsift_sql(patch: int, step: int, sigmas: tuple[float, ...]) -> str:
+    """Descriptors of images of 8 x 8, from the filters' values."""
+    taps = [(k, u - f.shape[1] // 2, v - f.shape[1] // 2, f[0, u, v], f[1, u, v]) for k, s in enumerate(sigmas) for f in [descriptors.edge_filters(s)] for u in range(f.shape[1]) for v in range(f.shape[1])]
+    values = ", ".join(f"({k}, {u}, {v}, {a!r}::double, {b!r}::double)" for k, u, v, a, b in ((k, u, v, float(a), float(b)) for k, u, v, a, b in taps))
+    starts = ", ".join(f"({n}, {int(y)})" for n, y in enumerate(descriptors.grid_starts(8, patch, step)))
+    n = len(descriptors.grid_starts(8, patch, step))
+    bin_ = f"greatest(0, 1 - abs({{p}} - (({{b}} + 0.5) * {patch / 4} - 0.5)) / {patch / 4})"
+    return f"""with {sql.X}, {sql.PX}, f(s, u, v, a, b) as (values {values}), st(n, z) as (values {starts}),
+      g as (select px.id, f.s, px.y + f.u as y, px.x + f.v as x, sum(px.v * f.a) as gy, sum(px.v * f.b) as gx from px, f where px.y + f.u between 0 and 7 and px.x + f.v between 0 and 7 group by all),
+      o as (select id, s, y, x, k, sqrt(gy * gy + gx * gx) * greatest(power(cos(atan2(gy, gx) - k * pi() / 4), 9), 0) as o from g, range(8) t(k)),
+      d as (select id, s, s * {n * n} + b.n * {n} + a.n as pos, k * 16 + q.p * 4 + r.p as j, sum(o * {bin_.format(p='(y - a.z)', b='q.p')} * {bin_.format(p='(x - b.z)', b='r.p')}) as v
+            from o, st a, st b, range(4) q(p), range(4) r(p) where y between a.z and a.z + {patch - 1} and x between b.z and b.z + {patch - 1} group by all),
+      c as (select id, pos, j, sqrt(sum(v * v) over (partition by id, pos)) as n, least(v / greatest(sqrt(sum(v * v) over (partition by id, pos)), 1), 0.2) as v from d),
+      e as (select id, pos, j, case when n >= 1 then v / sqrt(sum(v * v) over (partition by id, pos)) else v end as v from c)
+      select id as i, pos::int as pos, j::int as j, {sql.r('v')} as v from e"""
+
+
+@query(_dsift_sql(4, 2, (0.8, 1.8)))
 def fea_dsift(spark, sf):
-    return descriptors.sift_table(design(spark, sf), 8, 8, 4, 2, (0.8, 1.8))
+    return _cells(descriptors.sift_table(design(spark, sf), 8, 8, 4, 2, (0.8, 1.8)), "i", "pos")
 
 
 def _draws(n: int, size: int) -> str:

@@ -22,7 +22,7 @@ X = "x as (select vec_id as i, label, generate_subscripts(embedding, 1) - 1 as j
 PX = "px as (select i as id, 0 as c, (j // 8)::int as y, (j % 8)::int as x, v from x)"
 
 
-def solve(source: str, n: int, name: str = "gj") -> str:
+def solve(source: str, n: int | str, name: str = "gj") -> str:
     """Gauss-Jordan elimination of the rows (g, i from 1, r) of positive definite systems with their right-hand sides."""
     return f"""{name}(g, k, i, r) as (
         select g, 0, i, r from {source}

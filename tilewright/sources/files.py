@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilewright.runtime import BATCH_BYTES
+
 IMAGE_NAME = r"(?i)\.(jpe?g|png)$"
 
 
@@ -52,7 +54,7 @@ def tar_members(spark: SparkSession, path: str, decode: Callable[[bytes], object
 
         for b in batches:
             for file, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                out: list[list] = [[] for _ in names]
+                out, held = [[] for _ in names], 0
                 with tarfile.open(fileobj=io.BytesIO(content.as_py())) as t:
                     for m in t:
                         if m.isfile() and re.search(IMAGE_NAME, m.name):
@@ -61,6 +63,10 @@ def tar_members(spark: SparkSession, path: str, decode: Callable[[bytes], object
                             if values is not None:
                                 for c, v in zip(out, (file, m.name, *values), strict=True):
                                     c.append(v)
+                                held += max(m.size, 64)
+                                if held > BATCH_BYTES:
+                                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow, strict=True)], schema=arrow)
+                                    out, held = [[] for _ in names], 0
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow, strict=True)], schema=arrow)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
@@ -87,3 +93,22 @@ def column_batches(rows: DataFrame, bytes_col: str, height: int, width: int, cha
     d = height * width * channels
     at = F.sequence(F.lit(1), F.lit(d))
     return rows.select("*", F.transform(at, lambda k: F.conv(F.hex(F.substring(F.col(bytes_col), k + 1, 1)), 16, 10).cast("int")).alias("px"), F.conv(F.hex(F.substring(bytes_col, 1, 1)), 16, 10).cast("int").alias("class"))
+
+
+def tar_images(spark: SparkSession, path: str, decode: Callable[[bytes], tuple[int, int, int, list[float]] | None]) -> DataFrame:
+    """(i, class, label, name, h, w, px) of the images of tar files, one file for each class, its label being its place among the files.
+
+    ``decode`` gives height, width, channels and the flat pixels of channels, rows, columns; grey images become three equal
+    channels. Rows are numbered by class and name; a class begins where the counts of those before it add up to.
+    """
+    from pyspark.sql import Window
+
+    from tilewright.operators.windows import offsets
+    from tilewright.runtime import cut
+
+    members = tar_members(spark, path, decode, "name string, h int, w int, c int, px array<double>")
+    name = F.regexp_extract("file", r"([^/]*)\.tar$", 1)
+    rows = cut(members.withColumn("class", name), "tar").withColumn("px", F.when(F.col("c") == 1, F.concat("px", "px", "px")).otherwise(F.col("px")))
+    starts = offsets(rows.groupBy("class").agg(F.count(F.lit(1)).alias("n")), "class").withColumn("label", F.row_number().over(Window.orderBy("class")) - 1)
+    placed = rows.withColumn("k", F.row_number().over(Window.partitionBy("class").orderBy("name")) - 1)
+    return placed.join(F.broadcast(starts), "class").select((F.col("start") + F.col("k")).alias("i"), "class", "label", "name", "h", "w", "px")

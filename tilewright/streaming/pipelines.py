@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilewright.operators import linalg
 WORK_ITEM = "PatchSize int, PatchStride int, PoolSize int, PoolStride int, Bias double, column_block int, num_column_blocks int"
 SOLVE_ITEM = "train string, test string"
 
@@ -47,11 +48,8 @@ def solve_and_record(spark: SparkSession, path: str, out: str, checkpoint: str,
 
 
 def running_gram(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """(i, j, v) of X'X over a stream's rows so far, for the named columns: one sum for each pair, kept as state."""
-    d = len(columns)
-    sums = [F.sum(F.col(a).cast("double") * F.col(b).cast("double")).alias(f"s{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns[: i + 1])]
-    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"s{max(i, j)}_{min(i, j)}").alias("v")) for i in range(d) for j in range(d)])
-    return rows.groupBy().agg(*sums).select(F.explode(cells).alias("c")).select("c.i", "c.j", "c.v")
+    """(i, j, v) of X'X of a batch's rows, for the named columns: a d x d sum for each task."""
+    return linalg.gram(rows.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("features")))
 
 
 class Accumulator:
