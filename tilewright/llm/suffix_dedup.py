@@ -13,7 +13,9 @@ around anchors that more than one document has:
 3. Strings. Where an anchor has several contexts, their strings can be equal though the contexts differ. The strings of
    the contexts that remain are sorted, exchanged and merged in the same way.
 
-Answers go back as one small file for each run of texts (some ``CHUNK`` bytes of neighbouring rows), in the shared folder.
+Answers go back as bits for the rows of a run (some ``CHUNK`` bytes of neighbouring texts) in their sorted order, which each reading
+makes again, so what is removed follows from equal bytes alone; one file for each partition of the source and step, in the shared folder.
+Runs are merged by as many tasks as have some ``BUCKET`` bytes of text each.
 A scan is read four times and never shuffled. Equal strings collapse in the runs before any exchange, and splitters
 may fall between strings with a common anchor, so a passage that a third of all rows share loads no task more than others.
 
@@ -25,6 +27,7 @@ table gives an empty result; extra columns are not read. A source whose partitio
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -42,6 +45,8 @@ from tilewright.runtime import cut, partitions, scratch, ship
 SEED = 32
 #: Bytes of text in a run.
 CHUNK = 16 << 20
+#: Bytes of text to a task that merges runs.
+BUCKET = 6 << 20
 _BLOCK = 1 << 17
 _NO_ID = (1 << 63) - 1
 _SAMPLE_RUNS, _SAMPLES = 2000, 128
@@ -184,44 +189,79 @@ def _mark(c: Chunk) -> bytes:
 
 
 class Mail:
-    """Small files for each run, in the shared folder."""
+    """Data for each run, in one file in the shared folder for each partition of the source.
+
+    A file is the runs' numbers and sizes, and then their data.
+    """
 
     def __init__(self, folder: str):
-        self.folder = folder
+        self.folder, self.held, self.read = folder, {}, (-1, {})
+
+    def _write(self, part: int, runs: dict[int, bytes]) -> None:
+        with Staged(self.folder, f"part-{part:08x}") as f:
+            f.write(np.array([len(runs), *runs, *map(len, runs.values())], "<u8").tobytes())
+            for data in runs.values():
+                f.write(data)
 
     def put(self, run: int, data: bytes) -> None:
-        with Staged(self.folder, f"run-{run:012x}") as f:
-            f.write(data)
+        """Keeps a run's data until :meth:`flush`."""
+        self.held[run] = data
+
+    def flush(self) -> None:
+        if self.held:
+            self._write(next(iter(self.held)) >> 24, self.held)
+        self.held = {}
+
+    def runs(self, part: int) -> dict[int, tuple[int, int]]:
+        """Start and size of the data of each run of a partition; the index read last is kept."""
+        if self.read[0] != part:
+            fs, base = file_system(self.folder)
+            path = f"{base}/part-{part:08x}"
+            at: dict[int, tuple[int, int]] = {}
+            if fs.get_file_info(path).type != pafs.FileType.NotFound:
+                with fs.open_input_file(path) as f:
+                    n = int(np.frombuffer(f.read(8), "<u8")[0])
+                    runs, sizes = np.frombuffer(f.read(16 * n), "<u8").astype(np.int64).reshape(2, n)
+                ends = 8 + 16 * n + np.cumsum(sizes)
+                at = dict(zip(runs.tolist(), zip((ends - sizes).tolist(), sizes.tolist(), strict=True), strict=True))
+            self.read = (part, at)
+        return self.read[1]
 
     def fetch(self, run: int) -> bytes:
-        """The run's file, or nothing where it has none."""
-        fs, base = file_system(self.folder)
-        path = f"{base}/run-{run:012x}"
-        if fs.get_file_info(path).type == pafs.FileType.NotFound:
+        """The run's data, or nothing where it has none."""
+        start, size = self.runs(run >> 24).get(run, (0, 0))
+        if not size:
             return b""
-        with fs.open_input_file(path) as f:
-            return f.read()
+        fs, base = file_system(self.folder)
+        with fs.open_input_file(f"{base}/part-{run >> 24:08x}") as f:
+            f.seek(start)
+            return f.read(size)
 
-    def send(self, rows: DataFrame) -> None:
-        """Writes (run, bucket, data) rows to a file for each run, whose rows together are bounded as the run is."""
+    def send(self, rows: DataFrame, n: int) -> None:
+        """Writes (run, bucket, data) rows, which are a few bits for each row of a run, to a file for each partition of the source."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            last, parts, made = None, [], 0
+            last, made = None, 0
+            runs: dict[int, list[bytes]] = {}
+
+            def give() -> int:
+                if runs:
+                    self._write(last, {k: b"".join(v) for k, v in runs.items()})
+                    runs.clear()
+                    return 1
+                return 0
+
             for b in batches:
                 for key, bucket, data in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                    if key != last:
-                        if parts:
-                            self.put(last, b"".join(parts))
-                            made += 1
-                        last, parts = key, []
-                    parts += [np.array([bucket, len(data)], "<u4").tobytes(), data]
-            if parts:
-                self.put(last, b"".join(parts))
-                made += 1
+                    if key >> 24 != last:
+                        made += give()
+                        last = key >> 24
+                    runs.setdefault(key, []).extend([np.array([bucket, len(data)], "<u4").tobytes(), data])
+            made += give()
             yield pa.RecordBatch.from_pydict({"n": pa.array([made], pa.int64())})
 
-        n = partitions(rows.sparkSession)
-        rows.repartition(n, "run").sortWithinPartitions("run", "bucket").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+        part = F.shiftright("run", 24)
+        rows.repartition(n, part).sortWithinPartitions("run", "bucket").mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
     def parts(self, run: int) -> Iterator[tuple[int, bytes]]:
         raw, at = self.fetch(run), 0
@@ -230,11 +270,13 @@ class Mail:
             yield bucket, raw[at + 8 : at + 8 + n]
             at += 8 + n
 
-    def numbers(self, run: int) -> np.ndarray:
-        """All parts as one ascending array of 64-bit numbers."""
-        x = np.frombuffer(b"".join(d for _, d in self.parts(run)), "<u8").copy()
-        x.sort()
-        return x
+    def states(self, run: int, cuts: list[int]) -> np.ndarray:
+        """Two bits for each row of a sorted run that splitters cut so."""
+        out = np.zeros((2, cuts[-1] if cuts else 0), bool)
+        for bucket, data in self.parts(run):
+            a, z = cuts[bucket], cuts[bucket + 1]
+            out[:, a:z] = np.unpackbits(np.frombuffer(data, np.uint8).reshape(2, -1), axis=1, count=z - a)
+        return out
 
 
 def _has(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -243,6 +285,11 @@ def _has(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_[np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)] == x
 
 
+def _cuts(rows: np.ndarray, splitters: np.ndarray) -> list[int]:
+    """Where splitters cut sorted rows."""
+    return [0, *np.searchsorted(suffixes.as_strings(rows), splitters).tolist(), len(rows)] if len(rows) else []
+
+
 _ROWS = "run long, bucket int, data binary"
 _ROW_SCHEMA = pa.schema([("run", pa.int64()), ("bucket", pa.int32()), ("data", pa.binary())])
 
@@ -280,11 +327,13 @@ class Dedup:
 
     def __init__(self, docs: DataFrame, length: int, chunk: int):
         self.spark, self.length, self.chunk = docs.sparkSession, length, chunk
-        self.buckets = partitions(self.spark)
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        self.buckets = max(partitions(self.spark), -(-size // BUCKET))
         self.docs, self.folder = docs, scratch(self.spark, "suffixes")
         self.marks, self.shared, self.found, self.context_mail, self.states, self.string_mail = (Mail(f"{self.folder}/{x}") for x in ("marks", "shared", "candidates", "contexts", "states", "strings"))
 
-    def _pass(self, work: Callable[[Chunk, Out], Iterator[pa.RecordBatch] | None], ddl: str, schema: pa.Schema, find: bool) -> DataFrame:
+    def _pass(self, work: Callable[[Chunk, Out], Iterator[pa.RecordBatch] | None], ddl: str, schema: pa.Schema, find: bool, mail: tuple[Mail, ...] = ()) -> DataFrame:
+        """``mail`` is what ``work`` puts data into."""
         length, size = self.length, self.chunk
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,6 +341,8 @@ class Dedup:
             for c in _chunks(batches, length, size, find):
                 yield from work(c, out) or ()
                 yield out.take()
+            for m in mail:
+                m.flush()
 
         return self.docs.mapInArrow(run, ddl)
 
@@ -336,18 +387,19 @@ class Dedup:
                     yield out.take()
             yield out.take()
 
-        sent = self._pass(send, _ROWS, _ROW_SCHEMA, True)
-        self.shared.send(sent.repartitionById(buckets, F.col("bucket")).mapInArrow(meet, _ROWS))
+        sent = self._pass(send, _ROWS, _ROW_SCHEMA, True, (marks,))
+        self.shared.send(sent.repartitionById(buckets, F.col("bucket")).mapInArrow(meet, _ROWS), buckets)
         return self._splitters()
 
     def _splitters(self) -> list[np.ndarray]:
         """From the samples of a bounded number of runs, spread over all."""
         fs, base = file_system(self.marks.folder)
-        names = sorted((f.base_name for f in fs.get_file_info(pafs.FileSelector(base, allow_not_found=True)) if f.base_name.startswith("run-")), key=lambda x: xxhash.xxh3_64_intdigest(x))
+        names = sorted((f.base_name for f in fs.get_file_info(pafs.FileSelector(base, allow_not_found=True)) if f.base_name.startswith("part-")), key=lambda x: xxhash.xxh3_64_intdigest(x))
         widths = [_context_width(self.length), -(-self.length // 8) * 8]
         got: list[list[np.ndarray]] = [[], []]
-        for name in names[:_SAMPLE_RUNS]:
-            raw = self.marks.fetch(int(name[4:], 16))[16:]
+        runs = (run for name in names for run in self.marks.runs(int(name[5:], 16)))
+        for run in itertools.islice(runs, _SAMPLE_RUNS):
+            raw = self.marks.fetch(run)[16:]
             n = len(raw) // sum(widths)
             got[0].append(np.frombuffer(raw, np.uint8, n * widths[0]).reshape(n, -1))
             got[1].append(np.frombuffer(raw, np.uint8, n * widths[1], n * widths[0]).reshape(n, -1))
@@ -360,8 +412,8 @@ class Dedup:
 
     @staticmethod
     def _emit(c: Chunk, out: Out, rows: np.ndarray, docs: np.ndarray, splitters: np.ndarray) -> Iterator[pa.RecordBatch]:
-        rows, docs = suffixes.sorted_run(rows, docs)
-        cuts = [0, *np.searchsorted(suffixes.as_strings(rows), splitters).tolist(), len(rows)] if len(rows) else []
+        rows, docs, _ = suffixes.sorted_run(rows, docs)
+        cuts = _cuts(rows, splitters)
         for i in range(len(cuts) - 1):
             if cuts[i] < cuts[i + 1]:
                 raw = suffixes.front_code(rows[cuts[i] : cuts[i + 1]], docs[cuts[i] : cuts[i + 1]])
@@ -369,8 +421,8 @@ class Dedup:
                     yield out.take()
 
     def _merge(self, sent: DataFrame, splitters: np.ndarray, seed: int) -> DataFrame:
-        """(run, data): hashes of a run's rows that an earlier document has elsewhere (lowest bits 01), or, if ``seed``, that
-        share their first so many bytes with another row (10)."""
+        """(run, bucket, data): for the rows that a run sent to a bucket, in their order, bits that say which of them an earlier
+        document has elsewhere, and, if ``seed``, bits that say which share their first so many bytes with another row."""
         ranges = len(splitters) + 1
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,7 +445,8 @@ class Dedup:
             new[0] = True
             first = np.flatnonzero(new)
             cls = np.cumsum(new) - 1
-            state = (np.minimum.reduceat(doc, first)[cls] < doc).astype(np.uint64)
+            state = np.zeros((2, len(doc)), bool)
+            state[0] = np.minimum.reduceat(doc, first)[cls] < doc
             if seed:
                 group = np.concatenate([[0], np.cumsum(known[1:] < seed)])
                 several = np.bincount(group, new) > 1
@@ -405,14 +458,12 @@ class Dedup:
                         row = parts[order[at]][0][_place(order, by_run, at, base)]
                         if splitters[edge].ljust(width, b"\0")[:seed] == row[:seed]:
                             several[g] = True
-                state |= several[group].astype(np.uint64) << np.uint64(1)
-            back = state[by_run]
+                state[1] = several[group]
+            back = state[:, by_run]
             out = Out(_ROW_SCHEMA)
-            for k, (r, (rows, _, _)) in enumerate(zip(names, parts, strict=True)):
-                mine = back[base[k] : base[k + 1]]
-                matrix = np.frombuffer(b"".join(rows), np.uint8).reshape(-1, width)
-                h = (suffixes.hashes(matrix) & ~np.uint64(3) | mine)[mine > 0]
-                if len(h) and out.add(r, 0, h.tobytes(), size=8 * len(h)):
+            for k, r in enumerate(names):
+                mine = back[:, base[k] : base[k + 1]]
+                if mine.any() and out.add(r, bucket, np.packbits(mine, axis=1).tobytes(), size=mine.size // 8):
                     yield out.take()
             yield out.take()
 
@@ -435,44 +486,41 @@ class Dedup:
             me.found.put(c.run, c.packed())
             return Dedup._emit(c, out, c.contexts(), c.doc, sent.value)
 
-        self.context_mail.send(self._merge(self._pass(send, _ROWS, _ROW_SCHEMA, True), splitters, min(SEED, self.length)))
+        self.context_mail.send(self._merge(self._pass(send, _ROWS, _ROW_SCHEMA, True, (me.found,)), splitters, min(SEED, self.length)), self.buckets)
 
     def check(self, c: Chunk) -> None:
         if self.marks.fetch(c.run)[:16] != _mark(c):
             raise RuntimeError("the source gave other partitions than in the first pass")
 
-    def strings(self, splitters: np.ndarray) -> None:
+    def strings(self, of_contexts: np.ndarray, of_strings: np.ndarray) -> None:
         """Step 3."""
-        sent, me = self.spark.sparkContext.broadcast(splitters), self._slim()
+        sent, me = self.spark.sparkContext.broadcast((of_contexts, of_strings)), self._slim()
 
         def send(c: Chunk, out: Out) -> Iterator[pa.RecordBatch]:
             me.check(c)
             c.unpack(me.found.fetch(c.run))
-            h = suffixes.hashes(c.contexts()) & ~np.uint64(3)
-            mail = me.context_mail.numbers(c.run)
-            at = np.minimum(np.searchsorted(mail, h), max(0, len(mail) - 1))
-            # a hash is there with one state at most
-            state = np.where(mail[at] & ~np.uint64(3) == h, mail[at] & np.uint64(3), 0) if len(mail) else np.zeros(len(h), np.uint64)
-            gone = (c.doc > suffixes.least_of_equal(h, c.doc)) | (state & np.uint64(1) > 0)
-            unsure = ~gone & (state & np.uint64(2) > 0)
+            rows, docs, place = suffixes.sorted_run(c.contexts(), c.doc)
+            earlier, several = me.context_mail.states(c.run, _cuts(rows, sent.value[0]))[:, place]
+            gone = (c.doc > docs[place]) | earlier
+            unsure = ~gone & several
             me.states.put(c.run, np.packbits(gone).tobytes() + np.packbits(unsure).tobytes())
             rows, _, docs = c.strings(unsure)
-            return Dedup._emit(c, out, rows, docs, sent.value)
+            return Dedup._emit(c, out, rows, docs, sent.value[1])
 
-        self.string_mail.send(self._merge(self._pass(send, _ROWS, _ROW_SCHEMA, False), splitters, 0))
+        self.string_mail.send(self._merge(self._pass(send, _ROWS, _ROW_SCHEMA, False, (me.states,)), of_strings, 0), self.buckets)
 
-    def result(self, id_col: str) -> DataFrame:
+    def result(self, splitters: np.ndarray, id_col: str) -> DataFrame:
         schema = pa.schema([(id_col, pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("kept", pa.binary())])
 
-        me = self._slim()
+        sent, me = self.spark.sparkContext.broadcast(splitters), self._slim()
 
         def give(c: Chunk, out: Out) -> Iterator[pa.RecordBatch]:
             me.check(c)
             c.unpack(me.found.fetch(c.run))
             gone, unsure = (np.unpackbits(x, count=len(c.low)).astype(bool) for x in np.frombuffer(me.states.fetch(c.run), np.uint8).reshape(2, -1))
             rows, at, docs = c.strings(unsure)
-            h = suffixes.hashes(rows) & ~np.uint64(3)
-            at = at[(docs > suffixes.least_of_equal(h, docs)) | _has(me.string_mail.numbers(c.run), h | np.uint64(1))]
+            rows, least, place = suffixes.sorted_run(rows, docs)
+            at = at[(docs > least[place]) | me.string_mail.states(c.run, _cuts(rows, sent.value))[0][place]]
             n = len(c.data)
             begin, end = _union(np.concatenate([c.low[gone], at]), np.concatenate([c.high[gone], at]) + c.length)
             # spans that touch across a document's end are two
@@ -517,5 +565,5 @@ def deduplicate(docs: DataFrame, length: int = 50, chunk: int = CHUNK, id_col: s
     d = Dedup(source, length, chunk)
     of_contexts, of_strings = d.anchors()
     d.contexts(of_contexts)
-    d.strings(of_strings)
-    return d.result(id_col)
+    d.strings(of_contexts, of_strings)
+    return d.result(of_strings, id_col)

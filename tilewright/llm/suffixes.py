@@ -28,15 +28,18 @@ def hashes(rows: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def sorted_run(rows: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct rows in order, and the smallest document of each."""
+def sorted_run(rows: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct rows in order, the smallest document of each, and for each row given its place among them."""
     if not len(rows):
-        return rows, docs
+        return rows, docs, np.empty(0, np.int64)
     text = as_strings(rows)
     o = np.argsort(text, kind="stable")
     text, docs = text[o], docs[o]
-    first = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
-    return rows[o[first]], np.minimum.reduceat(docs, first)
+    new = np.concatenate([[True], text[1:] != text[:-1]])
+    first = np.flatnonzero(new)
+    place = np.empty(len(o), np.int64)
+    place[o] = np.cumsum(new) - 1
+    return rows[o[first]], np.minimum.reduceat(docs, first), place
 
 
 def front_code(rows: np.ndarray, docs: np.ndarray) -> bytes:
@@ -80,18 +83,6 @@ def expand(raw: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint64).astype(np.uint32)
 
 
-def least_of_equal(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """For each key, the smallest document of its equals."""
-    if not len(keys):
-        return docs
-    o = np.argsort(keys)
-    k = keys[o]
-    new = np.concatenate([[True], k[1:] != k[:-1]])
-    out = np.empty_like(docs)
-    out[o] = np.minimum.reduceat(docs[o], np.flatnonzero(new))[np.cumsum(new) - 1]
-    return out
-
-
 def merge(runs: list[list[bytes]], prefixes: list[list[int]]) -> tuple[list[int], list[int]]:
     """The runs in the order in which their next rows are taken, and each row's common prefix with the row before.
 
