@@ -1,31 +1,29 @@
-"""Operator 5: deletion of later copies of repeated line runs, by names of lines and of short runs of lines.
-
-A document is its sequence of lines. Prefix doubling names the runs of h lines that start at each line: equal runs, and
-only they, have equal names, and the names of two runs of h lines, one further on, make those of longer runs.
-Suffixes are needed to the depth of ``min_lines`` only: every maximal repeated run of at least that many lines is the union of its
-runs of that length, each in an LCP interval of that depth. A suffix whose run occurs once leaves the rounds that follow,
-so rounds shrink with the share of repeated lines. Names are 128-bit hashes of pairs of names; the order of the intervals
-is not needed and not computed.
-
-Deleted are lines of ``min_chars`` characters or more that occur before, and runs of ``min_lines`` lines, of
-``min_chars`` characters or more together, that occur before: in a document with a smaller id, or earlier in the same
-one. So the first copy of all stays. The bound is on each run of ``min_lines`` lines, as in the query's SQL: a longer
-repeated run of short lines stays where none of its runs of ``min_lines`` has that many characters.
-
-With ``whole_runs`` the bound of ``min_chars`` is put on the maximal repeated run, of however many lines: every line
-goes that is in a run of lines, of ``min_chars`` characters or more together, that also starts at an earlier place.
-No run need be followed to its end for that. Whether a run has enough characters depends on its text alone, and a run
-that has is the union of the shortest such runs from each of its lines on and up to each of its lines: a line with
-enough characters after it within the run begins one of the first kind, any other is in the one of the second kind that
-ends with the run. So each line gives two runs at most, of which equal ones are the same wherever they stand; their
-names are polynomials over 128-bit hashes of their lines, modulo 2^127 - 1.
-
-Counts and first places combine before their shuffles, and the joins that bring them back have one row for each name, so
-adaptive execution can split the rows of a hot line.
+"""Operator 5: deletion of later copies of repeated line runs, by a suffix array over line ids.
+
+A document is its sequence of lines, and a line's id is a 128-bit hash of its text. A run of lines counts if its lines have
+``min_chars`` characters or more together. Deleted is every line in a run that counts and that also starts at an earlier
+place: in a document with a smaller id, or earlier in the same one. The bound so stands on the maximal repeated run, however many
+lines it has, and the first copy of everything stays.
+
+Suffixes of the line sequences are sorted by prefix doubling: the rank of a place at depth h is the number of places whose run of h
+lines is smaller, which is the start of its interval of the suffix array whose common prefix has h lines or more. Two ranks, h lines
+apart, make the rank at depth 2h. Each round adds up the rank pairs, numbers the distinct ones in their order by a range
+sort, and brings ranks back; places whose interval has no other place, and those in no longer run that counts, leave.
+
+A maximal repeated run that counts is the union of the shortest runs that count from each of its lines on and up to each of its
+lines: a line with enough characters after it within the run begins one of the first kind, any other is in the one of the second
+kind that ends with the run. Whether a run counts depends on its text alone, so these runs, two for each line at most, are found
+beforehand, and doubling stops at the longest of them that still repeats. A run of m lines, h <= m < 2h, is in the interval of common
+prefix m that its two ends of h lines name: the ranks at its start and h lines before its stop. The interval's first place
+keeps its copy; the others lose theirs.
+
+Counts and first places combine before their shuffles, and the joins that bring ranks back have one row for each interval, written
+first, so adaptive execution can split the rows of a hot line.
 
 Edge cases: a null text is an empty one, of one empty line; lines end at line feeds alone; rows that repeat both id and
 text are one document and lose the same lines; rows that repeat an id with different texts are ordered by the texts'
-hashes; rows without an id come last; an empty table gives an empty result; extra columns are kept.
+hashes; rows without an id come last; an empty table gives an empty result; extra columns are kept; a very long text is one row,
+whose lines are rows of their own from the first step on.
 """
 
 from __future__ import annotations
@@ -33,24 +31,18 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewright.llm.common import Out
-from tilewright.runtime import cut, ship
+from tilewright.runtime import cut, partitions, release, ship
 
-MIN_LINES, MIN_CHARS = 3, 60
+MIN_CHARS = 60
 _NO_ID = (1 << 63) - 1
-_PRIME, _BASE = (1 << 127) - 1, 0x5851F42D4C957F2D14057B7EF767814F
-
-
-def _repeated(names: DataFrame) -> DataFrame:
-    """The rows whose name occurs in more than one place, with the first one."""
-    place = F.struct("d", "t", "p")
-    found = names.groupBy("c", "e").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
-    # written first, so that the join stands on two plain exchanges, of which a hot name's can be split
-    return names.join(cut(found, "names"), ["c", "e"])
+_PLACE = ("d", "t", "p")
 
 
 def shortest_runs(sizes: list[int], least: int) -> Iterator[tuple[int, int]]:
@@ -75,66 +67,120 @@ def shortest_runs(sizes: list[int], least: int) -> Iterator[tuple[int, int]]:
             yield start, p + 1
 
 
-def _runs(texts: DataFrame, least: int) -> DataFrame:
-    """(d, t, p, m, c, e): the shortest runs of (d, t, text), m lines from line p on, and their names."""
-    schema = pa.schema([(k, pa.int64()) for k in ("d", "t", "p", "m", "c", "e")])
+def _levels(runs: list[tuple[int, int]], n: int) -> np.ndarray:
+    """For each line the logarithm, rounded down, of the longest of the runs that it is in (-1: in none)."""
+    out = np.full(n, -1)
+    if runs:
+        start, stop = np.array(runs).T
+        level = np.array([(z - a).bit_length() - 1 for a, z in runs])
+        for k in np.unique(level):
+            edges = np.zeros(n + 1, np.int64)
+            np.add.at(edges, start[level == k], 1)
+            np.add.at(edges, stop[level == k], -1)
+            out[np.cumsum(edges[:-1]) > 0] = k
+    return out
+
+
+def _lines(docs: DataFrame, least: int, id_col: str, text_col: str) -> DataFrame:
+    """(d, t, p, c, e, level, runs): place and 128-bit id of each line, its level, and the lengths of the shortest runs that start there."""
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    texts = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(_NO_ID)).alias("d"), F.xxhash64(text).alias("t"), text.alias("text"))
+    schema = pa.schema([("d", pa.int64()), ("t", pa.int64()), ("p", pa.int64()), ("c", pa.int64()), ("e", pa.int64()), ("level", pa.int32()), ("runs", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, powers = Out(schema), [1]
+        out = Out(schema)
         for b in batches:
             for d, t, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                lines, before = text.as_py().split("\n"), [0]
-                for line in lines:
-                    before.append((before[-1] * _BASE + int.from_bytes(hashlib.blake2b(line.encode(), digest_size=16).digest(), "little")) % _PRIME)
-                for p, stop in shortest_runs([len(x) for x in lines], least):
-                    while len(powers) <= stop - p:
-                        powers.append(powers[-1] * _BASE % _PRIME)
-                    name = (before[stop] - before[p] * powers[stop - p]) % _PRIME
-                    if out.add(d, t, p, stop - p, name & _NO_ID, (name >> 63) - (1 << 63)):
+                lines = text.as_py().split("\n")
+                found = list(shortest_runs([len(x) for x in lines], least))
+                starts: dict[int, list[int]] = {}
+                for a, z in found:
+                    starts.setdefault(a, []).append(z - a)
+                for p, (line, level) in enumerate(zip(lines, _levels(found, len(lines)).tolist(), strict=True)):
+                    c, e = np.frombuffer(hashlib.blake2b(line.encode(), digest_size=16).digest(), "<i8").tolist()
+                    if out.add(d, t, p, c, e, level, starts.get(p)):
                         yield out.take()
         yield out.take()
 
-    return texts.mapInArrow(run, "d long, t long, p long, m long, c long, e long")
+    return texts.mapInArrow(run, "d long, t long, p long, c long, e long, level int, runs array<long>")
 
 
-def _deleted_runs(docs: DataFrame, min_chars: int, id_col: str, text_col: str) -> DataFrame:
-    """As :func:`deleted`, by the bound on maximal runs."""
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    texts = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(_NO_ID)).alias("d"), F.xxhash64(text).alias("t"), text.alias("text"))
-    runs = _repeated(cut(_runs(texts, min_chars), "runs")).where(F.struct("d", "t", "p") > F.col("first"))
-    # of each run only the lines beyond those that begin before it, so that no line comes twice
-    doc = Window.partitionBy("d", "t").orderBy("p", "stop")
-    stops = runs.select("d", "t", "p", (F.col("p") + F.col("m")).alias("stop")).distinct()
-    start = F.greatest("p", F.coalesce(F.max("stop").over(doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    gone = stops.select("d", "t", start.alias("p"), "stop").where("p < stop").select("d", "t", F.explode(F.sequence(F.col("p").cast("int"), (F.col("stop") - 1).cast("int"))).alias("p"))
-    return gone.groupBy("d", "t").agg(F.collect_set("p").alias("lines"))
+def _intervals(places: DataFrame, names: list[str]) -> DataFrame:
+    """(names, first): the names that more than one place has, with the first place; written."""
+    place = F.struct(*_PLACE)
+    found = places.groupBy(*names).agg(F.count(F.lit(1)).alias("size"), F.min(place).alias("first"), F.max(place).alias("last"))
+    return cut(found.where("first <> last").drop("last"), "intervals")
+
 
+def _ranked(intervals: DataFrame, names: list[str]) -> DataFrame:
+    """(names, rank, first): intervals with the number of places in those of smaller names; written.
 
-def deleted(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", whole_runs: bool = False) -> DataFrame:
+    Sorted by range; a task adds up the sizes of its range, and one sum for each range goes by the driver.
+    """
+    spark = intervals.sparkSession
+    ordered = intervals.repartitionByRange(partitions(spark), *names).sortWithinPartitions(*names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, before = TaskContext.get().partitionId(), 0
+        for b in batches:
+            sizes = b.column(b.schema.get_field_index("size")).to_numpy()
+            ends = before + np.cumsum(sizes)
+            yield b.append_column("start", pa.array(ends - sizes)).append_column("part", pa.array(np.full(b.num_rows, part, np.int32)))
+            before = int(ends[-1]) if len(ends) else before
+
+    schema = intervals.withColumn("start", F.lit(0).cast("long")).withColumn("part", F.lit(0)).schema
+    found = cut(ordered.mapInArrow(run, schema), "ranges")
+    sums = {r["part"]: r["n"] for r in found.groupBy("part").agg(F.sum("size").alias("n")).collect()}
+    before, total = [], 0
+    for part in sorted(sums):
+        before.append((part, total))
+        total += sums[part]
+    offsets = F.broadcast(spark.createDataFrame(before, "part int, offset long"))
+    out = cut(found.join(offsets, "part").select(*names, (F.col("start") + F.col("offset")).alias("rank"), "first"), "ranks")
+    release(found, intervals)
+    return out
+
+
+def _copies(at: DataFrame, h: int) -> DataFrame:
+    """(d, t, p, m): the runs of h to 2h - 1 lines that also start at an earlier place, by the ranks ``at`` depth h; written."""
+    runs = at.where("runs is not null").withColumn("m", F.explode("runs")).where((F.col("m") >= h) & (F.col("m") < 2 * h)).select(*_PLACE, "m", "rank", "first")
+    later = F.struct(*_PLACE) > F.col("first")
+    found = runs.where((F.col("m") == h) & later).select(*_PLACE, "m")
+    if h > 1:
+        ends = at.select("d", "t", F.col("p").alias("q"), F.col("rank").alias("last_rank"))
+        both = runs.where(F.col("m") > h).drop("first").withColumn("q", F.col("p") + F.col("m") - h).join(ends, ["d", "t", "q"])
+        both = cut(both.select(*_PLACE, "m", "rank", "last_rank"), "runs")
+        names = ["m", "rank", "last_rank"]
+        found = found.unionByName(both.join(_intervals(both, names), names).where(later).select(*_PLACE, "m"))
+    return cut(found, "copies")
+
+
+def deleted(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(d, t, lines): by id (the largest long for none) and xxhash64 of the text, the numbers of its deleted lines."""
     ship(docs.sparkSession)
-    if whole_runs:
-        return _deleted_runs(docs, min_chars, id_col, text_col)
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    parts = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(_NO_ID)).alias("d"), F.xxhash64(text).alias("t"), F.posexplode(F.split(text, "\n", -1)).alias("p", "line"))
-    # the second hash is seeded before the line; after it, it would be a function of the first
-    lines = parts.select("d", "t", "p", F.xxhash64("line").alias("c"), F.xxhash64(F.lit(1), "line").alias("e"), F.length("line").cast("long").alias("n"))
-    later = F.struct("d", "t", "p") > F.col("first")
-    names = cut(_repeated(lines), "lines").dropDuplicates(["d", "t", "p"])
-    gone = names.where(later & (F.col("n") >= min_chars)).select("d", "t", "p")
-    if min_lines > 1:
-        doc = Window.partitionBy("d", "t").orderBy("p")
-        # lines of a repeated run are all repeated, so none is missing from its sum
-        names = names.select("d", "t", "p", "c", "e", F.sum("n").over(doc.rangeBetween(0, min_lines - 1)).alias("n"))
-        h = 1
-        while h < min_lines:
-            step = min(h, min_lines - h)
-            at = doc.rangeBetween(step, step)
-            pairs = names.select("d", "t", "p", "n", "c", "e", F.first("c").over(at).alias("c2"), F.first("e").over(at).alias("e2")).where("c2 is not null")
-            h += step
-            names = cut(_repeated(pairs.select("d", "t", "p", "n", F.xxhash64("c", "c2").alias("c"), F.xxhash64(F.lit(h), "e", "e2").alias("e"))), "lines")
-        runs = names.where(later & (F.col("n") >= min_chars))
-        gone = gone.unionByName(runs.select("d", "t", F.explode(F.sequence("p", F.col("p") + (min_lines - 1))).alias("p")))
+    places = cut(_lines(docs, min_chars, id_col, text_col), "lines")
+    names, h, copies = ["c", "e"], 1, None
+    while True:
+        ranks = _ranked(_intervals(places, names), names)
+        at = places.join(ranks, names).select(*_PLACE, "rank", "first", "level", "runs")
+        # rows that repeat a document give its places once
+        at = cut(at.dropDuplicates(_PLACE) if h == 1 else at, "suffixes")
+        release(places, ranks)
+        found = _copies(at, h)
+        copies = found if copies is None else copies.unionByName(found)
+        longer = at.where(F.col("level") >= (2 * h).bit_length() - 1)
+        if not longer.limit(1).count():
+            break
+        after = longer.select("d", "t", (F.col("p") - h).alias("p"), F.col("rank").alias("next_rank"))
+        places = cut(longer.join(after, list(_PLACE)).select(*_PLACE, "rank", "next_rank", "level", "runs").withColumnRenamed("rank", "own_rank"), "pairs")
+        release(at)
+        names, h = ["own_rank", "next_rank"], 2 * h
+    release(at)
+    # of each run only the lines beyond those that begin before it, so that no line comes twice
+    doc = Window.partitionBy("d", "t").orderBy("p", "stop")
+    stops = copies.select(*_PLACE, (F.col("p") + F.col("m")).alias("stop")).distinct()
+    start = F.greatest("p", F.coalesce(F.max("stop").over(doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    gone = stops.select("d", "t", start.alias("p"), "stop").where("p < stop").select("d", "t", F.explode(F.sequence(F.col("p").cast("int"), (F.col("stop") - 1).cast("int"))).alias("p"))
     return gone.groupBy("d", "t").agg(F.collect_set("p").alias("lines"))
 
 

@@ -79,15 +79,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op5_line_dedup": """
         with a as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
-        b as (select doc_id, unnest(lines) as line, generate_subscripts(lines, 1) as p from a),
-        c as (select *, coalesce(sum(length(line)) over three, 0) as n3, count(*) over three as m3,
-                min(struct_pack(d := doc_id, p := p)) over (partition by line) as f1,
-                concat_ws(chr(10), line, lead(line, 1) over doc, lead(line, 2) over doc) as run
-              from b window doc as (partition by doc_id order by p),
-                three as (partition by doc_id order by p rows between current row and 2 following)),
-        d as (select *, min(struct_pack(d := doc_id, p := p)) over (partition by m3, run) as f3 from c),
-        e as (select doc_id, p from d where struct_pack(d := doc_id, p := p) > f1 and length(line) >= 60
-              union select doc_id, p + unnest([0, 1, 2]) from d where m3 = 3 and n3 >= 60 and struct_pack(d := doc_id, p := p) > f3)
+        b as (select doc_id, lines, unnest(lines) as line, generate_subscripts(lines, 1) as p from a),
+        c as (select doc_id, lines, line, p, sum(length(line)) over (partition by doc_id order by p) as upto, upto - length(line) as before from b),
+        k as (select doc_id, lines, p, (before + 60) * 1000000000 as need, upto * 1000000000 + p as have,
+                (upto - 60) * 1000000000 + 999999999 as most, before * 1000000000 + p as left from c),
+        r as (select x.doc_id, x.lines, x.p as a, y.p as z from k x asof join k y on x.doc_id = y.doc_id and x.need <= y.have
+              union select x.doc_id, x.lines, y.p, x.p from k x asof join k y on x.doc_id = y.doc_id and x.most >= y.left),
+        f as (select doc_id, a, z, min(struct_pack(d := doc_id, p := a)) over (partition by array_to_string(lines[a:z], chr(10))) as first from r),
+        e as (select distinct doc_id, unnest(range(a, z + 1)) as p from f where struct_pack(d := doc_id, p := a) > first)
         select b.doc_id, count(*) as n_lines, count(e.p) as n_deleted,
           sha256(coalesce(string_agg(b.line, chr(10) order by b.p) filter (where e.p is null), '')) as kept_sha256
         from b left join e on b.doc_id = e.doc_id and b.p = e.p group by b.doc_id""",
