@@ -6,9 +6,10 @@ bit of a query's component, the component's slices are added at that shift by a
 adds the complemented slices. The largest scores are then taken from the most significant slice downward, and rows that
 are equal in all slices are told apart by their ids.
 
-Every query meets every block. Queries travel in blocks of a fixed size, and each block of queries is sent once to each
-of the ``shuffle.partitions`` groups of index blocks, so neither side is broadcast; a task keeps its best rows of each
-query before they are shuffled.
+Every query meets every block. Queries are written in blocks of a fixed size to the shared folder. Index rows stay in their
+tasks, where their slices are made once; a task holds the slices of up to ``HELD`` rows (some 100 MB at 64 components of 12 bits),
+reads the query blocks past them one by one, and gives the k best of its rows for each query, so its memory grows with neither side.
+Only these results are shuffled. A source of fewer partitions than the session has cores is dealt out first.
 
 Edge cases: vectors that are null or hold null or non-finite components take no part, neither do rows without an id;
 vectors meet only those of the same length, and empty vectors none; rows that repeat an id are candidates each and stand
@@ -23,12 +24,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilewright.runtime import partitions, ship
+from tilewright.llm.common import file_system
+from tilewright.runtime import scratch, ship
 
-BLOCK, QUERIES = 8192, 512
+BLOCK, QUERIES, HELD = 32768, 512, 1 << 20
 
 
 class BitSliced:
@@ -110,38 +114,60 @@ class BitSliced:
         return list(zip(values, self.ids[rows].tolist(), strict=True))
 
 
-def _blocks(vectors: DataFrame, scale: float, rows: int) -> DataFrame:
-    """(part, block, dims, ids, data): up to so many vectors of a length in each row, as integers."""
+def _vectors(batches: Iterator[pa.RecordBatch], scale: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, integers) of the vectors of one length, by batches of (id, vector)."""
+    for b in batches:
+        ids, lists = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        flat = lists.values.to_numpy(zero_copy_only=False).astype(np.float64)  # nulls as NaN
+        sizes = np.diff(offsets)
+        for dims in np.unique(sizes[sizes > 0]).tolist():
+            at = np.flatnonzero(sizes == dims)
+            x = flat[offsets[at][:, None] + np.arange(dims)]
+            good = np.isfinite(x).all(1)
+            at, x = at[good], np.floor(scale * x[good])
+            if len(at):
+                if np.abs(x).max() >= 2**31:
+                    raise ValueError(f"vector {ids[at[np.abs(x).max(1).argmax()]]} is beyond 32 bits")
+                yield ids[at], x.astype("<i4")
+
+
+def _grouped(vectors: Iterator[tuple[np.ndarray, np.ndarray]], rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same vectors, so many of a length together."""
+    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
+    for ids, x in vectors:
+        for s in range(0, len(ids), rows):
+            mine = held[x.shape[1]]
+            mine.append((ids[s : s + rows], x[s : s + rows]))
+            if sum(len(i) for i, _ in mine) >= rows:
+                i, v = (np.concatenate(y) for y in zip(*mine, strict=True))
+                yield i[:rows], v[:rows]
+                held[x.shape[1]] = [(i[rows:], v[rows:])] if len(i) > rows else []
+    for mine in held.values():
+        if mine:
+            yield tuple(np.concatenate(y) for y in zip(*mine, strict=True))
+
+
+def _asked(rows: DataFrame, scale: float) -> list[str]:
+    """Files of query blocks (dims, ids, data) in the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
-        names, made = ("block", "dims", "ids", "data"), 0
-
-        def give(dims: int) -> pa.RecordBatch:
-            nonlocal made
-            made += 1
-            got = held.pop(dims)
-            row = (made, dims, np.array([k for k, _ in got], "<i8").tobytes(), np.stack([x for _, x in got]).astype("<i4").tobytes())
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=names)
-
-        for b in batches:
-            for key, vector in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                x = np.array(vector.as_py(), dtype=object)
-                if any(v is None for v in x):
-                    continue
-                x = x.astype(np.float64)
-                if not len(x) or not np.isfinite(x).all():
-                    continue
-                x = np.floor(scale * x)
-                if np.abs(x).max() >= 2**31:
-                    raise ValueError(f"vector {key} is beyond 32 bits")
-                held[len(x)].append((key, x))
-                if len(held[len(x)]) == rows:
-                    yield give(len(x))
-        for dims in list(held):
-            yield give(dims)
+        for ids, x in _grouped(_vectors(batches, scale), QUERIES):
+            yield pa.RecordBatch.from_pydict({"dims": pa.array([x.shape[1]], pa.int32()), "ids": pa.array([ids.astype("<i8").tobytes()]), "data": pa.array([x.tobytes()])})
+
+    path = scratch(rows.sparkSession, "queries")
+    rows.mapInArrow(run, "dims int, ids binary, data binary").write.parquet(path)
+    fs, base = file_system(path)
+    return sorted(f"{path}/{f.base_name}" for f in fs.get_file_info(pafs.FileSelector(base)) if f.base_name.endswith(".parquet"))
 
-    return vectors.mapInArrow(run, "block int, dims int, ids binary, data binary").withColumn("part", F.spark_partition_id())
+
+def _queries(files: list[str]) -> Iterator[tuple[list[int], list[list[int]]]]:
+    for path in files:
+        fs, base = file_system(path)
+        with fs.open_input_file(base) as f:
+            for b in pq.ParquetFile(f).iter_batches(batch_size=1):
+                for dims, ids, data in zip(*(b.column(c).to_pylist() for c in ("dims", "ids", "data")), strict=True):
+                    yield np.frombuffer(ids, "<i8").tolist(), np.frombuffer(data, "<i4").reshape(-1, dims).tolist()
 
 
 def search(vectors: DataFrame, every: int = 50, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -151,34 +177,35 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, scale: float = 256.0
     """
     spark = ship(vectors.sparkSession)
     rows = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].cast("array<double>").alias("v")).where("id is not null and v is not null")
-    groups = partitions(spark)
-    index = _blocks(rows, scale, BLOCK).withColumn("g", F.pmod(F.xxhash64("part", "block"), F.lit(groups)).cast("int"))
-    asked = _blocks(rows.where(F.col("id") % every == 0).coalesce(max(1, groups // 8)), scale, QUERIES)
-    asked = asked.select("dims", F.struct("part", "block").alias("q"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-    return _ranked(index, asked, groups, k, id_col)
-
+    files = _asked(rows.where(F.col("id") % every == 0), scale)
+    cores = spark.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:
+        rows = rows.repartition(cores)
 
-def _ranked(index: DataFrame, asked: DataFrame, groups: int, k: int, id_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, list[tuple[int, int]]] = {}
-        last, block = None, None
-        for b in batches:
-            cols = [b.column(b.schema.get_field_index(c)) for c in ("dims", "ids", "data", "q_ids", "q_data")]
-            for i in range(b.num_rows):
-                dims, ids, data, q_ids, q_data = (c[i].as_py() for c in cols)
-                if last != (ids, data):
-                    last, block = (ids, data), BitSliced(np.frombuffer(ids, "<i8"), np.frombuffer(data, "<i4").reshape(-1, dims))
-                for key, query in zip(np.frombuffer(q_ids, "<i8").tolist(), np.frombuffer(q_data, "<i4").reshape(-1, dims).tolist(), strict=True):
-                    best[key] = sorted(best.get(key, []) + block.top(query, k, key), key=lambda x: (-x[0], x[1]))[:k]
-        out = [(q, v, s) for q, rows in best.items() for s, v in rows]
-        for at in range(0, len(out), 100_000):
-            q, v, s = zip(*out[at : at + 100_000], strict=True)
-            yield pa.RecordBatch.from_pydict({"query_id": pa.array(q, pa.int64()), id_col: pa.array(v, pa.int64()), "score": pa.array(s, pa.int64())})
-
-    sent = asked.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    met = index.join(sent, ["dims", "g"]).select("dims", "ids", "data", "q_ids", "q_data")
-    # a pair of blocks is small and costs seconds: pairs are dealt out evenly, as hashes and sizes in bytes would not do
-    met = met.repartition(groups)
-    found = met.mapInArrow(run, f"query_id long, `{id_col}` long, score long")
+        held: dict[int, list[BitSliced]] = defaultdict(list)
+        n = 0
+
+        def ask() -> Iterator[pa.RecordBatch]:
+            for ids, queries in _queries(files):
+                out = []
+                for key, query in zip(ids, queries, strict=True):
+                    got = [x for block in held.get(len(query), ()) for x in block.top(query, k, key)]
+                    out += [(key, v, s) for s, v in sorted(got, key=lambda x: (-x[0], x[1]))[:k]]
+                if out:
+                    q, v, s = zip(*out, strict=True)
+                    yield pa.RecordBatch.from_pydict({"query_id": pa.array(q, pa.int64()), id_col: pa.array(v, pa.int64()), "score": pa.array(s, pa.int64())})
+
+        for ids, x in _grouped(_vectors(batches, scale), BLOCK):
+            held[x.shape[1]].append(BitSliced(ids, x))
+            n += len(ids)
+            if n >= HELD:
+                yield from ask()
+                held.clear()
+                n = 0
+        if n:
+            yield from ask()
+
+    found = rows.mapInArrow(run, f"query_id long, `{id_col}` long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", id_col, "score")
