@@ -6,8 +6,9 @@ log((p + 1) / (|p| + 2)) - log((q + 1) / (|q| + 2)), with p and q the toxic and
 takes part if its counts differ by ``MIN_Z`` standard deviations. A logistic regression is trained on the features
 x * r, its classes weighted by their shares of all labelled rows. Scores are a narrow map with the model broadcast.
 
-The sample is bounded by ``SAMPLE`` texts of either class, those of the smallest hash of their id; everything else
-covers all rows. The model is bounded by ``FEATURES``.
+The sample is bounded by ``SAMPLE`` texts of either class, those of the smallest hash of their id (one text for an id); everything
+else covers all rows. The test of significance is part of the model: ratios of n-grams below it are mostly chance. A feature that
+passes it is in some 16 texts of the sample at least, which bounds their number by that of the sample's n-grams.
 
 Edge cases: a null or empty text has no features and is scored by the intercept; without labelled rows of both classes
 the score is the share of toxic ones (0.5 where there are none); a document that is labelled more than once is toxic if
@@ -26,12 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.llm.common import Out, text_of
-from tilewright.runtime import ship
+from tilewright.runtime import cut, ship
 
 ORDERS = (4, 5, 6)
 #: Most labelled texts of either class that the model is fitted on.
 SAMPLE = 3000
-FEATURES = 50_000
 MIN_Z = 4.0
 RIDGE, STEPS = 1.0, 150
 BUCKETS = 16
@@ -42,7 +42,10 @@ _CHUNK = 1 << 19
 
 def hashes(text: str) -> Iterator[np.ndarray]:
     """The hashes of a text's n-grams, with repeats, an array for each order and stretch of the text."""
-    chars = np.frombuffer(f" {' '.join(text.lower().split())} ".encode("utf-32-le"), "<u4").astype(np.uint64)
+    return hashes_of(np.frombuffer(f" {' '.join(text.lower().split())} ".encode("utf-32-le"), "<u4").astype(np.uint64))
+
+
+def hashes_of(chars: np.ndarray) -> Iterator[np.ndarray]:
     last = max(ORDERS)
     for at in range(0, len(chars), _CHUNK):
         part = chars[at : at + _CHUNK + last - 1]
@@ -63,11 +66,12 @@ def distinct(text: str) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Sorted feature hashes, their weights (coefficient times r) and the intercept."""
+    """Sorted feature hashes, their weights (coefficient times r), the intercept, and the ratios r."""
 
     features: np.ndarray
     weights: np.ndarray
     intercept: float
+    ratios: np.ndarray | None = None
 
     def __post_init__(self):
         self.maybe = np.zeros(1 << 20, bool)
@@ -125,13 +129,13 @@ def _log_count_ratios(sample: DataFrame, n_pos: int, n_neg: int) -> tuple[np.nda
         x = add_up(x["h"], x["p"], x["q"])
         p, q = x["p"] / n_pos, x["q"] / n_neg
         z = np.abs(p - q) / np.sqrt(p / n_pos + q / n_neg)
-        x, z = x[z >= MIN_Z], z[z >= MIN_Z]
+        x = x[z >= MIN_Z]
         r = np.log((x["p"] + 1) / (n_pos + 2)) - np.log((x["q"] + 1) / (n_neg + 2))
-        yield pa.RecordBatch.from_pydict({"h": x["h"].view("<i8"), "r": r.astype(np.float64), "z": z.astype(np.float64)})
+        yield pa.RecordBatch.from_pydict({"h": np.ascontiguousarray(x["h"]).view("<i8"), "r": r.astype(np.float64)})
 
     counts = sample.select("text", "toxic").mapInArrow(count, "bucket int, counts binary")
-    chosen = counts.repartitionById(BUCKETS, F.col("bucket")).mapInArrow(choose, "h long, r double, z double")
-    rows = chosen.orderBy(F.desc("z"), "h").limit(FEATURES).select("h", "r").toArrow()
+    chosen = counts.repartitionById(BUCKETS, F.col("bucket")).mapInArrow(choose, "h long, r double")
+    rows = chosen.toArrow()
     h, r = rows.column("h").to_numpy().view(np.uint64), rows.column("r").to_numpy()
     order = np.argsort(h)
     return h[order], r[order]
@@ -165,7 +169,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return nothing
     chosen = [marked.where(F.col("toxic") == k).orderBy(F.xxhash64("id", F.lit(7)), "id").limit(sample) for k in (0, 1)]
     ids = spark.createDataFrame([tuple(r) for c in chosen for r in c.collect()], "id long, toxic int")
-    found = text_of(docs, id_col, text_col).join(F.broadcast(ids), "id").select("id", "text", "toxic")
+    # one text for an id, so that what is gathered is bounded by the sample; written, as three passes read it
+    found = text_of(docs, id_col, text_col).join(F.broadcast(ids), "id").groupBy("id", "toxic").agg(F.min("text").alias("text"))
+    found = cut(found.select("id", "text", "toxic"), "labelled")
     n = {r["toxic"]: r["n"] for r in found.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n.get(0) or not n.get(1):
         return nothing
@@ -185,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     y = np.array([t for _, t, _ in rows])
     share = {1: pos / max(1, (y == 1).sum()), 0: neg / max(1, (y == 0).sum())}
     weights, intercept = _fit(np.repeat(np.arange(len(y)), [len(c) for c in cols]), np.concatenate(cols), y, ratios, np.where(y == 1, share[1], share[0]))
-    return Model(features, weights, intercept)
+    return Model(features, weights, intercept, ratios)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
