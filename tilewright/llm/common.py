@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections import Counter
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -11,12 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def arrow_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
-    """Each record batch as a dictionary of Python lists."""
-    for b in batches:
-        yield {n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
-
-
 class Out:
     """Collects rows and gives them out as record batches of a bounded number of bytes."""
 
@@ -42,31 +36,47 @@ def text_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(df[id_col].cast("long").alias("id"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"))
 
 
+NO_ID = -(1 << 63)
+
+
 def range_bounds(df: DataFrame, key: str, n: int) -> list[int]:
-    """At most n - 1 ascending cut points that part the values of a long column about evenly; reads this column alone."""
+    """At most n - 1 ascending cut points that part the values of a long column about evenly, nulls as the smallest; reads this column alone.
+
+    A value that fills several ranges is there as often.
+    """
     if n < 2:
         return []
-    got = df.select(F.percentile_approx(F.col(key), [i / n for i in range(1, n)], 10_000).alias("b")).first()["b"]
-    return sorted({int(x) for x in got or []})
+    got = df.select(F.percentile_approx(F.coalesce(key, F.lit(NO_ID)), [i / n for i in range(1, n)], 10_000).alias("b")).first()["b"]
+    return sorted(int(x) for x in got or [])
 
 
-def range_index(key: str, bounds: list[int]) -> Column:
-    """The number of cut points below the key, as a balanced tree of comparisons; nulls are in range 0."""
+def range_index(key: str, bounds: list[int], spread: Column) -> Column:
+    """The range of a key, as a balanced tree of comparisons; ``spread``, a hash, parts a key that fills several ranges among them, in its order."""
+    cuts = sorted(Counter(bounds).items())
+    first = [0]
+    for _, m in cuts:
+        first.append(first[-1] + m)
+    value = F.coalesce(key, F.lit(NO_ID))
+    # the hash as a number from 0 to 1
+    share = (spread / F.lit(2.0**64)) + F.lit(0.5)
 
     def tree(lo: int, hi: int) -> Column:
         if lo == hi:
-            return F.lit(lo)
+            if lo < len(cuts) and cuts[lo][1] > 1:
+                own = F.least(F.floor(share * cuts[lo][1]), F.lit(cuts[lo][1] - 1)).cast("int") + first[lo]
+                return F.when(value == cuts[lo][0], own).otherwise(F.lit(first[lo]))
+            return F.lit(first[lo])
         mid = (lo + hi) // 2
-        return F.when(F.col(key) > bounds[mid], tree(mid + 1, hi)).otherwise(tree(lo, mid))
+        return F.when(value > cuts[mid][0], tree(mid + 1, hi)).otherwise(tree(lo, mid))
 
-    return tree(0, len(bounds))
+    return tree(0, len(cuts))
 
 
-def by_range(df: DataFrame, key: str, n: int) -> tuple[DataFrame, int]:
-    """Rows range-partitioned by a long key, partition i holding range i (column ``_range``), sorted within partitions."""
+def by_range(df: DataFrame, key: str, spread: str, n: int) -> tuple[DataFrame, int]:
+    """Rows range-partitioned by a long key and, within it, by a hash; partition i holds range i (column ``_range``), sorted by both within partitions."""
     bounds = range_bounds(df, key, n)
-    out = df.withColumn("_range", range_index(key, bounds))
-    return out.repartitionById(len(bounds) + 1, F.col("_range")).sortWithinPartitions(key), len(bounds) + 1
+    out = df.withColumn("_range", range_index(key, bounds, F.col(spread)))
+    return out.repartitionById(len(bounds) + 1, F.col("_range")).sortWithinPartitions(key, spread), len(bounds) + 1
 
 
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:

@@ -7,12 +7,19 @@ sequence), and
 ``docs-<shard>.arrow`` where each document starts. The buffers of a batch of fixed-size lists are one flat array, so a
 reader maps the file and takes any sequence, or any span of ids, without copying or parsing.
 
-Edge cases: a null or empty text is the end id alone; repeated ids are separate documents, in ascending order of
-text; rows without an id come first; an empty table writes no shard; extra columns are not read.
+Texts are encoded without special tokens: a special token's spelling in a text, such as ``<|endoftext|>``, is ordinary text. Words
+are encoded once and kept where the tokenizer's file says that it splits and drops what :class:`WordEncoder` relies on; with any
+other tokenizer whole texts are encoded.
+
+Edge cases: a null or empty text is the end id alone; repeated ids are separate documents, in the order of their texts'
+hashes, and of the texts where these are equal; rows without an id come first; an id, or none, that fills several shards is
+parted by these hashes; an empty table writes no shard; extra columns are not read; a very long text is one row, in as many batches
+as it needs.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -33,10 +40,24 @@ BATCH = 256
 _DOCS = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
+#: What a tokenizer's file must say for its texts to be encoded word by word (fixed values of the format).
+_TRAITS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+
+
 class WordEncoder(dict):
-    """Encodes by the tokenizers library, for vocabularies whose pieces mark the ends of words by </w>.
+    """Encodes by the tokenizers library; by words where the vocabulary's pieces mark their ends by </w>.
 
-    The tokenizer lowers letters, splits at white space, which it drops, and between a letter and a mark such as a comma;
+    Such a tokenizer lowers letters, splits at white space, which it drops, and between a letter and a mark such as a comma;
     so what lies between such places has its ids on its own. As a dictionary, this maps such words to ids that it has seen.
     """
 
@@ -47,6 +68,9 @@ class WordEncoder(dict):
         super().__init__()
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        self.by_words = all(said.get(k) == v for k, v in _TRAITS.items()) and said["model"].get("type") == "BPE" and said["model"].get("end_of_word_suffix") == "</w>" and all(t["special"] for t in said["added_tokens"])
         vocabulary = self.library.get_vocab()
         self.size = max(vocabulary.values()) + 1
         self.ends = np.zeros(self.size, bool)  # the pieces that end a word
@@ -55,16 +79,26 @@ class WordEncoder(dict):
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers."""
+        if not self.by_words:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         words = [_BEFORE_MARKS(b" ", t.encode().lower()).split() for t in texts]
-        seen: set[bytes] = set()
-        for ws in words:
-            seen.update(ws)
-        new = [w for w in seen if w not in self]
-        if len(self) + len(new) > CACHE_ENTRIES:
-            self.clear()
-            new = list(seen)
-        self._learn([w.decode() for w in new])
-        return [b"".join(map(self.__getitem__, ws)) for ws in words]
+        out, get, late = [], self.__getitem__, []
+        for k, ws in enumerate(words):
+            try:
+                out.append(b"".join(map(get, ws)))
+            except KeyError:  # some word is new
+                out.append(b"")
+                late.append(k)
+        if late:
+            seen = {w for k in late for w in words[k]}
+            new = [w for w in seen if w not in self]
+            if len(self) + len(new) > CACHE_ENTRIES:
+                self.clear()
+                new = list(seen)
+            self._learn([w.decode() for w in new])
+            for k in late:
+                out[k] = b"".join(map(get, words[k]))
+        return out
 
     def _learn(self, words: list[str]) -> None:
         letters = [w for w in words if w.isalpha()]
@@ -111,8 +145,8 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 2, le
     gathered to the driver for its running sum.
     """
     spark = ship(docs.sparkSession)
-    ranged, _ = by_range(text_of(docs, id_col, text_col), "id", shards or partitions(spark))
-    ranged = ranged.select("_range", "id", "text").sortWithinPartitions("id", "text")
+    ranged, _ = by_range(text_of(docs, id_col, text_col).withColumn("_hash", F.xxhash64("text")), "id", "_hash", shards or partitions(spark))
+    ranged = ranged.sortWithinPartitions("id", "_hash", "text").select("_range", "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, shard, n_docs, at = encoder(tokenizer_path), None, 0, 0
