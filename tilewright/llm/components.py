@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.runtime import cut, release
+from tilewright.runtime import cut, partitions, release
+
+#: Edges to a file: rounds over few links are a few tasks each, whatever the session's number of partitions.
+EDGES = 100_000
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -20,17 +23,22 @@ def components(links: DataFrame) -> DataFrame:
     """
     ends = links.where("a is not null and b is not null")
     nodes = ends.select(F.col("a").alias("node")).unionByName(ends.select(F.col("b").alias("node"))).distinct()
-    edges = cut(ends.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    files = -(-max(1, ends.count()) // EDGES)
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        return cut(df.coalesce(files) if files < partitions(df.sparkSession) else df, name)
+
+    edges = kept(ends.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while not _stars(edges):
         # large star: (a, b), a > b, becomes (a, the least around b)
         around = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lows = cut(around.groupBy(F.col("a").alias("b")).agg(F.least(F.col("a"), F.min("b")).alias("low")), "lows")
-        large = cut(edges.join(lows, "b").select("a", F.col("low").alias("b")).distinct(), "edges")
+        lows = kept(around.groupBy(F.col("a").alias("b")).agg(F.least(F.col("a"), F.min("b")).alias("low")), "lows")
+        large = kept(edges.join(lows, "b").select("a", F.col("low").alias("b")).distinct(), "edges")
         release(edges, lows)
         # small star: (a, b) becomes (b, the least below a), and a keeps that one
-        lows = cut(large.groupBy("a").agg(F.min("b").alias("low")), "lows")
+        lows = kept(large.groupBy("a").agg(F.min("b").alias("low")), "lows")
         hung = large.join(lows, "a").select(F.when(F.col("b") == F.col("low"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("low").alias("b"))
-        edges = cut(hung.distinct(), "edges")
+        edges = kept(hung.distinct(), "edges")
         release(large, lows)
     return nodes.join(edges.select(F.col("a").alias("node"), F.col("b").alias("label")), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 

@@ -39,6 +39,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,7 +50,7 @@ from tilewright.runtime import cut, partitions, release, ship
 FREQUENT = 200_000
 #: How often a task must meet an n-gram to report it.
 REPORT = 3
-SMALL, SALT = 8, 512
+SMALL, SALT = 8, 256
 #: Entries of prefixes to a task.
 ENTRIES = 2_000_000
 #: Most candidates whose ids are broadcast to the scan that fetches their texts; beyond it the scan is joined by a shuffle.
@@ -145,6 +146,15 @@ def ranges(o: np.ndarray) -> np.ndarray:
     return np.bincount(o >> np.uint64(48 - bits), minlength=1 << bits).astype("<u2")
 
 
+def packed_ranges(o: np.ndarray) -> bytes:
+    """:func:`ranges`, compressed: most are numbers below 8."""
+    return zstandard.ZstdCompressor(1).compress(ranges(o).tobytes())
+
+
+def unpacked_ranges(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), "<u2")
+
+
 def least_differences(one: np.ndarray, others: np.ndarray, key: int, place: int, places: np.ndarray) -> np.ndarray:
     """Lower bounds on the symmetric differences of a set and others, by their ranges, of which there are as many, and the number and
     places of their first common n-gram."""
@@ -163,9 +173,14 @@ def _bucket(key: np.ndarray, salt: np.ndarray, n: int) -> np.ndarray:
     return (((key ^ (salt * _M)) * _A) >> np.uint64(33)) % np.uint64(n)
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    """(id, text, t), t being a hash of the text."""
+    return text_of(docs, "id", "text").withColumn("t", F.xxhash64("text"))
+
+
 def _scan(docs: DataFrame, n: int, parts: int) -> DataFrame:
     """One pass: a row (kind 0) for each document with its class, and what tasks report (kind 1)."""
-    schema = pa.schema([("kind", pa.int8()), ("bucket", pa.int32()), ("id", pa.int64()), ("c", pa.binary()), ("n", pa.int64()), ("data", pa.binary())])
+    schema = pa.schema([("kind", pa.int8()), ("bucket", pa.int32()), ("id", pa.int64()), ("t", pa.int64()), ("c", pa.binary()), ("n", pa.int64()), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, held, size, counts = Out(schema), [], 0, []
@@ -182,7 +197,7 @@ def _scan(docs: DataFrame, n: int, parts: int) -> DataFrame:
             size = 0
 
         for b in batches:
-            for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for key, text, t in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 h = shingles(ascii_lower_words(text.as_py()), n)
                 c = class_of(h) if len(h) else None
                 if len(h) and c not in seen:
@@ -191,7 +206,7 @@ def _scan(docs: DataFrame, n: int, parts: int) -> DataFrame:
                     size += len(h)
                     if size > 6_000_000:
                         squeeze()
-                if out.add(0, None, key, c, len(h), None, size=100):
+                if out.add(0, None, key, t, c, len(h), None, size=100):
                     yield out.take()
         if held:
             squeeze()
@@ -200,10 +215,10 @@ def _scan(docs: DataFrame, n: int, parts: int) -> DataFrame:
             part = _bucket(h, np.zeros(len(h), np.uint64), parts)
             for i in range(parts):
                 if (mine := part == i).any():
-                    out.add(1, i, None, None, None, h[mine].astype("<u8").tobytes() + k[mine].astype("<u8").tobytes(), size=16 * int(mine.sum()))
+                    out.add(1, i, None, None, None, None, h[mine].astype("<u8").tobytes() + k[mine].astype("<u8").tobytes(), size=16 * int(mine.sum()))
         yield out.take()
 
-    return text_of(docs, "id", "text").mapInArrow(run, "kind byte, bucket int, id long, c binary, n long, data binary")
+    return _texts(docs).mapInArrow(run, "kind byte, bucket int, id long, t long, c binary, n long, data binary")
 
 
 def _frequent(scan: DataFrame, parts: int) -> Order:
@@ -407,30 +422,33 @@ class Sets:
 
 
 def _fetched(docs: DataFrame, names: DataFrame, classes: DataFrame, order, n: int, keep_texts: bool) -> DataFrame:
-    """(c, n, ranges, text) of some classes (c), each once; by a scan of the documents, as most have no part in any pair."""
-    wanted = cut(names.distinct().join(classes, "c").select("c", "id"), "wanted")
-    ids = wanted.select("id").distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    """(c, n, ranges, text) of some classes (c), each once; by a scan of the documents, as most have no part in any pair.
+
+    A class is found by the id and the hash of one of its texts, so texts aren't shuffled while these can be broadcast; rows that repeat
+    both give a class once for each task.
+    """
+    wanted = cut(names.distinct().join(classes, "c").select("c", "id", "t"), "wanted")
+    of_id = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     schema = pa.schema([("c", pa.binary()), ("n", pa.int64()), ("ranges", pa.binary()), ("text", pa.string())])
-    whole = keep_texts
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, ranks = Out(schema), order.value
+        out, ranks, seen = Out(schema), order.value, set()
         for x in batches:
-            for text in x.column(0):
+            for text, c in zip(x.column(0), x.column(1).to_pylist(), strict=True):
+                if c in seen:
+                    continue
                 t = text.as_py()
                 h = shingles(ascii_lower_words(t), n)
-                if len(h):
-                    r = ranges(ranks.of(h)[0]).tobytes()
-                    if out.add(class_of(h), len(h), r, t if whole else None, size=len(t) + len(r)):
+                if len(h) and class_of(h) == c:
+                    seen.add(c)
+                    r = packed_ranges(ranks.of(h)[0])
+                    if out.add(c, len(h), r, t if keep_texts else None, size=len(t) + len(r)):
                         yield out.take()
         yield out.take()
 
-    rows = text_of(docs, "id", "text").withColumn("id", F.coalesce("id", F.lit(_NO_ID)))
-    found = rows.join(ids, "id", "left_semi").select("text").mapInArrow(texts, "c binary, n long, ranges binary, text string")
-    found = cut(found.join(wanted.select("c"), "c", "left_semi"), "texts")
-    if found.groupBy("c").count().where("count > 1").limit(1).count():  # rows that repeat an id
+    rows = _texts(docs).withColumn("id", F.coalesce("id", F.lit(_NO_ID)))
+    found = cut(rows.join(of_id, ["id", "t"]).select("text", "c").mapInArrow(texts, "c binary, n long, ranges binary, text string"), "texts")
+    if found.groupBy("c").count().where("count > 1").limit(1).count():  # rows that repeat an id and its text
         once = cut(found.dropDuplicates(["c"]), "texts")
         release(found)
         found = once
@@ -450,7 +468,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, order, rule:
             ra, rb = (x.column(x.schema.get_field_index(c)) for c in ("ra", "rb"))
             good = []
             for i in range(x.num_rows):
-                one, other = (np.frombuffer(y[i].as_py(), "<u2") for y in (ra, rb))
+                one, other = (unpacked_ranges(y[i].as_py()) for y in (ra, rb))
                 m = min(len(one), len(other))
                 good.append(least_differences(_folded(one, m), _folded(other, m)[None], key[i], p[i], np.array([q[i]]))[0] <= rule.allowed(na[i], nb[i]))
             yield x.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
@@ -466,9 +484,12 @@ def _verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, order, rule:
             good = [sets.linked(rule, sets.of(ca[i].as_py(), ta[i]), sets.of(cb[i].as_py(), tb[i])) for i in range(x.num_rows)]
             yield x.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    ta, tb = (found.select(F.col("c").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
+    # only the texts of what passed are shuffled
+    needed = cut(left.select(F.col("a").alias("c")).union(left.select(F.col("b").alias("c"))).distinct(), "needed")
+    texts = found.join(F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed, "c", "left_semi")
+    ta, tb = (texts.select(F.col("c").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
     links = cut(left.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInArrow(compare, "a binary, b binary"), "links")
-    release(pairs, found, left)
+    release(pairs, found, left, needed)
     return links
 
 
@@ -502,7 +523,7 @@ class Block:
         self.side, self.size, self.pos = (self.rows.column(c).to_numpy() for c in ("side", "n", "pos"))
         self.key = self.rows.column("key")[0].as_py()
         self.comp = self.rows.column("comp").combine_chunks().dictionary_encode().indices.to_numpy()
-        self.ranges = [np.frombuffer(x, "<u2") for x in self.rows.column("ranges").to_pylist()]
+        self.ranges = [unpacked_ranges(x) for x in self.rows.column("ranges").to_pylist()]
         self.width = np.array([len(x) for x in self.ranges])
         self.tables: dict[int, np.ndarray] = {}
 
@@ -604,7 +625,9 @@ def _classes(clean: DataFrame, rule: Rule, n: int) -> tuple:
     spark = clean.sparkSession
     scan = cut(_scan(clean, n, partitions(spark)), "scan")
     rows = scan.where("kind = 0").select("id", "c", "n")
-    classes = cut(rows.where("n > 0").groupBy("c").agg(F.min("id").alias("least"), F.first("n").alias("n")).withColumn("id", F.coalesce("least", F.lit(_NO_ID))), "classes")
+    named = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "t"))).alias("named")
+    found = scan.where("kind = 0 and n > 0").groupBy("c").agg(named, F.min("t").alias("t"), F.first("n").alias("n"))
+    classes = cut(found.select("c", "n", F.col("named.id").alias("least"), F.coalesce("named.id", F.lit(_NO_ID)).alias("id"), F.coalesce("named.t", "t").alias("t")), "classes")
     order = spark.sparkContext.broadcast(_frequent(scan, partitions(spark)))
     entries = classes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * rule.p / 100) + 1)).first()[0] or 0
     met = cut(_candidates(clean, order, rule, n, max(partitions(spark), -(-int(entries) // ENTRIES))), "candidates")
