@@ -1,6 +1,7 @@
 """The operators against brute force, on small fixtures with nulls, empty and long texts, ties, repeats and extra columns."""
 
 import hashlib
+import json
 import random
 import zlib
 from collections import defaultdict
@@ -15,7 +16,7 @@ from tokenizers import Tokenizer, models, pre_tokenizers
 
 import corpus_pipeline
 from tilewright.llm import byte_bpe, components, decontaminate, jaccard, line_dedup, queries, suffix_dedup, suffixes, token_counts, token_files, topk, toxicity, warc
-from tilewright.runtime import scratch
+from tilewright.runtime import cut, scratch
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
 WORDS = P.path("word_bpe_49k.json")
@@ -55,7 +56,7 @@ def test_byte_bpe_is_tiktoken(spark, empty):
 def test_token_files_round_trip(spark, empty):
     library = Tokenizer.from_file(WORDS)
     library.encode_special_tokens = True
-    texts = [None, "", *odd_texts(200, 1), "It's the END, of 3 days... " * 400, "twice", "twice"]
+    texts = [None, "", *odd_texts(200, 1), "It's the END, of 3 days... " * 400, "twice", "twice", "a<|endoftext|>b", "<| endoftext |> <|startoftext|>", "x" * 300_000]
     out, folder = token_files.token_files(docs(spark, texts), WORDS, length=16, shards=3)
     rows, at = {r["doc_id"]: r for r in out.collect()}, 0
     for i, t in enumerate(texts):
@@ -70,6 +71,22 @@ def test_token_files_round_trip(spark, empty):
     assert token_files.token_files(empty, WORDS)[0].count() == 0
 
 
+def test_token_files_with_another_tokenizer_and_hot_ids(spark):
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    library.encode_special_tokens = True
+    assert token_files.encoder(WORDS).by_words and not token_files.encoder(P.path("byte_bpe_50k.json")).by_words
+    rows = [(7, f"Text  {k}") for k in range(60)] + [(None, f"none {k}") for k in range(40)] + [(k, "one") for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out, folder = token_files.token_files(df, P.path("byte_bpe_50k.json"), length=16, shards=6)
+    got = sorted(out.collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == sorted((k for k, _ in rows), key=lambda k: (k is not None, k or 0))
+    assert [r["start"] for r in got] == np.cumsum([0, *(r["n_tokens"] for r in got)])[:-1].tolist()
+    assert sorted(bytes(r["ids"]) for r in got) == sorted(np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes() for _, t in rows)
+    # an id, and no id, that fill several shards are parted
+    sizes = [token_files.Shard(folder, k).docs.get_batch(0).num_rows for k in range(6)]
+    assert len(sizes) == 6 and max(sizes) < 45
+
+
 def test_topk_is_brute_force(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 7)).round(1)  # many ties
@@ -99,6 +116,7 @@ def test_suffix_dedup_is_brute_force(spark, empty, length):
             t.insert(rng.randrange(len(t) + 1), s[rng.randrange(20) : rng.randrange(60, 150)])
         texts.append(" ".join(t))
     texts += [texts[20], texts[20][:-3] + "zzz", texts[30] + texts[31]]
+    texts += [" ".join(word() for _ in range(1200)) + shared[0] + " ".join(word() for _ in range(900))]  # longer than a run
     rows = [(i, t, 1) for i, t in enumerate(texts)] + [(20, texts[40], 1), (None, texts[20], 1)]
     path = scratch(spark, "docs")
     spark.createDataFrame(rows, "doc_id long, text string, run int").repartition(3).write.parquet(path)
@@ -177,29 +195,6 @@ def test_merge_orders_long_rows():
         assert got == sorted(x for r, _, _ in coded for x in r)
 
 
-def test_line_dedup_is_brute_force(spark, empty):
-    rng = random.Random(3)
-    pool = [f"line {k} " + "x" * rng.choice([0, 20, 70]) for k in range(12)] + [""]
-    texts = [None, "", "\n\n\n\n", *("\n".join(rng.choice(pool) for _ in range(rng.randrange(12))) for _ in range(60))]
-    df = docs(spark, [*texts, texts[9]]).withColumn("n_lines", F.lit("clash"))
-    first_line, first_run, want = {}, {}, {}
-    for i, t in enumerate([*texts, texts[9]]):
-        lines, gone = (t or "").split("\n"), set()
-        for p, x in enumerate(lines):
-            if first_line.setdefault(x, (i, p)) != (i, p) and len(x) >= 60:
-                gone.add(p)
-            run = tuple(lines[p : p + 3])
-            if len(run) == 3 and first_run.setdefault(run, (i, p)) != (i, p) and sum(map(len, run)) >= 60:
-                gone |= {p, p + 1, p + 2}
-        want[i] = (None if t is None and not gone else "\n".join(x for p, x in enumerate(lines) if p not in gone), len(lines), len(gone))
-    out = line_dedup.without_copies(df)
-    assert {r["doc_id"]: (r["text"], r["n_lines"], r["n_deleted"]) for r in out.collect()} == want
-    assert out.columns == ["doc_id", "text", "id", "n_tokens", "n_lines", "n_deleted"]
-    same = spark.createDataFrame([(1, "y" * 80 + "\nz"), (1, "y" * 80 + "\nz"), (2, "y" * 80), (None, "y" * 80)], "doc_id long, text string")
-    assert sorted((str(r["doc_id"]), r["text"]) for r in line_dedup.without_copies(same).collect()) == [("1", "y" * 80 + "\nz")] * 2 + [("2", ""), ("None", "")]
-    assert line_dedup.without_copies(empty).count() == 0
-
-
 def test_line_dedup_keeps_lines_that_collide_in_one_hash(spark):
     # two stripes of XXH64: what the first changes in its accumulator, the second's word takes back
     mask, p1, p2 = (1 << 64) - 1, 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F
@@ -219,14 +214,15 @@ def test_line_dedup_keeps_lines_that_collide_in_one_hash(spark):
     one, two = ((a + b"-" * 24 + b + b"+" * 24).decode() for a, b in ((x, v), (y, w)))
     df = spark.createDataFrame([(1, one), (2, two), (3, two)], "doc_id long, text string")
     assert df.select(F.xxhash64("text")).distinct().count() == 1
-    for whole in (False, True):
-        assert {r["doc_id"]: r["text"] for r in line_dedup.without_copies(df, whole_runs=whole).collect()} == {1: one, 2: two, 3: ""}
+    assert {r["doc_id"]: r["text"] for r in line_dedup.without_copies(df).collect()} == {1: one, 2: two, 3: ""}
 
 
 def test_line_dedup_bounds_maximal_runs(spark, empty):
     rng = random.Random(4)
     pool = [f"{k} " + "x" * rng.choice([0, 0, 3, 9, 20, 70]) for k in range(9)] + ["", ""]
     texts = [None, "", "\n\n\n", "\n" * 90 + "y" * 70, "\n" * 80 + "y" * 70, "short\n" * 40, "\n".join(f"row {k}" for k in range(20)), "new\n" + "\n".join(f"row {k}" for k in range(20))]
+    long = "\n".join(f"{k % 7}{k}" for k in range(300))
+    texts += [long, "\n".join(["x"] + long.split("\n")[10:290]), "\n".join(f"{k}" for k in range(50)), "\n".join(f"{k}" for k in range(3, 49))]
     texts += ["a" * 35 + "\n" + "b" * 35 + "\nend", "c\n" + "a" * 35 + "\n" + "b" * 35]  # two lines
     for _ in range(70):
         t = [rng.choice(pool) for _ in range(rng.randrange(14))]
@@ -245,12 +241,13 @@ def test_line_dedup_bounds_maximal_runs(spark, empty):
                 gone |= set(range(p, stop))
                 within_bound += all(sum(map(len, lines[k : k + 3])) < 60 for k in range(p, stop))
         want[i] = (None if t is None and not gone else "\n".join(x for p, x in enumerate(lines) if p not in gone), len(lines), len(gone))
-    out = line_dedup.without_copies(docs(spark, texts), whole_runs=True)
+    out = line_dedup.without_copies(docs(spark, texts).withColumn("n_lines", F.lit("clash")))
+    assert out.columns == ["doc_id", "text", "id", "n_tokens", "n_lines", "n_deleted"]
     assert {r["doc_id"]: (r["text"], r["n_lines"], r["n_deleted"]) for r in out.collect()} == want
-    assert within_bound > 5 and want[7][0] == "new" and want[9][0] == "c"
+    assert within_bound > 5 and want[7][0] == "new" and want[13][0] == "c"
     same = spark.createDataFrame([(1, "y" * 80 + "\nz"), (1, "y" * 80 + "\nz"), (2, "y" * 80), (None, "y" * 80)], "doc_id long, text string")
-    assert sorted((str(r["doc_id"]), r["text"]) for r in line_dedup.without_copies(same, whole_runs=True).collect()) == [("1", "y" * 80 + "\nz")] * 2 + [("2", ""), ("None", "")]
-    assert line_dedup.without_copies(empty, whole_runs=True).count() == 0
+    assert sorted((str(r["doc_id"]), r["text"]) for r in line_dedup.without_copies(same).collect()) == [("1", "y" * 80 + "\nz")] * 2 + [("2", ""), ("None", "")]
+    assert line_dedup.without_copies(empty).count() == 0
 
 
 def test_pipeline_deletes_long_runs_of_short_lines(spark):
@@ -283,11 +280,41 @@ def test_toxicity_learns_and_handles_edges(spark, empty):
     assert toxicity.score(empty, model).count() == 0
 
 
+def test_toxicity_is_brute_force(spark):
+    rng = random.Random(1)
+    words = ["".join(rng.choice("etaoin") for _ in range(4)) for _ in range(40)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(12)) + (" Vile" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(90)]
+    df = spark.createDataFrame([*rows, (5, rows[5][1], 0)], "doc_id long, text string, toxic int").repartition(3)
+    model = toxicity.fit(df.drop("toxic"), df.select("doc_id", "toxic"))
+    sets = {}
+    for i, t, _ in rows:
+        c = f" {' '.join(t.lower().split())} "
+        sets[i] = {c[k : k + n] for n in (4, 5, 6) for k in range(len(c) - n + 1)}
+    name = {}
+    for n in (4, 5, 6):
+        for g in {g for x in sets.values() for g in x if len(g) == n}:
+            name[g] = int(list(toxicity.hashes_of(np.frombuffer(g.encode("utf-32-le"), "<u4").astype(np.uint64)))[n - 4][0])
+    assert len(set(name.values())) == len(name)
+    pos, neg = (sum(y == k for _, _, y in rows) for k in (1, 0))
+    want = {}
+    for g in name:
+        p, q = (sum(g in sets[i] for i, _, y in rows if y == k) for k in (1, 0))
+        z = abs(p / pos - q / neg) / np.sqrt(p / pos / pos + q / neg / neg)
+        if z >= toxicity.MIN_Z:
+            want[name[g]] = np.log((p + 1) / (pos + 2)) - np.log((q + 1) / (neg + 2))
+    assert set(model.features.tolist()) == set(want) and len(want) > 3
+    assert np.allclose(model.ratios, [want[h] for h in model.features.tolist()])
+    weight = dict(zip(model.features.tolist(), model.weights, strict=True))
+    for r in toxicity.score(df, model).collect():
+        z = model.intercept + sum(weight.get(name[g], 0.0) for g in sets[r["doc_id"]])
+        assert abs(r["score"] - 1 / (1 + np.exp(-z))) < 1e-9 and (r["score"] >= 0.5) == (r["doc_id"] % 3 == 0)
+
+
 def test_token_counts_are_the_library_s(spark, empty):
     pieces = token_counts.unigrams(PIECES)
     library = Tokenizer(models.Unigram(pieces, 0, False))
     library.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always")
-    texts = [None, "", " ", *odd_texts(300, 2), "ᚠᚡᚢ ᚠᚡ the " * 500]
+    texts = [None, "", " ", *odd_texts(300, 2), "ᚠᚡᚢ ᚠᚡ the " * 500, "abc" * 30_000]
     got = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(docs(spark, texts), PIECES).collect()}
     assert got == {i: len(library.encode(t or "").ids) for i, t in enumerate(texts)}
     assert token_counts.count_tokens(empty, PIECES).count() == 0
@@ -368,18 +395,25 @@ def test_jaccard_pairs_are_all_links(spark, empty, monkeypatch, small):
     for t in texts:
         w = (t or "").encode().lower().split()
         sets.append(frozenset(tuple(w[i : i + 4]) for i in range(len(w) - 3)) if len(w) > 3 else frozenset([tuple(w)] if w else []))
-    of = {r["class1"]: sets[r["doc_id"]] for r in jaccard.join(docs(spark, texts)).collect() if r["n_shingles"]}
+    of = {r["class_id"]: sets[r["doc_id"]] for r in jaccard.join(docs(spark, texts)).collect() if r["n_shingles"]}
     want = {(a, b) for a in of for b in of if a < b and 100 * len(of[a] & of[b]) >= 85 * len(of[a] | of[b])}
     got = [(r["a"], r["b"]) for r in jaccard.pairs(docs(spark, texts)).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 3 * len(of)
     assert jaccard.pairs(empty).count() == 0
 
 
-def test_components_of_chains_and_hubs(spark):
-    links = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7)]
+def test_components_of_chains_and_hubs(spark, monkeypatch):
+    links = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(300, k) for k in range(200, 260)] + [(7, 7), (900, 900), (None, 3), (8, None)]
     got = {r["node"]: r["label"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
-    want = reach({x for p in links for x in p}, links)
-    assert got == want
+    links = [p for p in links if None not in p]
+    assert got == reach({x for p in links for x in p}, links)
+    # the order in which no label is ever next to a node takes rounds as the logarithm all the same
+    tables = []
+    monkeypatch.setattr(components, "cut", lambda df, name: tables.append(name) or cut(df, name))
+    path = [0, *range(256, 0, -1)]
+    got = components.components(spark.createDataFrame(list(zip(path, path[1:], strict=False)), "a long, b long")).collect()
+    assert {r["label"] for r in got} == {0} and len(got) == 257
+    assert tables.count("lows") <= 2 * 2 * 8
 
 
 def test_warc_round_trip(spark):
@@ -398,6 +432,17 @@ def test_warc_round_trip(spark):
     kinds = {i: sorted((r["record_type"], r["refers_to"]) for r in by[i]) for i in range(8)}
     assert kinds[1] == [("response", None)] and kinds[2] == [("revisit", 1)] and kinds[4] == kinds[6] == [("revisit", 3)]
     assert sorted(r["record_type"] for r in by[3]) == ["response", "revisit"] and by[None][0]["record_type"] == "response"
+    fs, base = warc.file_system(folder)
+    names = [x["file"] for x in json.loads(fs.open_input_file(f"{base}/manifest.json").read())]
+    ids = [warc.parse(m)[0]["WARC-Record-ID"] for x in names for m in warc.members(fs.open_input_file(f"{base}/{x}"))]
+    assert len(set(ids)) == len(ids) == len(rows)
+    hot = spark.createDataFrame([(5, "u", f"page {k // 2}") for k in range(80)] + [(None, "u", f"page {k % 9}") for k in range(40)], "page_id long, url string, html string").repartition(3)
+    out, folder = warc.archive(hot, shards=5)
+    got = out.collect()
+    assert sorted(r["record_type"] for r in got if r["page_id"] == 5) == ["response"] * 40 + ["revisit"] * 40 and len(got) == 120
+    assert all(r["record_type"] == "response" for r in got if r["page_id"] is None)
+    counts = [x["n_records"] for x in json.loads(fs.open_input_file(f"{warc.file_system(folder)[1]}/manifest.json").read())]
+    assert len(counts) >= 4 and max(counts) < 60
     assert [r["payload"] for r in by[5]] == [b"x" * 300_000]
     again = warc.write(df.repartition(5), scratch(spark, "warc"), roll_bytes=200, shards=2).orderBy("file").collect()
     assert again == warc.write(df, scratch(spark, "warc"), roll_bytes=200, shards=2).orderBy("file").collect() and len(again) > 2
@@ -412,7 +457,7 @@ def test_decontamination_is_brute_force(spark, empty, most):
     word = lambda: rng.choice("abcdefg") + str(rng.randrange(3))
     items = [(k, " ".join(word() for _ in range(rng.choice([3, 13, 20])))) for k in range(12)] + [(20, None), (21, "..."), (None, "a0 b1"), (30, None)]
     items += [(40, items[1][1]), (5, "zz yy")]
-    texts = [None, "", "...", *(" ".join([word() for _ in range(rng.randrange(60))] + [rng.choice(items[:12])[1].upper().replace(" ", "--")] + [word() for _ in range(rng.randrange(60))]) for _ in range(40)), "é漢 É"]
+    texts = [None, "", "...", *(" ".join([word() for _ in range(rng.randrange(60))] + [rng.choice(items[:12])[1].upper().replace(" ", "--")] + [word() for _ in range(rng.randrange(60))]) for _ in range(40)), "é漢 É", "long words " * 20_000 + items[2][1]]
     words = lambda t: decontaminate.words_of(t or "")
     windows = defaultdict(set)
     for k, t in items:
@@ -439,5 +484,17 @@ def test_decontamination_is_brute_force(spark, empty, most):
     assert decontaminate.without("Ab, cd! ef", np.array([False, True, False])) == "Ab,  ef"
 
 
+def test_benchmark_arrays_are_small_and_tell_collisions_apart(monkeypatch):
+    rng = random.Random(2)
+    items = [(k, " ".join(f"w{rng.randrange(5000)}" for _ in range(200))) for k in range(500)]
+    found = decontaminate.WindowSet(items, 13)
+    assert found.nbytes() - (1 << 22) < 32 * 500 * 200
+    # all windows under two hashes: words decide
+    monkeypatch.setattr(decontaminate, "_rolled", lambda words, n: (words[: len(words) - n + 1] & np.uint64(1)) << np.uint64(63))
+    few = [(1, "a b c"), (2, "b c a"), (3, "a b c"), (4, "d e f g")]
+    hit, items_ = decontaminate.WindowSet(few, 3).scan([w.encode() for w in "x a b c y d e f".split()])
+    assert hit.tolist() == [False, True, True, True, False, True, True, True] and items_ == {1, 3, 4}
+
+
 def test_digest_is_base32_sha1():
     assert warc.base32_sha1(b"") == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ" and hashlib.sha1(b"").hexdigest().startswith("da39")

@@ -94,3 +94,22 @@ def test_stages(spark):
     assert {r["doc_id"] for r in last} == set(clean.index)
     for r in last:
         assert bytes(r["ids"]) == b"".join(k.to_bytes(4, "little") for k in library.encode_ordinary(clean[r["doc_id"]]))
+
+
+def test_pipeline_takes_odd_rows(spark, tmp_path):
+    base = table(spark, SF, "documents").limit(60).toPandas()
+    rows = [(int(r.doc_id), r.text, r.lang, r.source, int(r.n_chars), "extra") for r in base.itertuples()]
+    text = base["text"].str.len().idxmax()
+    rows += [(1001, None, None, None, None, "a"), (1002, "", "en", "s", 0, "b"), (None, "a text without an id", "en", "s", 20, "c"), (1003, "twice the same row", "en", "s", 18, "d"), (1003, "twice the same row", "en", "s", 18, "d")]
+    rows += [(1004, base["text"][text] * 40, "en", "s", None, "long"), (1005, "one id", None, "s", 1, "e"), (1005, "two texts", None, "s", 1, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, c string")
+    docs.repartition(3).write.parquet(f"{tmp_path}/odd/documents.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    for name in ("labels", "benchmark"):
+        for part in ("odd", "none"):
+            table(spark, SF, name).write.parquet(f"{tmp_path}/{part}/{name}.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/odd").toPandas()
+    got = out["doc_id"].value_counts(dropna=False).to_dict()
+    assert got[1001] == got[1002] == 1 and got[1003] == 2 and got[1005] == 2 and sum(pd.isna(k) for k in got) == 1
+    assert set(out.loc[out["doc_id"].isin([1001, 1002]), "n_tokens"]) == {0} and out["n_tokens"].min() == 0
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
