@@ -205,3 +205,15 @@ def test_frames_take_empirical_filters_and_blobs_are_stacked(spark):
     stacked = {r["i"]: r["lags"] for r in windows.lag_stack(blobs, "episode", "i", "features").collect()}
     own = {r["i"]: r["features"] for r in blobs.collect()}
     assert stacked[4] == [own[1], own[2], own[3], own[4]] and stacked[1] == [own[0], own[0], own[0], own[1]]
+
+
+def test_vectors_are_normalised_in_passes_that_grow_with_their_length(spark):
+    """A long vector took cubes of its length: a norm and a mean for each component of each component."""
+    import time
+
+    x = np.random.default_rng(4).normal(size=(1, 1500))
+    df = spark.createDataFrame([(x[0].tolist(),)], "v array<double>")
+    began = time.monotonic()
+    got = df.select(vectors.contrast_normalised(F.col("v")).alias("v")).first()["v"]
+    a = x[0] / 255 - (x[0] / 255).mean()
+    assert np.allclose(got, a / (np.linalg.norm(a) / 55)) and time.monotonic() - began < 30

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once for a row. Where a lambda names an expression, Spark computes it again for each element,
+    so a norm in it costs a pass for each component, and one of a mean in it a pass for each pair of them."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
 
@@ -20,8 +28,7 @@ def norm(v: Column) -> Column:
 
 def variance(v: Column) -> Column:
     """Of the population."""
-    m = mean(v)
-    return F.aggregate(v, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / F.size(v)
+    return let(mean(v), lambda m: F.aggregate(v, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / F.size(v))
 
 
 def scale_255(v: Column) -> Column:
@@ -30,12 +37,11 @@ def scale_255(v: Column) -> Column:
 
 def contrast_normalised(v: Column, unit: float = 55.0, tiny: float = 1e-10) -> Column:
     """v / 255, less its mean, over its norm divided by ``unit``; a norm below ``tiny`` counts as 1."""
-    a = scale_255(v)
-    m = mean(a)
-    b = F.transform(a, lambda x: x - m)
-    n = norm(b) / unit
-    n = F.when(n < tiny, 1.0).otherwise(n)
-    return F.transform(b, lambda x: x / n)
+
+    def over_norm(b: Column) -> Column:
+        return let(norm(b) / unit, lambda n: let(F.when(n < tiny, 1.0).otherwise(n), lambda n: F.transform(b, lambda x: x / n)))
+
+    return let(scale_255(v), lambda a: let(mean(a), lambda m: let(F.transform(a, lambda x: x - m), over_norm)))
 
 
 def l2(v: Column) -> Column:
