@@ -217,3 +217,16 @@ def test_vectors_are_normalised_in_passes_that_grow_with_their_length(spark):
     got = df.select(vectors.contrast_normalised(F.col("v")).alias("v")).first()["v"]
     a = x[0] / 255 - (x[0] / 255).mean()
     assert np.allclose(got, a / (np.linalg.norm(a) / 55)) and time.monotonic() - began < 30
+
+
+def test_clipped_vectors_are_normalised_in_passes_that_grow_with_their_length(spark):
+    import time
+
+    x = np.abs(np.random.default_rng(5).normal(size=1500))
+    df = spark.createDataFrame([(x.tolist(), (x / 100).tolist())], "v array<double>, w array<double>")
+    began = time.monotonic()
+    got = df.select(*[vectors.sift_normalised(F.transform(c, lambda z: 3 * z)).alias(c) for c in "vw"], vectors.power_normalised(F.col("v")).alias("p")).first()
+    c = np.minimum(x / np.linalg.norm(x), 0.2)
+    assert np.allclose(got["v"], c / np.linalg.norm(c)) and np.allclose(got["p"], np.sqrt(x) / np.sqrt(x.sum()))
+    assert np.allclose(got["w"], np.minimum(3 * x / 100 / max(np.linalg.norm(3 * x / 100), 1), 0.2) / (np.linalg.norm(np.minimum(3 * x / 100 / max(np.linalg.norm(3 * x / 100), 1), 0.2)) if np.linalg.norm(3 * x / 100) > 1 else 1))
+    assert time.monotonic() - began < 30

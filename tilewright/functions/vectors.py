@@ -46,8 +46,7 @@ def contrast_normalised(v: Column, unit: float = 55.0, tiny: float = 1e-10) -> C
 
 def l2(v: Column) -> Column:
     """Over its norm; a zero vector stays."""
-    n = F.when(norm(v) == 0, 1.0).otherwise(norm(v))
-    return F.transform(v, lambda x: x / n)
+    return let(v, lambda v: let(norm(v), lambda n: let(F.when(n == 0, 1.0).otherwise(n), lambda n: F.transform(v, lambda x: x / n))))
 
 
 def power_normalised(v: Column) -> Column:
@@ -62,9 +61,12 @@ def by_width(v: Column) -> Column:
 
 def sift_normalised(v: Column, clip: float = 0.2) -> Column:
     """Over its norm (1 at least), clipped, and where the norm was above 1 over its norm again."""
-    n = norm(v)
-    a = F.transform(v, lambda x: F.least(x / F.greatest(n, F.lit(1.0)), F.lit(clip)))
-    return F.when(n > 1, l2(a)).otherwise(a)
+
+    def clipped(v: Column, n: Column) -> Column:
+        a = let(F.greatest(n, F.lit(1.0)), lambda least: F.transform(v, lambda x: F.least(x / least, F.lit(clip))))
+        return let(a, lambda a: F.when(n > 1, l2(a)).otherwise(a))
+
+    return let(v, lambda v: let(norm(v), lambda n: clipped(v, n)))
 
 
 def two_sided_relu(x: Column, bias: float) -> tuple[Column, Column]:
