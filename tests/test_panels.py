@@ -57,3 +57,34 @@ def test_sides_join_parts_up_to_a_number_of_rows(spark):
     sides = panels.sides(parts, 20, 2)
     assert sum(len(s) for s in sides) == len(parts) and max(sum(p.n for p in s) for s in sides) <= 20
     assert panels.of_rows(rows(spark, 90, 4)[1].where("i < 0")) == [] and kernels.of_rows(rows(spark)[1].where("i < 0"), None, "linear").count() == 0
+
+
+def test_norms_of_pairs_are_those_of_the_rows_without_a_join(spark):
+    x, df = rows(spark)
+    found = linalg.norms_of_pairs(df, 20)
+    assert "Join" not in plan(found) and "Exchange" not in plan(found)
+    n = (x * x).sum(1)
+    got = {(r["i"], r["j"]): (r["x2"], r["y2"]) for r in found.collect()}
+    assert len(got) == 90 * 91 // 2 and all(i >= j and np.allclose(v, (n[i], n[j])) for (i, j), v in got.items())
+
+
+def test_difference_of_kernels_sends_sums_only(spark):
+    x, df = rows(spark)
+    fs = [kernels.tile_function(k, 0.5) for k in ("linear", "quadratic")]
+    found = linalg.difference_rows(df, *fs, block=20)
+    assert "Join" not in plan(found)
+    k = x @ x.T
+    d = np.abs(k - (1 + 0.5 * k) ** 2)[np.tril_indices(90)]
+    cells = kernels.of_rows(df, None, "linear")
+    for r in (found.first(), linalg.difference(cells, kernels.quadratic(cells, 0.5)).first()):
+        assert np.allclose([r["mean"], r["max"], r["frobenius"]], [d.mean(), d.max(), np.sqrt((d * d).sum())])
+
+
+def test_sampled_difference_makes_the_tiles_that_are_drawn(spark):
+    from tilewright.operators import blocks
+
+    x, df = rows(spark)
+    places = {(r["bi"], r["bj"]) for r in linalg.sampled_places(blocks.grid(spark, (90, 90), (8, 8), True), 5, 3).collect()}
+    some, every = ([kernels.blocks_of_rows(df, k, 8, only=o) for k in ("linear", "quadratic")] for o in (places, None))
+    a, b = (sorted(tuple(np.round(r, 9)) for r in linalg.sampled_difference(*t, 5, 3).collect()) for t in (some, every))
+    assert a == b and some[0].count() == 5
