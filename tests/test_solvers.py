@@ -170,3 +170,26 @@ def test_linear_classifiers_learn(spark):
         assert np.mean([r["label"] == r["pred"] for r in rows]) > 0.95
     sweep = classifiers.sweep_features(df, [0.0, 1.0], lambda m, s: m.select("i", F.transform("features", lambda v: v * s).alias("features")), 0.1).collect()
     assert sweep[1]["train_acc"] > sweep[0]["train_acc"]
+
+
+def test_kernels_of_stored_rows_multiply_and_descend_as_stored_tiles_do(spark):
+    x, y, df = data(spark, 70)
+    df = df.repartition(4, "features")
+    v = np.random.default_rng(2).normal(size=(70, 3))
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    for kind, full in (("linear", x @ x.T), ("rbf", np.exp(-0.3 * d))):
+        k = solvers.RowKernel(df, 8, kind, 0.3)
+        assert np.allclose(k.multiply(v), full @ v) and np.allclose(k.diagonal(), np.diag(full))
+        got = {(r["i"], r["class"]): r["s"] for r in k.scores(v).collect()}
+        assert len(got) == 210 and all(np.isclose(s, (full @ v)[i]) for i, s in got.items())
+    k.together = 4
+    stored = solvers.BlockKernel(cut(kernels.blocks_of_rows(df, "rbf", 8, 0.3)), 8, True)
+    for how in ({}, {"with_replacement": True}, {"momentum": 0.1, "start_block": 3}):
+        a, b = (solvers.block_coordinate(z, np.eye(3)[y], 0.5, epochs=2, **how) for z in (k, stored))
+        assert np.allclose(a, b, atol=1e-10)
+
+
+def test_grid_of_rows_is_that_of_the_matrix(spark):
+    x, y, df = data(spark, 60)
+    want = solvers.gamma_lambda_grid(x @ x.T, (x * x).sum(1), y, [0.1, 1.0], [1e-2, 1.0])
+    assert np.allclose(solvers.grid_by_rows(df, [0.1, 1.0], [1e-2, 1.0], landmarks=20), want)
