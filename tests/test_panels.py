@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tilewright.operators import kernels, layouts, linalg, panels
@@ -88,3 +89,18 @@ def test_sampled_difference_makes_the_tiles_that_are_drawn(spark):
     some, every = ([kernels.blocks_of_rows(df, k, 8, only=o) for k in ("linear", "quadratic")] for o in (places, None))
     a, b = (sorted(tuple(np.round(r, 9)) for r in linalg.sampled_difference(*t, 5, 3).collect()) for t in (some, every))
     assert a == b and some[0].count() == 5
+
+
+def test_gram_matrix_is_stored_as_its_factor(spark):
+    from tilewright.runtime import scratch
+    from tilewright.sources.matrix_store import Header, MatrixStore
+
+    x, df = rows(spark, 50)
+    store, h = MatrixStore(spark, scratch(spark, "store")), Header("xxt", 50, 50, 8, 8, True, 0.5)
+    store.write_header(h)
+    store.put_factor(h, layouts.rows_to_blocks(df, 8, 4))
+    full = x @ x.T + 0.5 * np.eye(50)
+    assert np.allclose(store.local(h), full) and store.missing(h).count() == 0 and store.coords(h).count() == 2500
+    assert {r["j"]: r["v"] for r in store.point(h, 13).collect()} == {j: pytest.approx(v) for j, v in enumerate(full[13])}
+    with pytest.raises(ValueError):
+        store.delete_block(h, 1, 0)
