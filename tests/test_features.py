@@ -230,3 +230,22 @@ def test_clipped_vectors_are_normalised_in_passes_that_grow_with_their_length(sp
     assert np.allclose(got["v"], c / np.linalg.norm(c)) and np.allclose(got["p"], np.sqrt(x) / np.sqrt(x.sum()))
     assert np.allclose(got["w"], np.minimum(3 * x / 100 / max(np.linalg.norm(3 * x / 100), 1), 0.2) / (np.linalg.norm(np.minimum(3 * x / 100 / max(np.linalg.norm(3 * x / 100), 1), 0.2)) if np.linalg.norm(3 * x / 100) > 1 else 1))
     assert time.monotonic() - began < 30
+
+
+def test_pairs_of_all_points_are_counted_frame_by_frame(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    pts = [(int(f), None if rng.random() < 0.05 else int(rng.integers(0, 5)), int(rng.integers(-3, 3)), "abc"[rng.integers(0, 3)] if rng.random() < 0.9 else None) for f in rng.integers(0, 6, 300)]
+    df = spark.createDataFrame([*pts, (None, 1, 1, "a")], "f long, y int, x int, c string")
+    want = {}
+    for f, y, x, c in pts:
+        for g, v, u, d in pts:
+            if f == g:
+                k = (f, c, d, None if y is None or v is None else v - y, u - x)
+                want[k] = want.get(k, 0) + 1
+    found = joins.all_pairs(df, "f")
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r)[:5]: r["n"] for r in found.collect()} == want and found.count() == len(want)
+    monkeypatch.setattr(joins, "PAIRS", 100)  # parts of a frame, without Spark
+    own = df.where("f = 2").groupBy("f", "y", "x", "c").count().selectExpr("f", "cast(y as long) y", "cast(x as long) x", "c", "count m").toArrow()
+    got = {tuple(r.values())[:5]: r["n"] for b in joins._count_pairs(iter(own.to_batches(max_chunksize=7))) for r in b.to_pylist()}
+    assert got == {k: n for k, n in want.items() if k[0] == 2}
