@@ -249,3 +249,20 @@ def test_pairs_of_all_points_are_counted_frame_by_frame(spark, monkeypatch):
     own = df.where("f = 2").groupBy("f", "y", "x", "c").count().selectExpr("f", "cast(y as long) y", "cast(x as long) x", "c", "count m").toArrow()
     got = {tuple(r.values())[:5]: r["n"] for b in joins._count_pairs(iter(own.to_batches(max_chunksize=7))) for r in b.to_pylist()}
     assert got == {k: n for k, n in want.items() if k[0] == 2}
+
+
+def test_blobs_of_many_images_are_those_of_each(monkeypatch):
+    x = np.random.default_rng(6).integers(0, 256, (60, 2, 9, 11)).astype(float)
+    got = images.blob_grid(3, 4)(x)
+    want = np.zeros((60, 2, 3, 3, 3))
+    for i in range(60):
+        for ch in range(2):
+            for b in range(3):
+                inside = (x[i, ch] >= b * 85) & ((x[i, ch] < (b + 1) * 85) | (b == 2))
+                for y, z, r in images.blobs(images.edges(inside.astype(float)).astype(float)):
+                    want[i, ch, b, y // 4, z // 4] = r
+    assert (got.reshape(want.shape) == want).all() and want.any()
+    calls = []
+    monkeypatch.setattr(images, "edges", lambda e, f=images.edges: calls.append(len(e)) or f(e))
+    images.blob_grid(3, 4)(x)
+    assert len(calls) == 6  # a step for each channel and bin, not for each image

@@ -246,22 +246,23 @@ def colour_bins(px: DataFrame, bins: int, half_open: bool = False) -> DataFrame:
 
 
 def edges(x: np.ndarray, sigma: float = 1.0, low: float = 0.1, high: float = 0.2) -> np.ndarray:
-    """Edges of one h x w image: smoothed gradients, thinned across their direction, strong ones and weak ones that touch them."""
+    """Edges of images of h x w, the last axes: smoothed gradients, thinned across their direction, strong ones and weak ones that touch them."""
     s = smooth(x, sigma)
-    gy, gx = np.gradient(s)
+    gy, gx = np.gradient(s, axis=(-2, -1))
     size = np.hypot(gy, gx)
     way = np.round(np.arctan2(gy, gx) / (np.pi / 4)).astype(int) % 4
-    p = np.pad(size, 1)
-    h, w = x.shape
+    edge = [(0, 0)] * (x.ndim - 2) + [(1, 1), (1, 1)]
+    p = np.pad(size, edge)
+    h, w = x.shape[-2:]
     at = {0: (0, 1), 1: (1, 1), 2: (1, 0), 3: (1, -1)}
     thin = np.zeros_like(size, bool)
     for k, (dy, dx) in at.items():
-        a, b = (p[1 + t * dy : 1 + t * dy + h, 1 + t * dx : 1 + t * dx + w] for t in (1, -1))
+        a, b = (p[..., 1 + t * dy : 1 + t * dy + h, 1 + t * dx : 1 + t * dx + w] for t in (1, -1))
         thin |= (way == k) & (size >= a) & (size >= b)
     strong, weak = thin & (size >= high), thin & (size >= low)
     while True:
-        q = np.pad(strong, 1)
-        near = np.any([q[i : i + h, j : j + w] for i in range(3) for j in range(3)], axis=0) & weak
+        q = np.pad(strong, edge)
+        near = np.any([q[..., i : i + h, j : j + w] for i in range(3) for j in range(3)], axis=0) & weak
         if (near == strong).all():
             return strong
         strong = near
@@ -281,11 +282,20 @@ def smooth(x: np.ndarray, sigma: float) -> np.ndarray:
 
 def blobs(x: np.ndarray, sigmas: tuple[float, ...] = (1.0, 1.6, 2.56, 4.1), least: float = 0.05) -> list[tuple[int, int, float]]:
     """(y, x, radius) of the local maxima, over place and scale, of differences of Gaussians; radius is sigma sqrt(2)."""
+    _, y, z, r = blobs_of(x[None], sigmas, least)
+    return list(zip(y.tolist(), z.tolist(), r.tolist(), strict=True))
+
+
+def blobs_of(x: np.ndarray, sigmas: tuple[float, ...] = (1.0, 1.6, 2.56, 4.1), least: float = 0.05) -> tuple[np.ndarray, ...]:
+    """:func:`blobs` of n x h x w, as columns (image, y, x, radius) in the order of images and then of scales."""
     s = [smooth(x, k) for k in sigmas]
-    d = np.stack([(a - b) * k for a, b, k in zip(s, s[1:], sigmas, strict=False)])
-    p = np.pad(d, 1, constant_values=-np.inf)
-    view = np.lib.stride_tricks.sliding_window_view(p, (3, 3, 3)).max((3, 4, 5))
-    return [(int(y), int(x_), float(sigmas[k] * np.sqrt(2))) for k, y, x_ in np.argwhere((d == view) & (d > least))]
+    d = np.stack([(a - b) * k for a, b, k in zip(s, s[1:], sigmas, strict=False)], 1)
+    p = np.pad(d, [(0, 0), (1, 1), (1, 1), (1, 1)], constant_values=-np.inf)
+    for axis in (1, 2, 3):
+        n = d.shape[axis]
+        p = np.maximum.reduce([p.take(range(t, t + n), axis) for t in range(3)])
+    i, k, y, z = np.nonzero((d == p) & (d > least))
+    return i, y, z, (np.array(sigmas) * np.sqrt(2))[k]
 
 
 def blob_grid(bins: int, cell: int = 10) -> Callable[[np.ndarray], np.ndarray]:
@@ -295,13 +305,15 @@ def blob_grid(bins: int, cell: int = 10) -> Callable[[np.ndarray], np.ndarray]:
         n, c, h, w = x.shape
         out = np.zeros((n, c, bins, -(-h // cell), -(-w // cell)))
         width = 255 // bins
-        for i in range(n):
-            for ch in range(c):
-                for b in range(bins):
-                    inside = (x[i, ch] >= b * width) & ((x[i, ch] < (b + 1) * width) | (b == bins - 1))
-                    if inside.any():
-                        for y, z, r in blobs(edges(inside.astype(float)).astype(float)):
-                            out[i, ch, b, y // cell, z // cell] = r
+        together = max(1, (1 << 20) // (8 * h * w))  # images of a step, by what their smoothing holds
+        for ch in range(c):
+            for b in range(bins):
+                inside = (x[:, ch] >= b * width) & ((x[:, ch] < (b + 1) * width) | (b == bins - 1))
+                some = np.flatnonzero(inside.any((1, 2)))
+                for at in range(0, len(some), together):
+                    which = some[at : at + together]
+                    i, y, z, r = blobs_of(edges(inside[which].astype(float)).astype(float))
+                    out[which[i], ch, b, y // cell, z // cell] = r  # of several in a cell the last
         return out.reshape(n, -1)
 
     return run
